@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foretally.contracts import MIN_RHO_HISTORY, RHO_LIMIT, RHO_MARGIN
 from foretally.functions.counts import low_score_coefficients
 from foretally.operators.ledger import ANCHOR_DAY, strict_past, strict_past_extreme
-from foretally.workspace import attach, settle
+from foretally.workspace import attach, settle, spread
 
 GRID_CELLS = 32
 SUB_CELLS = 128
@@ -196,7 +196,7 @@ def fit_rho(
     history = rows.filter(F.col("c").isNotNull()).select(*_KEYS, "match_date", "c", _weight(half_lives).alias("w"))
 
     def on_grid(df: DataFrame) -> DataFrame:
-        return df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID_CELLS)))).withColumn(
+        return spread(df, *_KEYS, "match_date").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID_CELLS)))).withColumn(
             "g", _point(F.col("point"), GRID_CELLS)
         )
 
@@ -218,7 +218,7 @@ def _refined(history: DataFrame, steep: DataFrame, root_rows: int) -> DataFrame:
 
     def fine(df: DataFrame) -> DataFrame:
         first = F.col("cell") * SUB_CELLS
-        return df.withColumn("point", F.explode(F.sequence(first, first + SUB_CELLS))).withColumn(
+        return spread(df, *_KEYS, "match_date").withColumn("point", F.explode(F.sequence(first, first + SUB_CELLS))).withColumn(
             "g", _point(F.col("point"), GRID_CELLS * SUB_CELLS)
         )
 

@@ -56,6 +56,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a thin table whose rows the next step multiplies.
+
+    A table that already has a partition per core is left alone, so this shuffles small tables only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def row_bytes(schema: T.StructType) -> int:
     """A generous in-memory width of one row, in bytes."""
 
