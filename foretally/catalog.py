@@ -48,11 +48,11 @@ class Derived:
 
     @cached_property
     def contests(self) -> DataFrame:
-        return settle(contests_from_orders(self.spark, self.folder), "contests")
+        return settle(contests_from_orders(self.spark, self.folder), "contests", even=True)
 
     @cached_property
     def fixtures(self) -> DataFrame:
-        return settle(quality.unique_fixtures(self.contests), "fixtures")
+        return settle(quality.unique_fixtures(self.contests), "fixtures", even=True)
 
     @cached_property
     def ledger(self) -> Ledger:
@@ -68,7 +68,7 @@ class Derived:
 
     @cached_property
     def goal_rates(self) -> DataFrame:
-        return settle(goals.goal_rates(self.fixtures, self.fixture_ledger), "goal-rates")
+        return settle(goals.goal_rates(self.fixtures, self.fixture_ledger), "goal-rates", even=True)
 
     @cached_property
     def rho(self) -> DataFrame:

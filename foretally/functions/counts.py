@@ -40,12 +40,15 @@ def _log_p0(mu: Column, alpha: Column) -> Column:
     return F.when(alpha > 0, -F.log1p(alpha * mu) / alpha).otherwise(-mu)
 
 
-def _upper_tail(p0: Column, odds: Column, a: Column, line: float) -> Column:
-    nested = F.lit(1.0)
+def _upper_tail(line: float, p0: str, odds: str, a: str) -> str:
+    """SQL text of the clamped upper tail over named columns.
+
+    Text, because a nested product is one call to the parser instead of a call per operator.
+    """
+    nested = "1D"
     for k in range(math.floor(line), 0, -1):
-        ratio = odds if k == 1 else odds * (F.lit(1.0) + a * F.lit(float(k - 1))) * F.lit(1.0 / k)
-        nested = F.lit(1.0) + ratio * nested
-    return clamp01(F.lit(1.0) - p0 * nested)
+        nested = f"1D + {odds} * (1D + {a} * {k - 1}D) * {1 / k!r}D * ({nested})"
+    return f"greatest(0D, least(1D, 1D - {p0} * ({nested})))"
 
 
 def over_probability(mu: Column, line: float, alpha: Column | None = None) -> Column:
@@ -53,7 +56,11 @@ def over_probability(mu: Column, line: float, alpha: Column | None = None) -> Co
     line = check_line(line)
     alpha = F.lit(0.0) if alpha is None else alpha
     a = _effective(alpha)
-    return F.when(usable(mu, alpha), _upper_tail(F.exp(_log_p0(mu, a)), mu / (1 + a * mu), a, line))
+    odds = mu / (1 + a * mu)
+    nested = F.lit(1.0)
+    for k in range(math.floor(line), 0, -1):
+        nested = F.lit(1.0) + odds * (1 + a * (k - 1)) * F.lit(1 / k) * nested
+    return F.when(usable(mu, alpha), clamp01(1 - F.exp(_log_p0(mu, a)) * nested))
 
 
 def over_probabilities(mu: Column, lines: Sequence[float], alpha: Column | None = None) -> Column:
@@ -78,9 +85,11 @@ def add_over_probabilities(
             "_p0": F.when(usable(mu, alpha), F.exp(_log_p0(mu, a))),
         }
     )
-    tails = [_upper_tail(F.col("_p0"), F.col("_odds"), F.col("_a"), check_line(line)) for line in lines]
     # clamping would turn a missing probability into a bound, so keep NULL explicitly
-    return staged.withColumn(name, F.array(*[F.when(F.col("_p0").isNotNull(), t) for t in tails])).drop("_a", "_odds", "_p0")
+    tails = ", ".join(
+        f"CASE WHEN _p0 IS NOT NULL THEN {_upper_tail(check_line(line), '_p0', '_odds', '_a')} END" for line in lines
+    )
+    return staged.withColumn(name, F.expr(f"array({tails})")).drop("_a", "_odds", "_p0")
 
 
 def over_map(mu: Column, lines: Sequence[float], alpha: Column | None = None) -> Column:

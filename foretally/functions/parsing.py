@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: accepted shapes of a date cell and of a count cell --------
+# --- fixed values: white space, and the accepted shapes of date and count cells ----
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 DATE_SHAPE = r"^(3[01]|[12][0-9]|0[1-9]|[1-9])/(1[0-2]|0[1-9]|[1-9])/([0-9]{4}|[0-9]{2})$"
 NUMBER_SHAPE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def stripped(cell: Column | str) -> Column:
     """Trim every kind of white space (``trim`` alone removes only spaces); NULL becomes ''."""
-    return F.coalesce(F.regexp_replace(cell, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(cell, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def is_blank(cell: Column | str) -> Column:
     return stripped(cell) == ""
 
 
-def parse_match_date(cell: Column | str) -> Column:
+def _text(cell: Column | str, trimmed: bool) -> Column:
+    if not trimmed:
+        return stripped(cell)
+    return F.col(cell) if isinstance(cell, str) else cell
+
+
+def parse_match_date(cell: Column | str, trimmed: bool = False) -> Column:
     """``d/m/Y`` or ``d/m/y``; two-digit years 69-99 belong to the 1900s."""
-    text = stripped(cell)
+    text = _text(cell, trimmed)
     day, month, year = (F.regexp_extract(text, DATE_SHAPE, group) for group in (1, 2, 3))
     short = year.try_cast("int")
     full_year = F.when(F.length(year) == 4, year).otherwise(
@@ -31,9 +41,9 @@ def parse_match_date(cell: Column | str) -> Column:
     return F.when(text.rlike(DATE_SHAPE) & (full_year != "0000"), iso.try_cast("date"))
 
 
-def parse_count(cell: Column | str) -> Column:
+def parse_count(cell: Column | str, trimmed: bool = False) -> Column:
     """Non-negative whole number; ``6``, ``6.0`` and ``1e1`` are whole numbers."""
-    text = stripped(cell)
+    text = _text(cell, trimmed)
     value = F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
     whole = (value >= 0) & (value == F.floor(value)) & (value < F.lit(2147483648.0))
     return F.when(whole, value.cast("int"))

@@ -17,16 +17,24 @@ def without_result(home: str = "HC", away: str = "AC") -> Column:
 
 
 def typed(raw: DataFrame, home: str = "HC", away: str = "AC") -> DataFrame:
-    """Add the canonical columns to raw rows; cells that do not parse become NULL."""
-    return raw.withColumns(
-        {
-            "match_date": parse_match_date("Date"),
-            "competition": stripped("Div"),
-            "home_team": stripped("HomeTeam"),
-            "away_team": stripped("AwayTeam"),
-            "home_count": parse_count(home),
-            "away_count": parse_count(away),
-        }
+    """Add the canonical columns to raw rows; cells that do not parse become NULL.
+
+    Cells are trimmed in a projection of their own, because parsing looks at each several times.
+    """
+    trimmed = {f"_{c}": stripped(c) for c in ("Date", home, away)}
+    return (
+        raw.withColumns(trimmed)
+        .withColumns(
+            {
+                "match_date": parse_match_date("_Date", trimmed=True),
+                "competition": stripped("Div"),
+                "home_team": stripped("HomeTeam"),
+                "away_team": stripped("AwayTeam"),
+                "home_count": parse_count(f"_{home}", trimmed=True),
+                "away_count": parse_count(f"_{away}", trimmed=True),
+            }
+        )
+        .drop(*trimmed)
     )
 
 

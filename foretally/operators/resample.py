@@ -1,7 +1,7 @@
 """Paired bootstrap with draws that depend only on (seed, sample, draw).
 
-A draw is the leading 32 bits of an md5 digest, so it is the same on any partitioning and
-in any engine. Samples are never materialised: every task adds its draws into one partial
+A draw is a 32-bit mix of whole numbers in plain 64-bit arithmetic, so it is the same on any
+partitioning and in any engine, and compiles into the stage. Samples are never materialised: every task adds its draws into one partial
 row per sample, and only those partial rows are shuffled.
 """
 
@@ -24,10 +24,33 @@ def check_samples(samples: int) -> None:
         raise ValueError("samples must be greater than zero")
 
 
-def hashed(*parts: Column | str | int) -> Column:
-    """Whole number in [0, 2**32) from the parts."""
-    cells = [F.lit(str(p)) if isinstance(p, int) else p for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("bigint")
+# --- fixed values: multipliers of the integer mix -----------------------------
+_SPREAD = 2654435761
+_MIX = 0x45D9F3B
+_MASK = 0xFFFFFFFF
+
+
+def with_mix(df: DataFrame, name: str, start: str) -> DataFrame:
+    """Add column ``name``: the whole number ``start`` in [0, 2**32) scrambled one to one.
+
+    Every step is a projection of its own, so no step's input is computed twice.
+    """
+    df = df.withColumn(name, F.expr(f"cast({start} AS BIGINT) & {_MASK}"))
+    for _ in range(2):
+        df = df.withColumn(name, F.expr(f"(({name} ^ shiftright({name}, 16)) * {_MIX}) & {_MASK}"))
+    return df.withColumn(name, F.expr(f"{name} ^ shiftright({name}, 16)"))
+
+
+def with_sample_key(df: DataFrame, seed: int) -> DataFrame:
+    """Per-sample starting point of the mix; needs ``sample``."""
+    return with_mix(df, "key", f"{seed * _SPREAD % (_MASK + 1)}L + sample")
+
+
+def with_drawn_index(df: DataFrame, n: str) -> DataFrame:
+    """Index ``idx`` in [0, n) of each ``draw`` (below 2**31) under ``key``."""
+    mixed = with_mix(df, "idx", f"((draw * {_SPREAD}L) & {_MASK}) ^ key")
+    # coalesce only tells the optimizer that the join key is never NULL
+    return mixed.withColumn("idx", F.expr(f"coalesce(idx % {n}, 0L)"))
 
 
 def unit_tag(key: Sequence[str]) -> Column:
@@ -59,7 +82,7 @@ def iid_draws(units: DataFrame, n: int, metrics: Sequence[str], samples: int, se
     draws = spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism))).select(
         F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
     )
-    drawn = draws.select("sample", (hashed(seed, F.col("sample"), F.col("draw")) % F.lit(n)).alias("idx"))
+    drawn = with_drawn_index(with_sample_key(draws, seed), f"{n}L").select("sample", "idx")
     return (
         drawn.join(F.broadcast(units.select("idx", *metrics)), "idx")
         .groupBy("sample")
@@ -83,13 +106,15 @@ def poisson_draws(units: DataFrame, key: Sequence[str], metrics: Sequence[str],
     Equivalent to n draws with replacement up to the random total, which the ratio divides
     out. No unit is looked up by index, so nothing is broadcast or joined at any n.
     """
-    tagged = spread(units.select(unit_tag(key).alias("tag"), *metrics), "tag")
-    rows = tagged.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = rows.withColumn("u", hashed(seed, F.col("sample"), F.col("tag")))
-    copies = F.lit(0)
-    for threshold in poisson_thresholds():
-        copies = copies + (F.col("u") >= F.lit(threshold)).cast("int")
-    weighted = u.withColumn("copies", copies)
+    word = lambda start: F.conv(F.substring("tag", start, 8), 16, 10).cast("bigint")
+    tagged = units.select(unit_tag(key).alias("tag"), *metrics).select(
+        word(1).alias("word_1"), word(9).alias("word_2"), *metrics
+    )
+    rows = spread(tagged, "word_1").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    keyed = with_mix(with_sample_key(rows, seed), "inner", "word_1 ^ key")
+    u = with_mix(keyed, "u", "inner ^ word_2")
+    steps = " + ".join(f"IF(u >= {threshold}L, 1, 0)" for threshold in poisson_thresholds())
+    weighted = u.withColumn("copies", F.expr(steps))
     total = F.sum("copies")
     return weighted.groupBy("sample").agg(
         *[F.try_divide(F.sum(F.col("copies") * F.col(m)), total).alias(m) for m in metrics]
@@ -154,7 +179,9 @@ def block_bootstrap(
     drawn = (
         sizes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .withColumn("idx", hashed(seed, F.col("sample"), F.col("draw")) % F.col("blocks"))
+    )
+    drawn = (
+        with_drawn_index(with_sample_key(drawn, seed), "blocks")
         .groupBy("blocks", "sample", "idx")
         .agg(F.count(F.lit(1)).alias("copies"))
     )

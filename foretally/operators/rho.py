@@ -93,9 +93,9 @@ def _folded(history: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
 
     Needs c, w, point, g in the history and point, g and the bounds in the targets.
     """
-    powers: list[Column] = [F.col("t")]
+    powers = ["t"]
     for k in range(2, MOMENTS + 1):
-        powers.append(powers[k // 2 - 1] * powers[k - k // 2 - 1])
+        powers.append(f"{powers[k // 2 - 1]} * {powers[k - k // 2 - 1]}")
     shift = 1 + F.col("c") * F.col("g")
     terms = history.withColumn("t", F.when(shift > 0, F.col("c") / shift)).select(*keys, "match_date", "point", "g", "t", "w")
     dates = targets.select(*keys, "match_date", "point", "g", *_BOUNDS)
@@ -103,7 +103,7 @@ def _folded(history: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
         terms.unionByName(dates, allowMissingColumns=True)
         .groupBy(*keys, "match_date", "point", "g")
         .agg(
-            *[F.sum(F.col("w") * power).alias(name) for name, power in zip(_T, powers)],
+            *[F.expr(f"sum(w * {power}) AS {name}") for name, power in zip(_T, powers)],
             *[F.max(c).alias(c) for c in _BOUNDS],
         )
     )
@@ -123,20 +123,20 @@ def _brackets(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _slope(offset: Column, node: Column | None = None) -> Column:
-    t = [node[name] if node is not None else F.col(name) for name in _T]
-    value = t[-1]
-    for term in reversed(t[:-1]):
-        value = term - offset * value
-    return value
+def _slope(x: str, node: str = "") -> str:
+    """SQL text of the expansion at offset ``x``: t1 - x (t2 - x (t3 - ...))."""
+    value = f"{node}{_T[-1]}"
+    for name in reversed(_T[:-1]):
+        value = f"{node}{name} - {x} * ({value})"
+    return f"({value})"
 
 
-def _slope_fall(offset: Column) -> Column:
-    """Minus the derivative of the slope; positive."""
-    value = F.col(_T[-1]) * F.lit(float(MOMENTS - 1))
+def _slope_fall(x: str) -> str:
+    """SQL text of minus its derivative; positive."""
+    value = f"{MOMENTS - 1}D * {_T[-1]}"
     for k in range(MOMENTS - 1, 1, -1):
-        value = F.col(_T[k - 1]) * F.lit(float(k - 1)) - offset * value
-    return value
+        value = f"{k - 1}D * {_T[k - 1]} - {x} * ({value})"
+    return f"({value})"
 
 
 def _roots(brackets: DataFrame) -> DataFrame:
@@ -144,43 +144,45 @@ def _roots(brackets: DataFrame) -> DataFrame:
 
     ``reach`` bounds the ratio of successive Taylor terms: small means the root is exact.
     """
-    left, right = F.col("left"), F.col("right")
-    sided = brackets.withColumn("lo", F.coalesce(left["g"], F.col("low"))).withColumn(
-        "hi", F.coalesce(right["g"], F.col("high"))
-    )
-    middle = (F.col("lo") + F.col("hi")) / 2
-    use_right = left.isNull() | (right.isNotNull() & (_slope(middle - left["g"], left) > 0))
-    near = sided.withColumn("node", F.when(use_right, right).otherwise(left)).select(
+    sided = brackets.selectExpr(
+        *_KEYS,
+        "match_date",
+        *_BOUNDS,
+        "left",
+        "right",
+        "coalesce(left.g, low) AS lo",
+        "coalesce(right.g, high) AS hi",
+        "left IS NULL AS no_left",
+        "right IS NULL AS no_right",
+    ).withColumn("m", F.expr("(lo + hi) / 2 - left.g"))
+    use_right = f"no_left OR (NOT no_right AND {_slope('m', 'left.')} > 0)"
+    near = sided.withColumn("node", F.expr(f"CASE WHEN {use_right} THEN right ELSE left END")).selectExpr(
         *_KEYS,
         "match_date",
         *_BOUNDS,
         "lo",
         "hi",
-        left.isNull().alias("no_left"),
-        right.isNull().alias("no_right"),
-        F.col("node")["g"].alias("g"),
-        *[F.coalesce(F.col("node")[t], F.lit(0.0)).alias(t) for t in _T],
+        "no_left",
+        "no_right",
+        "node.g AS g",
+        *[f"coalesce(node.{t}, 0D) AS {t}" for t in _T],
     )
-    x = F.coalesce(F.col("x"), F.lit(0.0))
     stepped = near.withColumn("x", F.lit(0.0))
     for _ in range(NEWTON_STEPS):
-        step = F.try_divide(_slope(x), _slope_fall(x))
-        stepped = stepped.withColumn("x", F.greatest(F.col("lo") - F.col("g"), F.least(F.col("hi") - F.col("g"), x + step)))
-    width = F.col("hi") - F.col("lo")
-    steepest = F.greatest(
-        F.abs(F.col("c_max") / (1 + F.col("c_max") * F.col("g"))), F.abs(F.col("c_min") / (1 + F.col("c_min") * F.col("g")))
-    )
-    return stepped.select(
+        step = f"coalesce(try_divide({_slope('x')}, {_slope_fall('x')}), 0D)"
+        stepped = stepped.withColumn("x", F.expr(f"greatest(lo - g, least(hi - g, x + {step}))"))
+    ends = stepped.withColumns({"to_low": F.expr("low - g"), "to_high": F.expr("high - g")})
+    return ends.selectExpr(
         *_KEYS,
         "match_date",
         *_BOUNDS,
         "lo",
         "hi",
-        (steepest * F.when(F.col("no_left") | F.col("no_right"), width).otherwise(width / 2)).alias("reach"),
-        F.when(F.col("no_left") & (_slope(F.col("low") - F.col("g")) <= 0), F.col("low"))
-        .when(F.col("no_right") & (_slope(F.col("high") - F.col("g")) >= 0), F.col("high"))
-        .otherwise(F.col("g") + x)
-        .alias("rho"),
+        """greatest(abs(c_max / (1 + c_max * g)), abs(c_min / (1 + c_min * g)))
+           * (CASE WHEN no_left OR no_right THEN hi - lo ELSE (hi - lo) / 2 END) AS reach""",
+        f"""CASE WHEN no_left AND {_slope('to_low')} <= 0 THEN low
+                 WHEN no_right AND {_slope('to_high')} >= 0 THEN high
+                 ELSE g + x END AS rho""",
     )
 
 

@@ -102,7 +102,7 @@ def load_contests(spark: SparkSession, paths: Iterable[str], strict: bool = True
     With ``strict`` a malformed completed row raises and names its file and row; without it
     such rows are set aside in ``quarantine``. Rows without a result are counted and dropped.
     """
-    rows = settle(quality.judged(scan(spark, paths, CORNER_COLUMNS)), "season-rows")
+    rows = settle(quality.judged(scan(spark, paths, CORNER_COLUMNS)), "season-rows", even=True)
     bad = quality.quarantine(rows)
     if strict and not bad.isEmpty():
         raise ValueError("\n".join(_position(bad, rows)))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 96 * 1024 * 1024
 _ARRAY_ITEMS = 16
+_ROWS_PER_PIECE = 1000
 
 
 def start_session(app: str = "foretally", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -48,8 +49,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the written table."""
+def settle(df: DataFrame, label: str, even: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of the written table.
+
+    ``even`` is for base tables that many plans scan: one that came out in fewer pieces than
+    there are cores is small, and is written again in a piece per core.
+    """
+    reader = _written(df, label)
+    if even:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if reader.rdd.getNumPartitions() < cores and reader.count() >= cores * _ROWS_PER_PIECE:
+            reader = _written(reader.repartition(cores), label)
+    return reader
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "foretally", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)

@@ -83,8 +83,21 @@ def _p_columns(lines) -> str:
     return ", ".join(r(f"p_{dot(x)}", f"p_{dot(x)}") for x in lines)
 
 
-def hashed(*parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT)"
+MASK = 4294967295
+
+
+def mixed(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) >> 16) * 73244475) & {MASK})"
+    return f"xor({x}, ({x}) >> 16)"
+
+
+def sample_key(sample: str) -> str:
+    return mixed(f"(({SEED * 2654435761 % (MASK + 1)}::BIGINT + {sample}) & {MASK})")
+
+
+def drawn(key: str, draw: str) -> str:
+    return mixed(f"xor((({draw})::BIGINT * 2654435761) & {MASK}, {key})")
 
 
 def summary(samples: int) -> str:
@@ -206,8 +219,9 @@ def block_sql(needs, blocks: str, keys: str) -> str:
         {
             "blocks": blocks,
             "indexed": f"SELECT *, count(*) OVER (PARTITION BY {keys}) AS nb, row_number() OVER (PARTITION BY {keys} ORDER BY block_id) - 1 AS idx FROM blocks",
-            "draws": f"""SELECT nb, sample, {hashed("'7'", "sample::VARCHAR", "draw::VARCHAR")} % nb AS idx
-              FROM (SELECT DISTINCT nb FROM indexed), range(0, {BLOCK_SAMPLES}) s(sample), LATERAL (SELECT unnest(range(0, nb)) AS draw)""",
+            "keys": f"SELECT sample, {sample_key('sample')} AS key FROM range(0, {BLOCK_SAMPLES}) s(sample)",
+            "draws": f"""SELECT nb, sample, {drawn('key', 'draw')} % nb AS idx
+              FROM (SELECT DISTINCT nb FROM indexed), keys, LATERAL (SELECT unnest(range(0, nb)) AS draw)""",
             "ratios": f"SELECT {keys}, sample, sum(s) / sum(n) AS delta FROM draws JOIN indexed USING (nb, idx) GROUP BY {keys}, sample",
         },
     )
@@ -442,8 +456,9 @@ def oracle_sql() -> dict[str, str]:
         "boot_units",
         f"SELECT metric, {summary(SAMPLES)} FROM ({unpivot}) GROUP BY metric",
         {
-            "draws": f"""SELECT sample, {hashed("'7'", "sample::VARCHAR", "draw::VARCHAR")} % (SELECT count(*) FROM boot_units) AS idx
-              FROM range(0, {SAMPLES}) s(sample), range(0, (SELECT count(*) FROM boot_units)) d(draw)""",
+            "keys": f"SELECT sample, {sample_key('sample')} AS key FROM range(0, {SAMPLES}) s(sample)",
+            "draws": f"""SELECT sample, {drawn('key', 'draw')} % (SELECT count(*) FROM boot_units) AS idx
+              FROM keys, range(0, (SELECT count(*) FROM boot_units)) d(draw)""",
             "means": "SELECT sample, avg(mae_delta) AS mae_delta, avg(brier_delta) AS brier_delta FROM draws JOIN boot_units USING (idx) GROUP BY sample",
         },
     )
@@ -457,7 +472,10 @@ def oracle_sql() -> dict[str, str]:
         "boot_units",
         f"SELECT metric, {summary(SAMPLES)} FROM ({unpivot}) GROUP BY metric",
         {
-            "rolls": f"""SELECT sample, mae_delta, brier_delta, {hashed("'7'", "sample::VARCHAR", "tag")} AS u FROM boot_units, range(0, {SAMPLES}) s(sample)""",
+            "keys": f"SELECT sample, {sample_key('sample')} AS key FROM range(0, {SAMPLES}) s(sample)",
+            "words": "SELECT mae_delta, brier_delta, ('0x' || tag[1:8])::BIGINT AS w1, ('0x' || tag[9:16])::BIGINT AS w2 FROM boot_units",
+            "halves": f"SELECT sample, mae_delta, brier_delta, w2, {mixed('xor(w1, key)')} AS h FROM words, keys",
+            "rolls": f"SELECT sample, mae_delta, brier_delta, {mixed('xor(h, w2)')} AS u FROM halves",
             "means": f"""SELECT sample, sum(({copies}) * mae_delta) / sum({copies}) AS mae_delta, sum(({copies}) * brier_delta) / sum({copies}) AS brier_delta
               FROM rolls GROUP BY sample""",
         },
