@@ -9,9 +9,10 @@ row's own date, so results of the same date are never visible.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.contracts import HALF_LIFE_DAYS
@@ -61,45 +62,46 @@ def build_ledger(contests: DataFrame) -> Ledger:
 def league_daily(daily: DataFrame) -> DataFrame:
     """Daily ledger folded to one row per (competition, date)."""
 
-    def at(venue: str, column: str) -> Column:
-        return F.sum(F.when(F.col("venue") == venue, F.col(column)).otherwise(F.lit(0)).cast("bigint"))
+    def at(venue: str, column: str, name: str) -> Column:
+        return F.expr(f"sum(IF(venue = '{venue}', {column}, 0L)) AS {name}")
 
     sums = [
-        at("home", "n").alias("n"),
-        at("home", "count_for").alias("home_sum"),
-        at("away", "count_for").alias("away_sum"),
-        at("home", "sq_for").alias("home_sq"),
-        at("away", "sq_for").alias("away_sq"),
-        at("home", "sq_total").alias("total_sq"),
+        at("home", "n", "n"),
+        at("home", "count_for", "home_sum"),
+        at("away", "count_for", "away_sum"),
+        at("home", "sq_for", "home_sq"),
+        at("away", "sq_for", "away_sq"),
+        at("home", "sq_total", "total_sq"),
+        F.expr("sum(count_for) AS total_sum"),
     ]
     if "goals_for" in daily.columns:
         sums += [
-            at("home", "goals_for").alias("home_goals_sum"),
-            at("away", "goals_for").alias("away_goals_sum"),
-            at("home", "over_n").alias("over_n"),
-            at("home", "btts_n").alias("btts_n"),
+            at("home", "goals_for", "home_goals_sum"),
+            at("away", "goals_for", "away_goals_sum"),
+            at("home", "over_n", "over_n"),
+            at("home", "btts_n", "btts_n"),
         ]
-    return daily.groupBy("competition", "match_date").agg(*sums).withColumn(
-        "total_sum", F.col("home_sum") + F.col("away_sum")
-    )
+    return daily.groupBy("competition", "match_date").agg(*sums)
 
 
-def _strict_frame(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(F.unix_date("match_date")).rangeBetween(Window.unboundedPreceding, -1)
+def _strict_frame(keys: Sequence[str]) -> str:
+    return (
+        f"(PARTITION BY {', '.join(keys)} ORDER BY unix_date(match_date) "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
 
 
-def strict_past(value: Column, keys: list[str]) -> Column:
-    """Sum of ``value`` over strictly earlier dates of the same key; 0 where there are none."""
-    return F.coalesce(F.sum(value).over(_strict_frame(keys)), F.lit(0).cast("bigint"))
+def strict_past(value: str, keys: Sequence[str]) -> Column:
+    """Sum of the SQL expression ``value`` over strictly earlier dates of the same key; 0 where there are none."""
+    return F.expr(f"coalesce(sum({value}) OVER {_strict_frame(keys)}, 0L)")
 
 
-def strict_past_extreme(value: Column, keys: list[str], largest: bool) -> Column:
+def strict_past_extreme(value: str, keys: Sequence[str], largest: bool) -> Column:
     """Running maximum (or minimum) over strictly earlier dates; NULL where there are none."""
-    extreme = F.max(value) if largest else F.min(value)
-    return extreme.over(_strict_frame(keys))
+    return F.expr(f"{'max' if largest else 'min'}({value}) OVER {_strict_frame(keys)}")
 
 
-def decayed_past(value: Column, keys: list[str], half_life: float = HALF_LIFE_DAYS) -> Column:
+def decayed_past(value: str, keys: Sequence[str], half_life: float = HALF_LIFE_DAYS) -> Column:
     """Sum over strictly earlier dates of ``value * 0.5 ** (age / half_life)``.
 
     ``0.5 ** ((d - d_i) / H)`` factors into a part of the earlier row and a part of the
@@ -110,43 +112,45 @@ def decayed_past(value: Column, keys: list[str], half_life: float = HALF_LIFE_DA
     """
     if half_life <= 0:
         raise ValueError("half_life must be positive")
-    day = F.unix_date("match_date")
-    h = F.lit(float(half_life))
-    two = F.lit(2.0)
+    day, h = "unix_date(match_date)", f"{float(half_life)!r}D"
     if _SAFE_HALVINGS * half_life >= _LONG_SPAN_DAYS:
-        scale = F.pow(two, (day - F.lit(ANCHOR_DAY)) / h)
-        return F.coalesce(F.sum(value * scale).over(_strict_frame(keys)), F.lit(0.0)) / scale
+        scale = f"pow(2D, ({day} - {ANCHOR_DAY}) / {h})"
+        return F.expr(f"coalesce(sum(({value}) * {scale}) OVER {_strict_frame(keys)}, 0D) / {scale}")
     era_days = max(1, int(500 * half_life))
-    era = F.floor(day / F.lit(era_days))
-    start = era * F.lit(era_days)
-    scale = F.pow(two, (day - start) / h)
-    inside = (
-        Window.partitionBy(*keys, era)
-        .orderBy(day)
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    before = Window.partitionBy(*keys).orderBy(era).rangeBetween(-1, -1)
-    carried = F.sum(value * F.pow(two, (day - start - F.lit(era_days)) / h)).over(before)
-    own = F.sum(value * scale).over(inside)
-    return (F.coalesce(own, F.lit(0.0)) + F.coalesce(carried, F.lit(0.0))) / scale
-
-
-def team_state(daily: DataFrame, venue: str, columns: list[str], decayed: list[str] = (), half_life: float = HALF_LIFE_DAYS) -> DataFrame:
+    era = f"floor({day} / {era_days})"
+    scale = f"pow(2D, ({day} - {era} * {era_days}) / {h})"
+    shrunk = f"pow(2D, ({day} - ({era} + 1) * {era_days}) / {h})"
+    before = f"(PARTITION BY {', '.join(keys)} ORDER BY {era} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    own = f"coalesce(sum(({value}) * {scale}) OVER {_strict_frame([*keys, era])}, 0D)"
+    carried = f"coalesce(sum(({value}) * {shrunk}) OVER {before}, 0D)"
+    return F.expr(f"({own} + {carried}) / {scale}")
+
+
+def _state(columns: Sequence[str], decayed: Sequence[str], keys: Sequence[str], half_life: float) -> list[Column]:
+    picked = [strict_past(c, keys).alias(f"past_{c}") for c in columns]
+    return picked + [decayed_past(c, keys, half_life).alias(f"decayed_{c}") for c in decayed]
+
+
+def team_state(
+    daily: DataFrame,
+    venue: str,
+    columns: Sequence[str],
+    decayed: Sequence[str] = (),
+    half_life: float = HALF_LIFE_DAYS,
+) -> DataFrame:
     """Strict-past sums per team in one venue role, one row per date the team plays.
 
     Equal-weight sums keep their names behind ``past_``; decayed sums are behind ``decayed_``.
     """
-    keys = ["competition", "team"]
-    picked = [strict_past(F.col(c), keys).alias(f"past_{c}") for c in columns]
-    picked += [decayed_past(F.col(c).cast("double"), keys, half_life).alias(f"decayed_{c}") for c in decayed]
+    picked = _state(columns, decayed, ["competition", "team"], half_life)
     return daily.filter(F.col("venue") == venue).select("competition", "match_date", "team", *picked)
 
 
-def league_state(daily: DataFrame, columns: list[str], decayed: list[str] = (), half_life: float = HALF_LIFE_DAYS) -> DataFrame:
+def league_state(
+    daily: DataFrame, columns: Sequence[str], decayed: Sequence[str] = (), half_life: float = HALF_LIFE_DAYS
+) -> DataFrame:
     """Strict-past league sums, one row per (competition, date)."""
-    keys = ["competition"]
-    picked = [strict_past(F.col(c), keys).alias(f"past_{c}") for c in columns]
-    picked += [decayed_past(F.col(c).cast("double"), keys, half_life).alias(f"decayed_{c}") for c in decayed]
+    picked = _state(columns, decayed, ["competition"], half_life)
     return league_daily(daily).select("competition", "match_date", *picked)
 
 

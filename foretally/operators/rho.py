@@ -23,7 +23,7 @@ from foretally.functions.counts import low_score_coefficients
 from foretally.operators.ledger import ANCHOR_DAY, strict_past, strict_past_extreme
 from foretally.workspace import attach, settle, spread
 
-GRID_CELLS = 32
+GRID_CELLS = 16
 SUB_CELLS = 128
 MOMENTS = 16
 REACH = 0.2
@@ -58,9 +58,9 @@ def rho_bounds(rows: DataFrame) -> DataFrame:
     past = daily.select(
         *_KEYS,
         "match_date",
-        strict_past(F.col("n_low"), _KEYS).alias("n_history"),
-        strict_past_extreme(F.col("day_min"), _KEYS, largest=False).alias("c_min"),
-        strict_past_extreme(F.col("day_max"), _KEYS, largest=True).alias("c_max"),
+        strict_past("n_low", _KEYS).alias("n_history"),
+        strict_past_extreme("day_min", _KEYS, largest=False).alias("c_min"),
+        strict_past_extreme("day_max", _KEYS, largest=True).alias("c_max"),
         "top_home",
         "top_away",
     )
