@@ -84,7 +84,7 @@ class Derived:
 
     @property
     def goal_panel(self) -> DataFrame:
-        return goals.goal_panel(self.goal_rates, self.rho, self.fixture_ledger.rows, FIXTURE_START)
+        return goals.goal_panel(self.goal_rates, self.rho, self.fixture_ledger.dates, FIXTURE_START)
 
     @property
     def goal_forecasts(self) -> DataFrame:

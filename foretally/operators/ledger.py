@@ -28,10 +28,14 @@ _LONG_SPAN_DAYS = 75_000
 
 @dataclass(frozen=True)
 class Ledger:
-    """The settled daily table and its exact row count (the bound for every state table)."""
+    """The settled daily table with its exact row counts, which bound every state table.
+
+    ``rows`` bounds team state, ``dates`` (competition and date pairs) bounds league state.
+    """
 
     daily: DataFrame
     rows: int
+    dates: int
 
 
 def daily_totals(contests: DataFrame) -> DataFrame:
@@ -56,7 +60,10 @@ def daily_totals(contests: DataFrame) -> DataFrame:
 
 def build_ledger(contests: DataFrame) -> Ledger:
     daily = settle(daily_totals(contests), "ledger")
-    return Ledger(daily, daily.count())
+    sizes = daily.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("competition", "match_date").alias("dates")
+    ).head()
+    return Ledger(daily, sizes.rows, sizes.dates)
 
 
 def league_daily(daily: DataFrame) -> DataFrame:

@@ -209,8 +209,7 @@ def goal_report(
     quality.require_competitions(contests)
     ledger = build_ledger(contests)
     rates = settle(goal_rates(contests, ledger), "goal-rates", even=True)
-    rho = rho_table(rates, start)
-    panel = settle(goal_panel(rates, rho, ledger.rows, start), "goal-panel", even=True)
+    panel = goal_panel(rates, settle(rho_table(rates, start), "rho"), ledger.dates, start)
     forecasts = goal_forecasts(panel)
     quality.require_rows(panel, "no predictions")
     tally = settle(scoring.tally_events(windowed(forecasts, holdout), ["window", "season", "model", "target"]), "tally")

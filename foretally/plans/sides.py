@@ -50,7 +50,7 @@ def with_state(
         facts, league, home, away = (df.filter(recent) for df in (facts, league, home, away))
     keys = ["competition", "match_date"]
     base = {k: k for k in keys}
-    facts = attach(facts, prefixed(league, "league", base), keys, ledger.rows)
+    facts = attach(facts, prefixed(league, "league", base), keys, ledger.dates)
     facts = attach(facts, prefixed(home, "home", {**base, "team": "home_team"}), [*keys, "home_team"], ledger.rows)
     return attach(facts, prefixed(away, "away", {**base, "team": "away_team"}), [*keys, "away_team"], ledger.rows)
 

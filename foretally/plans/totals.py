@@ -57,7 +57,7 @@ def total_forecasts(
         "away_team",
         (F.col("home_count") + F.col("away_count")).alias("actual"),
     )
-    joined = attach(facts, state, ["competition", "match_date"], ledger.rows)
+    joined = attach(facts, state, ["competition", "match_date"], ledger.dates)
     return joined.select(
         "match_id", "match_date", "competition", "home_team", "away_team", "actual", "expected", F.inline_outer("models")
     )

@@ -41,18 +41,16 @@ def goal_log(spark):
     return build
 
 
-def weekly_history(n=60):
+def weekly_history(n=70):
     """One contest a week between the same sides, counts cycling with period 4."""
-    start = dt.date(2019, 1, 1)
-    home, away = (2, 10, 4, 8), (9, 1, 7, 3)
+    start = dt.date(2018, 9, 4)
+    home, away = (3, 12, 6, 5), (8, 2, 4, 7)
     return [(start + dt.timedelta(days=7 * i), "A", "B", home[i % 4], away[i % 4]) for i in range(n)]
 
 
-def goal_history(n=160):
-    """Two contests a day, goals cycling with period 6."""
-    start = dt.date(2017, 1, 1)
-    home, away = (0, 1, 3, 2, 0, 2), (0, 1, 0, 2, 1, 2)
-    return [
-        (start + dt.timedelta(days=i // 2), "A" if i % 2 else "C", "B" if i % 2 else "D", home[i % 6], away[i % 6])
-        for i in range(n)
-    ]
+def goal_history(n=180):
+    """Three contests a day between six sides, goals cycling with period 7."""
+    start = dt.date(2017, 3, 1)
+    home, away = (1, 0, 2, 0, 3, 1, 1), (1, 0, 1, 2, 1, 0, 2)
+    sides = (("P", "Q"), ("R", "S"), ("T", "U"))
+    return [(start + dt.timedelta(days=i // 3), *sides[i % 3], home[i % 7], away[i % 7]) for i in range(n)]
