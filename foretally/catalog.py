@@ -481,20 +481,7 @@ def block_bootstrap(d: Derived) -> DataFrame:
 
 @register
 def win_counts(d: Derived) -> DataFrame:
-    """Seasons and venues in which the time-weighted model has the lower Brier score."""
-    deltas = reports.decay_deltas(d.decay_panel).withColumn(
-        "slice",
-        F.explode(
-            F.array(
-                F.struct(F.lit("season").alias("by"), F.col("season").alias("value")),
-                F.struct(F.lit("venue").alias("by"), F.col("venue").alias("value")),
-            )
-        ),
-    )
-    per_slice = deltas.groupBy("pair", F.col("slice.by").alias("by"), F.col("slice.value").alias("value")).agg(
-        F.avg("brier_delta").alias("delta")
-    )
-    return scoring.win_counts(per_slice, ["pair", "by"])
+    return reports.decay_wins(sides.long_forecasts(d.decay_panel))
 
 
 @register

@@ -176,6 +176,25 @@ def decay_deltas(panel: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def decay_wins(forecasts: DataFrame, lines: Sequence[float] = SIDE_LINES) -> DataFrame:
+    """Seasons, venues and lines in which the time-weighted model has the lower Brier score.
+
+    One pass folds the forecasts to (model, season, venue) sums; the slices are refolds of it.
+    """
+    fine = settle(scoring.tally_counts(forecasts, lines, ["model", "season", "venue"]), "tally")
+    parts = []
+    for by in ("season", "venue"):
+        metrics = scoring.count_metrics(scoring.refold(fine, ["model", by]), lines, ["model", by])
+        parts.append(metrics.select(F.lit(by).alias("by"), F.col(by).alias("value"), "model", F.col("mean_brier").alias("brier")))
+    per_line = scoring.line_metrics(scoring.refold(fine, ["model"]), lines, ["model"])
+    parts.append(per_line.select(F.lit("line").alias("by"), F.col("line").cast("string").alias("value"), "model", "brier"))
+    slices = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col("brier")))
+    pairs = [F.struct(F.lit(f"{c}_minus_{b}").alias("pair"), (of(c) - of(b)).alias("delta")) for c, b in DECAY_PAIRS]
+    deltas = slices.groupBy("by", "value").agg(F.array(*pairs).alias("pairs"))
+    return scoring.win_counts(deltas.select("by", F.inline_outer("pairs")), ["pair", "by"])
+
+
 def decay_intervals(panel: DataFrame, samples: int = BLOCK_SAMPLES, keys: Sequence[str] = ()) -> DataFrame:
     return resample.block_bootstrap(pairing.block_totals(decay_deltas(panel), [*keys, "pair"]), [*keys, "pair"], samples)
 

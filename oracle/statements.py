@@ -444,11 +444,17 @@ def oracle_sql() -> dict[str, str]:
         "decay_deltas", f"SELECT pair, {_BLOCK} AS block_id, count(*) AS n, sum(brier_delta) AS s FROM decay_deltas GROUP BY ALL", "pair"
     )
     out["win_counts"] = query(
-        "decay_deltas",
+        ("decay_deltas", "decay_fc"),
         'SELECT pair, "by", count(*) FILTER (d < 0) AS wins, count(*) AS slices FROM per GROUP BY ALL',
         {
             "per": """SELECT pair, 'season' AS "by", season AS v, avg(brier_delta) AS d FROM decay_deltas GROUP BY ALL
-            UNION ALL SELECT pair, 'venue', venue, avg(brier_delta) FROM decay_deltas GROUP BY ALL"""
+            UNION ALL SELECT pair, 'venue', venue, avg(brier_delta) FROM decay_deltas GROUP BY ALL UNION ALL """
+            + " UNION ALL ".join(
+                f"""SELECT 'time_weighted_180_minus_{base}', 'line', '{x}', avg(pow(p_{dot(x)} - (actual > {x})::INT, 2)) FILTER (model = 'time_weighted_180')
+                - avg(pow(p_{dot(x)} - (actual > {x})::INT, 2)) FILTER (model = '{base}') FROM decay_fc"""
+                for base in ("equal_weight", "retained")
+                for x in SIDE_LINES
+            )
         },
     )
     unpivot = " UNION ALL ".join(f"SELECT '{m}' AS metric, sample, {m}_delta AS delta FROM means" for m in ("mae", "brier"))

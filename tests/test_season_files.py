@@ -183,3 +183,47 @@ def test_report_sink(spark, contests, tmp_path):
     reports.write_report(metrics, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).head().mae == 1.5
     assert reports.as_json(metrics, ["model"]).head().report == '{"mae":1.5}'
+
+
+def season_text(rows, header="Div,Date,HomeTeam,AwayTeam,HC,AC,FTHG,FTAG\n"):
+    lines = [f"E1,{day:%d/%m/%Y},{home},{away},{hc},{ac},{hg},{ag}\n" for day, home, away, hc, ac, hg, ag in rows]
+    return header + "".join(lines)
+
+
+def test_decay_report(spark, season):
+    import json
+
+    from tests.conftest import weekly_history
+
+    path = season(season_text([(*row, 1, 0) for row in weekly_history()]))
+    result = reports.decay_report(spark, [path], samples=50)
+    assert {m: v["n"] for m, v in result["models"].items()} == {"retained": 40, "equal_weight": 40, "time_weighted_180": 40}
+    for interval in result["brier_intervals"].values():
+        assert interval["lower_95"] <= interval["mean_delta"] <= interval["upper_95"]
+    json.dumps(result)
+    with pytest.raises(ValueError, match="duplicate fixture"):
+        reports.decay_report(spark, [path, season(season_text([(*weekly_history()[3], 1, 0)]), "again.csv")])
+
+
+def test_goal_report(spark, season):
+    import json
+
+    from tests.conftest import goal_history
+
+    rows = [(day, home, away, 5, 4, hg, ag) for day, home, away, hg, ag in goal_history()]
+    files = [season(season_text(rows[:150]), "E1_1617.csv"), season(season_text(rows[150:]), "E1_1718.csv")]
+    result = reports.goal_report(spark, files, dt.date(2017, 1, 1), rows[165][0], samples=40)
+    assert set(result["metrics"]) == {"all", "development", "latest"}
+    everything = result["metrics"]["all"]
+    assert len(everything) == 10 and everything["coin_0_5"]["over_2_5"]["brier"] == 0.25
+    assert everything["coin_0_5"]["over_2_5"]["n"] == 78
+    assert len(everything["team_arithmetic"]["btts_yes"]["calibration_bins"]) == 10
+    parts = [result["metrics"][w]["coin_0_5"]["over_2_5"]["n"] for w in ("development", "latest")]
+    assert sum(parts) == 78 and parts[1] == 15
+    assert set(result["seasonal_metrics"]) == {"1617", "1718"}
+    assert set(result["paired_28_day_block_intervals"]) == {"all", "latest"}
+    unchanged = result["paired_28_day_block_intervals"]["all"]["team_arithmetic_dc_minus_team_arithmetic"]["over_2_5"]
+    assert (unchanged["delta_brier"], unchanged["lower_95"], unchanged["upper_95"]) == (0, 0, 0)
+    assert set(everything["venue_poisson_dc"]["rho"]) == {"mean_rho", "min_rho", "max_rho"}
+    assert result["data_quality"]["excluded_source_rows"] == 0 and len(result["data_quality"]["files"]) == 2
+    json.dumps(result, default=str)
