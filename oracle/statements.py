@@ -364,6 +364,12 @@ def oracle_sql() -> dict[str, str]:
     out["total_metrics"] = query(
         "total_fc", f"SELECT competition, {_metrics(TOTAL_LINES)} FROM scored GROUP BY competition", {"scored": _total_scored()}
     )
+    fields = ("n", "mean_predicted", "mean_actual", "mae", "rmse", "nll", "mean_brier")
+    out["report_json"] = query(
+        "total_fc",
+        "SELECT competition, CAST(to_json({" + ", ".join(f"'{x}': {x}" for x in fields) + "}) AS VARCHAR) AS report FROM metrics",
+        {"scored": _total_scored(), "metrics": f"SELECT competition, {_metrics(TOTAL_LINES)} FROM scored GROUP BY competition"},
+    )
     out["total_line_metrics"] = query("total_fc", _by_line("total_fc", TOTAL_LINES, "competition", True))
     poisson_p = ", ".join(f"{over('expected', '0.0::DOUBLE', x)} AS p_{dot(x)}" for x in TOTAL_LINES)
     out["poisson_vs_nb"] = query(
