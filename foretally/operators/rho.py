@@ -205,17 +205,17 @@ def fit_rho(
     roots = settle(_roots(_brackets(_folded(on_grid(history), on_grid(fitted), _KEYS), _KEYS)), "rho-roots")
     steep = roots.filter(F.col("reach") > REACH)
     if not steep.isEmpty():
-        roots = roots.filter(F.col("reach") <= REACH).unionByName(_refined(history, steep, roots.count()))
+        roots = roots.filter(F.col("reach") <= REACH).unionByName(_refined(history, steep))
     return bounds.join(roots.select(*_KEYS, "match_date", "rho"), [*_KEYS, "match_date"], "left").withColumn(
         "rho", F.coalesce("rho", F.lit(0.0))
     )
 
 
-def _refined(history: DataFrame, steep: DataFrame, root_rows: int) -> DataFrame:
+def _refined(history: DataFrame, steep: DataFrame) -> DataFrame:
     """Second pass over the cells (at most GRID_CELLS per competition and model) that need finer points."""
     middle = ((F.col("lo") + F.col("hi")) / 2 + RHO_LIMIT) * (GRID_CELLS / (2 * RHO_LIMIT))
     targets = steep.withColumn("cell", F.greatest(F.lit(0), F.least(F.lit(GRID_CELLS - 1), F.floor(middle))))
-    cells = targets.groupBy(*_KEYS).agg(F.collect_set("cell").alias("cells"))
+    cells = settle(targets.groupBy(*_KEYS).agg(F.collect_set("cell").alias("cells")), "rho-cells")
     keys = [*_KEYS, "cell"]
 
     def fine(df: DataFrame) -> DataFrame:
@@ -225,6 +225,6 @@ def _refined(history: DataFrame, steep: DataFrame, root_rows: int) -> DataFrame:
         )
 
     # neighbouring cells share an end point, so sums are kept per cell
-    local = attach(history, cells, _KEYS, root_rows).withColumn("cell", F.explode("cells")).drop("cells")
+    local = attach(history, cells, _KEYS, cells.count()).withColumn("cell", F.explode("cells")).drop("cells")
     bracketed = targets.select(*keys, "match_date", F.col("lo").alias("low"), F.col("hi").alias("high"), "c_min", "c_max")
     return _roots(_brackets(_folded(fine(local), fine(bracketed), keys), keys))

@@ -96,13 +96,15 @@ def _position(bad: DataFrame, rows: DataFrame, limit: int = _SHOWN) -> list[str]
     return out
 
 
-def load_contests(spark: SparkSession, paths: Iterable[str], strict: bool = True) -> LoadedLog:
+def load_contests(
+    spark: SparkSession, paths: Iterable[str], strict: bool = True, multi_line: bool = False
+) -> LoadedLog:
     """Completed contests of the season files.
 
-    With ``strict`` a malformed completed row raises and names its file and row; without it
+    ``multi_line`` allows line breaks inside quoted cells; such files are not split. With ``strict`` a malformed completed row raises and names its file and row; without it
     such rows are set aside in ``quarantine``. Rows without a result are counted and dropped.
     """
-    rows = settle(quality.judged(scan(spark, paths, CORNER_COLUMNS)), "season-rows", even=True)
+    rows = settle(quality.judged(scan(spark, paths, CORNER_COLUMNS, multi_line)), "season-rows", even=True)
     bad = quality.quarantine(rows)
     if strict and not bad.isEmpty():
         raise ValueError("\n".join(_position(bad, rows)))
@@ -115,15 +117,17 @@ def season_label(file_name_col: str = "file_name"):
     return F.regexp_replace(stem, r"^E1_", "")
 
 
-def load_goals(spark: SparkSession, paths: Iterable[str], competition: str = COMPETITION_CODE) -> tuple[DataFrame, LoadedLog, DataFrame]:
+def load_goals(
+    spark: SparkSession, paths: Iterable[str], competition: str = COMPETITION_CODE, multi_line: bool = False
+) -> tuple[DataFrame, LoadedLog, DataFrame]:
     """Goals joined onto the completed contests.
 
     Returns (goal contests, the contest load, source rows without a completed contest). A row
     of another competition, an over-long row, an invalid goal cell or a repeated fixture raises.
     """
     paths = [str(p) for p in paths]
-    loaded = load_contests(spark, paths)
-    parsed = scan(spark, paths, GOAL_COLUMNS).select(
+    loaded = load_contests(spark, paths, multi_line=multi_line)
+    parsed = scan(spark, paths, GOAL_COLUMNS, multi_line).select(
         "file_path",
         "file_name",
         "block_start",

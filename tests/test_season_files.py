@@ -227,3 +227,9 @@ def test_goal_report(spark, season):
     assert set(everything["venue_poisson_dc"]["rho"]) == {"mean_rho", "min_rho", "max_rho"}
     assert result["data_quality"]["excluded_source_rows"] == 0 and len(result["data_quality"]["files"]) == 2
     json.dumps(result, default=str)
+
+
+def test_line_breaks_inside_quoted_cells(spark, season):
+    path = season('Note,Div,Date,HomeTeam,AwayTeam,HC,AC\n"two\nlines",E1,05/08/2017,"A, x",B,6,4\n')
+    row = season_csv.load_contests(spark, [path], multi_line=True).contests.head()
+    assert (row.home_team, row.home_count) == ("A, x", 6)
