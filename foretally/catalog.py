@@ -131,7 +131,8 @@ _queries: dict[str, Query] = {}
 
 
 def register(query: Query) -> Query:
-    _queries[query.__name__] = query
+    """Register under the function's name; a trailing underscore avoids an import of that name."""
+    _queries[query.__name__.rstrip("_")] = query
     return query
 
 
@@ -226,7 +227,7 @@ def report_json(d: Derived) -> DataFrame:
 
 
 @register
-def observation_rows(d: Derived) -> DataFrame:
+def observations_(d: Derived) -> DataFrame:
     return observations(d.contests).select("match_id", "venue", "team", "opponent", "count_for", "count_allowed")
 
 
@@ -281,7 +282,7 @@ def dispersion(d: Derived) -> DataFrame:
 
 
 @register
-def time_weights(d: Derived) -> DataFrame:
+def time_weight_(d: Derived) -> DataFrame:
     age = F.datediff(F.lit("2002-01-01").cast("date"), F.col("match_date"))
     return tidy(d.contests.select("match_id", time_weight(age).alias("weight")))
 

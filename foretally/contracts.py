@@ -47,7 +47,7 @@ GOAL_PAIRS = (
     ("team_decay_180", "team_multiplicative"),
 ) + tuple((name + "_dc", name) for name in BASE_GOAL_MODELS)
 
-CORNER_COLUMNS = ("Date", "Div", "HomeTeam", "AwayTeam", "HC", "AC")
+COUNT_COLUMNS = ("Date", "Div", "HomeTeam", "AwayTeam", "HC", "AC")
 GOAL_COLUMNS = ("Date", "Div", "HomeTeam", "AwayTeam", "FTHG", "FTAG")
 
 # --- schemas ----------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretally.contracts import COMPETITION_CODE, CORNER_COLUMNS, FIXTURE_KEY, GOAL_COLUMNS
+from foretally.contracts import COMPETITION_CODE, COUNT_COLUMNS, FIXTURE_KEY, GOAL_COLUMNS
 from foretally.functions.parsing import parse_count, parse_match_date, stripped
 from foretally.operators import quality
 from foretally.workspace import settle
@@ -104,7 +104,7 @@ def load_contests(
     ``multi_line`` allows line breaks inside quoted cells; such files are not split. With ``strict`` a malformed completed row raises and names its file and row; without it
     such rows are set aside in ``quarantine``. Rows without a result are counted and dropped.
     """
-    rows = settle(quality.judged(scan(spark, paths, CORNER_COLUMNS, multi_line)), "season-rows", even=True)
+    rows = settle(quality.judged(scan(spark, paths, COUNT_COLUMNS, multi_line)), "season-rows", even=True)
     bad = quality.quarantine(rows)
     if strict and not bad.isEmpty():
         raise ValueError("\n".join(_position(bad, rows)))

@@ -318,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "contests",
         "SELECT match_id, (home_goals + away_goals >= 3)::INT AS over_2_5, (home_goals > 0 AND away_goals > 0)::INT AS btts_yes FROM contests",
     )
-    out["observation_rows"] = query(
+    out["observations"] = query(
         "contests",
         """SELECT match_id, 'home' AS venue, home_team AS team, away_team AS opponent, home_count AS count_for, away_count AS count_allowed FROM contests
         UNION ALL SELECT match_id, 'away', away_team, home_team, away_count, home_count FROM contests""",
@@ -356,7 +356,7 @@ def oracle_sql() -> dict[str, str]:
         {r(dispersion('n', 'aws', 'aq'), 'away')}, {r(dispersion('2 * n', 'hs + aws', 'hq + aq'), 'pooled')} FROM wide""",
     )
     weight = "pow(0.5::DOUBLE, (DATE '2002-01-01' - match_date) / 180.0::DOUBLE)"
-    out["time_weights"] = query("contests", f"SELECT match_id, {r(weight, 'weight')} FROM contests")
+    out["time_weight"] = query("contests", f"SELECT match_id, {r(weight, 'weight')} FROM contests")
     out["total_walkforward"] = query(
         "total_fc",
         f"SELECT match_id, match_date, competition, actual, {r('expected', 'expected')}, {r('dispersion', 'dispersion')}, {_p_columns(TOTAL_LINES)} FROM total_fc",
