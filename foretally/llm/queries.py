@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.llm import simhash, topk, urls, warc
+from foretally.llm import decontam, html, quality, simhash, topk, toxicity, urls, warc
 from foretally.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -22,13 +30,30 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"), spark)
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(table(spark, folder, "pages"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    named = (op3_url_filter, op5_top_k, op6_warc, op9_simhash)
+    named = (
+        op1_toxicity,
+        op3_url_filter,
+        op4_decontaminate,
+        op5_top_k,
+        op6_warc,
+        op7_html_text,
+        op8_quality,
+        op9_simhash,
+    )
     return {query.__name__: query for query in named}
 
 

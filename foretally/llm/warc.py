@@ -7,7 +7,7 @@ is a frame of its own, compressed with the dictionary. Records with equal payloa
 become revisit records, which refer to it and hold no payload.
 
 The dictionary is trained on at most ``SAMPLE_RECORDS`` records of at most ``SAMPLE_BYTES`` each, those with
-the smallest hashes of their digest; a corpus without enough records gets archives without dictionary.
+the smallest hashes of their id; a corpus without enough records gets archives without dictionary.
 An archive is closed at about ``ARCHIVE_BYTES``. A task writes archives under names of its own attempt, and only those of
 attempts that ended well are in the manifest, so a lost executor leaves nothing that is read.
 
@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretally.llm.fitting import bounded_sample
 from foretally.workspace import settle, shared_folder
 
 REVISIT_BYTES = 1000
@@ -111,24 +112,29 @@ def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b""
 
 
-def with_decisions(pages: DataFrame, id_column: str, url_column: str, html_column: str, least_bytes: int) -> DataFrame:
-    """(page_id, url, payload, bytes, digest, refers_to) per row; the payloads move once, on their digest."""
+def payload_rows(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
+    """(page_id, url, payload, bytes, digest)."""
     rows = pages.select(
         F.col(id_column).cast("long").alias("page_id"),
         F.col(url_column).alias("url"),
         F.encode(F.coalesce(F.col(html_column), F.lit("")), "UTF-8").alias("payload"),
     )
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+    return rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+
+
+def with_decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """``rows`` with refers_to; the payloads move once, on their digest."""
     groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest")
     copies = groups.agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
     return rows.join(copies, "digest", "left").withColumn("refers_to", refers).drop("keep")
 
 
-def sample_records(decided: DataFrame) -> list[bytes]:
-    small = decided.where(F.col("refers_to").isNull() & (F.col("bytes") <= SAMPLE_BYTES))
-    rows = small.orderBy(F.xxhash64("digest"), "digest", "page_id").limit(SAMPLE_RECORDS).collect()
-    return [record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, r.bytes, None) for r in rows]
+def sample_records(rows: DataFrame) -> list[bytes]:
+    """Records of a bounded sample of rows, each payload once."""
+    sample = bounded_sample(rows, SAMPLE_RECORDS, "page_id", keep=F.octet_length("payload") <= SAMPLE_BYTES).collect()
+    once = {r.digest: r for r in sample}
+    return [record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, r.bytes, None) for r in once.values()]
 
 
 def write_archives(
@@ -140,9 +146,9 @@ def write_archives(
     least_bytes: int = REVISIT_BYTES,
 ) -> DataFrame:
     """Archives of all pages below ``folder`` (a uri that pyarrow's file systems reach); their manifest."""
-    decided = with_decisions(pages, id_column, url_column, html_column, least_bytes)
-    sampled = sample_records(with_decisions(pages, id_column, url_column, html_column, least_bytes))
-    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(sampled))  # at most DICTIONARY_BYTES
+    rows = payload_rows(pages, id_column, url_column, html_column)
+    decided = with_decisions(rows, least_bytes)
+    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(sample_records(rows)))  # at most DICTIONARY_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
