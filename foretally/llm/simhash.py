@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.llm.common import filled, map_pieces, words_of
@@ -96,15 +96,16 @@ def ball(value: Column) -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(lo, hi): links between distinct fingerprints that connect all within two bits of each other."""
-    near = prints.select(F.col("print"), F.explode(ball(F.col("print"))).alias("near"))
-    low = near.groupBy("near").agg(F.min("print").alias("lo"), F.max("print").alias("top"), F.count(F.lit(1)).alias("n"))
-    shared = low.where("n > 1")
-    # buckets of two, by far the most, are complete; the members of the others are gathered (at most 65)
-    pairs = shared.where("n = 2").select("lo", F.col("top").alias("hi"))
-    large = shared.where("n > 2").select("near", "lo")
-    members = near.join(large, "near").where("print <> lo").select("lo", F.col("print").alias("hi"))
-    return pairs.union(members).where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= 2).distinct()
+    """(lo, hi): links between distinct fingerprints that connect all within two bits of each other.
+
+    The ball values are shuffled once; a bucket's rows, at most 65, are tied to its smallest fingerprint.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a few numbers a row here, but each becomes 65 rows below
+    even = prints.select("print").repartition(parts, "print")
+    near = even.select(F.col("print").alias("hi"), F.explode(ball(F.col("print"))).alias("near"))
+    tied = near.withColumn("lo", F.min("hi").over(Window.partitionBy("near"))).where("lo <> hi")
+    return tied.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= 2).select("lo", "hi").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
