@@ -31,10 +31,10 @@ from foretally.llm.common import filled, map_pieces, pieces, words_of
 from foretally.llm.fitting import fit_logistic, held_out, labelled_sample, sigmoid
 from foretally.workspace import settle
 
-DRIFT = 0.1
-PRIOR_WEIGHT = 500.0
+DRIFT = 0.03
+PRIOR_WEIGHT = 10.0
 PRIOR_FLOOR = 0.5
-BOUND_Z = 3.0
+BOUND_Z = 2.5
 MIN_SUPPORT = 8
 PREFIXES = (7, 6, 5, 4, 3)
 SIGNIFICANT = 0.01
@@ -164,40 +164,52 @@ def _support(sample: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
-    """Lower bounds of log-odds with Dirichlet priors in proportion to overall frequency."""
-    alpha = PRIOR_WEIGHT * (toxic + clean) / (n_toxic + n_clean) + PRIOR_FLOOR
-    a, b = toxic + alpha, clean + alpha
-    delta = np.log(a / (n_toxic + PRIOR_WEIGHT - a).clip(1)) - np.log(b / (n_clean + PRIOR_WEIGHT - b).clip(1))
-    return delta - BOUND_Z * np.sqrt(1 / a + 1 / b)
-
-
 def term_scores(table: list[tuple[str, int, int]]) -> ToxicModel:
-    """Scores of words with support, and of the beginnings of the others."""
+    """Scores of words with support, and of the beginnings of words that a word without support falls back to.
+
+    The Dirichlet prior of a term follows the shares of its longest known beginning, and that of a beginning
+    those of a shorter one, down to the shares of all words.
+    """
     model = ToxicModel()
     n_toxic, n_clean = (float(sum(r[i] for r in table)) for i in (1, 2))
     if not n_toxic or not n_clean:
         return model
-
-    def scored(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-        held = {k: v for k, v in counts.items() if sum(v) >= MIN_SUPPORT}
-        pair = np.array(list(held.values()), float).reshape(-1, 2)
-        return dict(zip(held, _bounds(pair[:, 0], pair[:, 1], n_toxic, n_clean).tolist()))
-
-    words = scored({w: (t, c) for w, t, c in table})
-    for size in PREFIXES:
-        counts: dict[str, tuple[int, int]] = {}
+    base = n_toxic / (n_toxic + n_clean)
+    shares: dict[str, float] = {}  # of toxic places among a term's, with its prior
+    scores: dict[str, float] = {}
+
+    def parent(term: str) -> float:
+        return next((shares[term[:n]] for n in PREFIXES if n < len(term) and term[:n] in shares), base)
+
+    def add(term: str, toxic: int, clean: int) -> None:
+        prior = parent(term)
+        a = toxic + PRIOR_WEIGHT * prior + PRIOR_FLOOR * base
+        b = clean + PRIOR_WEIGHT * (1 - prior) + PRIOR_FLOOR * (1 - base)
+        shares[term] = a / (a + b)
+        bound = math.log(a / b) - math.log(n_toxic / n_clean) - BOUND_Z * math.sqrt(1 / a + 1 / b)
+        scores[term] = max(bound, -DRIFT)
+
+    held = {word for word, t, c in table if t + c >= MIN_SUPPORT}
+    for size in sorted(PREFIXES):
+        counts: dict[str, list[int]] = {}
         for word, t, c in table:
-            if word not in words and len(word) > size:
-                old = counts.get(word[:size], (0, 0))
-                counts[word[:size]] = (old[0] + t, old[1] + c)
-        model.prefixes[size] = {k: max(s, -DRIFT) for k, s in scored(counts).items()}
-    # a neutral word needs an entry only where it keeps a toxic beginning from counting
-    toxic_heads = {k for table_ in model.prefixes.values() for k, s in table_.items() if s > 0}
-    model.words = {w: max(s, -DRIFT) for w, s in words.items() if s > 0 or any(w[:n] in toxic_heads for n in PREFIXES)}
-    for size in PREFIXES:
-        own = model.prefixes[size]
-        model.prefixes[size] = {k: s for k, s in own.items() if s > 0 or any(k[:n] in toxic_heads for n in PREFIXES if n < size)}
+            if len(word) > size and word not in held:
+                pair = counts.setdefault(word[:size], [0, 0])
+                pair[0], pair[1] = pair[0] + t, pair[1] + c
+        for head, (t, c) in counts.items():
+            if t + c >= MIN_SUPPORT:
+                add(head, t, c)
+    heads = {size: {h: scores[h] for h in scores if len(h) == size} for size in PREFIXES}
+    for word, t, c in table:
+        if word in held:
+            shares.pop(word, None)
+            add(word, t, c)
+    toxic_heads = {h for own in heads.values() for h, s in own.items() if s > 0}
+    # a neutral term needs an entry only where it keeps a toxic beginning from counting
+    model.words = {w: scores[w] for w in held if scores[w] > 0 or any(w[:n] in toxic_heads for n in PREFIXES if n < len(w))}
+    model.prefixes = {
+        size: {h: s for h, s in own.items() if s > 0 or any(h[:n] in toxic_heads for n in PREFIXES if n < size)} for size, own in heads.items()
+    }
     return model
 
 
