@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.llm import decontam, html, quality, simhash, topk, toxicity, urls, warc
+from foretally.llm import decontam, html, pii, quality, simhash, topk, toxicity, urls, warc
 from foretally.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
@@ -46,6 +51,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_toxicity,
+        op2_pii,
         op3_url_filter,
         op4_decontaminate,
         op5_top_k,
