@@ -114,7 +114,8 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return held.view(np.uint64)
 
 
-def _passes(seed: np.ndarray, held: np.ndarray) -> np.ndarray:
+def filter_passes(seed: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Places of the seeds that the filter may hold."""
     chosen = np.arange(len(seed))
     for i in range(_PROBES):
         bit = (seed[chosen] >> np.uint64(20 * i)) & np.uint64(FILTER_BITS - 1)
@@ -197,7 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
             for piece in pieces(batch, "text"):
                 hashes, offsets = word_hashes(filled(piece.column(1)))
                 seed, first = seeds_of(hashes, offsets)
-                hit = _passes(seed, held.value)
+                hit = filter_passes(seed, held.value)
                 row = np.searchsorted(offsets, first[hit], side="right") - 1
                 places = (first[hit] - offsets[row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.llm import decontam, html, pii, quality, simhash, topk, toxicity, urls, warc
+from foretally.llm import bpe, decontam, html, pii, quality, simhash, topk, toxicity, urls, warc
 from foretally.llm.common import table
 
 
@@ -48,6 +49,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     named = (
         op1_toxicity,
@@ -59,6 +64,7 @@ def queries() -> dict:
         op7_html_text,
         op8_quality,
         op9_simhash,
+        op10_bpe,
     )
     return {query.__name__: query for query in named}
 
