@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.llm.common import filled, map_pieces
-from foretally.llm.fitting import fit_logistic, held_out, labelled_sample, sigmoid
+from foretally.llm.fitting import calibrated, fit_logistic, held_out, labelled_sample, sigmoid
 from foretally.workspace import settle
 
 ACCEPT = 0.5
@@ -150,9 +150,7 @@ def _scaled(features: np.ndarray, model: QualityModel) -> np.ndarray:
 def _document_features(p: np.ndarray, lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Length-weighted share of bad lines, and the same as log-odds."""
     weight = lengths + 1.0
-    total = np.concatenate([[0], np.cumsum(weight)])
-    bad = np.concatenate([[0], np.cumsum(weight * p)])
-    share = (bad[offsets[1:]] - bad[offsets[:-1]]) / (total[offsets[1:]] - total[offsets[:-1]])
+    share = np.add.reduceat(weight * p, offsets[:-1]) / np.add.reduceat(weight, offsets[:-1])
     share = np.clip(share, 1e-4, 1 - 1e-4)
     return np.column_stack([share, np.log(share / (1 - share))])
 
@@ -164,7 +162,7 @@ def score_texts(texts: pa.Array, model: QualityModel) -> tuple[np.ndarray, np.nd
         return np.full(len(texts), sigmoid(model.calibration[0])), np.zeros(len(lengths)), offsets
     p, _, _ = marginals(_scaled(features, model) @ model.node, model.moves, offsets)
     x = _document_features(p, lengths, offsets)
-    return sigmoid(model.calibration[0] + x @ model.calibration[1:]), p, offsets
+    return calibrated(x, model.calibration), p, offsets
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int | None = None, **columns) -> QualityModel:

@@ -154,3 +154,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def hex_digits(value: Column) -> Column:
     """A long's 64 bits as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def without_repeated_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each doc_id, that with the smallest text; rows with a null id all stay.
+
+    Only rows whose id repeats are moved.
+    """
+    counts = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count()
+    twice = settle(counts.where("count > 1").select(F.col(id_column).alias("twice")), "twice")
+    if twice.isEmpty():
+        return docs
+    here = F.col(id_column) == F.col("twice")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    moved = docs.join(twice, here, "left_semi").select(id_column, whole.alias("row"), F.coalesce(text_column, F.lit("")).alias("order"))
+    once = moved.groupBy(id_column).agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return docs.join(twice, here, "left_anti").union(once)

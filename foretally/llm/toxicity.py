@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.llm.common import filled, map_pieces, pieces, words_of
-from foretally.llm.fitting import fit_logistic, held_out, labelled_sample, sigmoid
+from foretally.llm.fitting import calibrated, fit_logistic, held_out, labelled_sample
 from foretally.workspace import settle
 
 DRIFT = 0.03
-PRIOR_WEIGHT = 10.0
+PRIOR_WEIGHT = 4.0
 PRIOR_FLOOR = 0.5
 BOUND_Z = 2.5
 MIN_SUPPORT = 8
@@ -252,7 +252,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_column: str = "doc_id
 
     def score(piece: pa.RecordBatch) -> pa.RecordBatch:
         x, passages = _piece_features(filled(piece.column(1)), model)
-        p = sigmoid(model.calibration[0] + x @ model.calibration[1:])
+        p = calibrated(x, model.calibration)
         spans = pa.array([[{"first": a, "last": b, "score": s, "log_e": -e} for a, b, s, e in row] for row in passages], kind)
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(p), spans], ["doc_id", "score", "passages"])
 
@@ -268,7 +268,7 @@ def without_toxic(docs: DataFrame, model: ToxicModel, text_column: str = "text",
         for batch in batches:
             for piece in pieces(batch, text_column):
                 x, _ = _piece_features(filled(piece.column(text_column)), model)
-                yield piece.filter(pa.array(sigmoid(model.calibration[0] + x @ model.calibration[1:]) < reject))
+                yield piece.filter(pa.array(calibrated(x, model.calibration) < reject))
 
     return docs.mapInArrow(keep, docs.schema)
 
