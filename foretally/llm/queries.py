@@ -54,6 +54,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import corpus_pipeline  # which imports this package itself
+
     named = (
         op1_toxicity,
         op2_pii,
@@ -66,7 +68,7 @@ def queries() -> dict:
         op9_simhash,
         op10_bpe,
     )
-    return {query.__name__: query for query in named}
+    return {query.__name__: query for query in named} | {"pipeline": corpus_pipeline.run}
 
 
 # Each statement computes its query's rows over the whole table by a plain path of its own.

@@ -88,7 +88,7 @@ def test_fold_and_no_labels(spark):
 
 
 def test_word_without_support_falls_back_to_its_beginning():
-    table = [("nastyab", 4, 0), ("nastycd", 5, 0), ("nastyef", 6, 0), ("common", 30, 300), ("nastyok", 0, 40)]
+    table = [("nastyab", 4, 0), ("nastycd", 5, 0), ("nastyef", 6, 0), ("common", 30, 600), ("nastyok", 0, 40)]
     model = toxicity.term_scores(table + [(f"w{i}", 3, 60) for i in range(50)])
     scores = toxicity.token_scores(pa.array(["nastyzz", "nastyok", "common", "other"]), model)
     assert scores[0] > 0 and scores[1] <= 0 and scores[2] <= 0 and scores[3] == -toxicity.DRIFT
