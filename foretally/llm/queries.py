@@ -96,7 +96,7 @@ def _url_sql() -> str:
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
             FROM pages
         ), judged AS (
-            SELECT page_id, host, path, list_max(list_filter([{found}], x -> x IS NOT NULL)) AS best,
+            SELECT page_id, host, path, list_max(list_filter([{found}], lambda x: x IS NOT NULL)) AS best,
                    {strict} AS n_strict, {soft} AS n_soft
             FROM parts
         )
@@ -109,11 +109,11 @@ def _url_sql() -> str:
 
 _TOP_K_SQL = """
     WITH usable AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS parts
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS parts
         FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.parts, c.parts), p -> p[1] * p[2]))::BIGINT AS score
+        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.parts, c.parts), lambda p: p[1] * p[2]))::BIGINT AS score
         FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.parts) = len(c.parts)
     )
     SELECT query_id, row_number() OVER best AS rank, vec_id, score
