@@ -6,8 +6,13 @@ settled once per session and folder; each query is a plan over them.
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import os
+import uuid
 from collections.abc import Callable
 from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +24,7 @@ from foretally.contracts import (
     SIDE_MODELS,
     TOTAL_LINES,
 )
-from foretally.functions.calendar import time_weight
+from foretally.functions.calendar import july_season, time_weight
 from foretally.functions.counts import (
     dixon_coles_events,
     moment_dispersion,
@@ -32,12 +37,11 @@ from foretally.operators import pairing, quality, resample, rho as rho_ops, scor
 from foretally.operators.ledger import Ledger, build_ledger, league_state, team_state
 from foretally.operators.reshape import observations
 from foretally.plans import goals, reports, sides, totals
-from foretally.sources.contest_log import FIXTURE_HOLDOUT, FIXTURE_START, contests_from_orders, raw_rows
-from foretally.sources.season_csv import season_label
-from foretally.workspace import settle
+from foretally.sources.contest_log import FIXTURE_HOLDOUT, FIXTURE_START, contests_from, log_from_orders, raw_rows
+from foretally.sources.season_csv import file_manifest, load_contests, load_goals, season_label
+from foretally.workspace import run_folder, settle
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-QUERY_SAMPLES = 200  # samples of the registered iid bootstraps
 
 
 class Derived:
@@ -47,12 +51,16 @@ class Derived:
         self.spark, self.folder = spark, folder
 
     @cached_property
+    def log(self) -> DataFrame:
+        return settle(log_from_orders(self.spark, self.folder), "log", even=True)
+
+    @property
     def contests(self) -> DataFrame:
-        return settle(contests_from_orders(self.spark, self.folder), "contests", even=True)
+        return contests_from(self.log)
 
     @cached_property
     def fixtures(self) -> DataFrame:
-        return settle(quality.unique_fixtures(self.contests), "fixtures", even=True)
+        return settle(unique_fixtures(self), "fixtures", even=True)
 
     @cached_property
     def ledger(self) -> Ledger:
@@ -64,7 +72,7 @@ class Derived:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw_rows(self.fixtures)
+        return raw_rows(self.log)
 
     @cached_property
     def goal_rates(self) -> DataFrame:
@@ -185,7 +193,7 @@ def duplicate_fixtures(d: Derived) -> DataFrame:
 
 @register
 def unique_fixtures(d: Derived) -> DataFrame:
-    return quality.unique_fixtures(d.contests)
+    return quality.unique_fixtures(d.contests, derived={"season": july_season("match_date")})
 
 
 def _goal_source(d: Derived) -> DataFrame:
@@ -203,8 +211,9 @@ def _goal_source(d: Derived) -> DataFrame:
 
 @register
 def goal_contests(d: Derived) -> DataFrame:
-    completed = quality.contests_from(quality.judged(d.raw))
-    return quality.attach_goals(completed, _goal_source(d)).select(
+    completed = quality.unique_fixtures(quality.contests_from(quality.judged(d.raw)))
+    source = quality.unique_fixtures(_goal_source(d).where("match_date IS NOT NULL"))
+    return quality.attach_goals(completed, source).select(
         "match_id", "home_goals", "away_goals", "season", "home_count", "away_count"
     )
 
@@ -215,6 +224,48 @@ def excluded_rows(d: Derived) -> DataFrame:
     return quality.excluded_goal_rows(_goal_source(d), completed).select("match_id", "season")
 
 
+def _season_files(d: Derived, rows: DataFrame, label: str) -> list[str]:
+    """The raw rows as season files, one a season, every other season in another column order."""
+    folder = os.path.join(run_folder(d.spark), f"{label}-{uuid.uuid4().hex}")
+    columns = [c for c in rows.columns if c not in ("match_id", "file_name")]
+    season = F.regexp_extract("file_name", "_([0-9]+)", 1)
+    for odd, order in enumerate((columns, columns[::-1])):
+        part = rows.withColumn("season", season).where(F.col("season").cast("int") % 2 == odd)
+        writer = part.select(*order, "season").repartition("season").write.partitionBy("season")
+        writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        writer.csv(os.path.join(folder, str(odd)))
+    return [unquote(f) for f in d.spark.read.option("recursiveFileLookup", True).text(folder).inputFiles()]
+
+
+@register
+def season_scan(d: Derived) -> DataFrame:
+    """The raw rows written as season files and loaded again."""
+    loaded = load_contests(d.spark, _season_files(d, d.raw, "season-files"), strict=False)
+    return loaded.contests.select("match_date", "competition", "home_team", "away_team", "home_count", "away_count")
+
+
+@register
+def season_goals(d: Derived) -> DataFrame:
+    """Goals from season files of unique, completed fixtures, a set of files for each competition."""
+    good = quality.judged(d.raw).where("status = 'loaded'").join(d.fixtures.select("match_id"), "match_id", "left_semi")
+    clean = [F.date_format("match_date", "dd/MM/yyyy").alias("Date"), F.col("competition").alias("Div")]
+    clean += [F.col(a).alias(b) for a, b in (("home_team", "HomeTeam"), ("away_team", "AwayTeam"))]
+    rows = settle(good.select("match_id", "file_name", "competition", *clean, "FTHG", "FTAG", "HC", "AC"), "clean-rows")
+    parts = []
+    for segment in SEGMENTS:
+        own = rows.where(F.col("competition") == segment).drop("competition")
+        goals_, _, _ = load_goals(d.spark, _season_files(d, own, "goal-files"), segment)
+        parts.append(goals_.select("match_date", "competition", "home_team", "away_team", "home_goals", "away_goals", "home_count", "away_count"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@register
+def file_manifest_(d: Derived) -> DataFrame:
+    """Rows, dates and teams of each season file."""
+    found = file_manifest(d.spark, _season_files(d, d.raw, "season-files"))
+    return found.select(F.regexp_extract("file_path", "season=([0-9]+)", 1).alias("season"), "rows", "first_date", "last_date", "teams")
+
+
 @register
 def goal_outcomes(d: Derived) -> DataFrame:
     over, both = goals.outcomes(F.col("home_goals"), F.col("away_goals"))
@@ -412,17 +463,18 @@ def prior_sensitivity(d: Derived) -> DataFrame:
 
 @register
 def invalid_scores(d: Derived) -> DataFrame:
-    """Forecasts from the first date on, where early means may be missing or zero."""
-    state = league_state(d.ledger.daily, ["n", "home_sum", "home_sq"])
-    rows = state.select(
-        "competition",
-        "match_date",
-        F.try_divide("past_home_sum", "past_n").alias("expected"),
-        moment_dispersion(F.col("past_n"), F.col("past_home_sum"), F.col("past_home_sq")).alias("dispersion"),
-    )
-    return rows.groupBy("competition").agg(
-        F.count(F.lit(1)).alias("dates"), F.count_if(~quality.scorable(rows)).alias("invalid_dates")
-    )
+    """Forecasts of every model without a valid distribution; those of counts from the first date on,
+    where early means may be zero."""
+    first = dt.date(1900, 1, 1)
+    counts = [
+        totals.total_forecasts(d.contests, d.ledger, first),
+        sides.long_forecasts(sides.side_panel(d.contests, d.ledger, first)),
+        sides.long_forecasts(sides.decay_panel(d.fixtures, d.fixture_ledger, first)),
+    ]
+    parts = [df.select("model", quality.scorable(df).alias("valid")) for df in counts]
+    parts.append(d.goal_forecasts.select("model", F.col("p").isNotNull().alias("valid")))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("forecasts"), F.count_if(~F.col("valid")).alias("unscored"))
 
 
 @register
@@ -489,14 +541,14 @@ def win_counts(d: Derived) -> DataFrame:
 def iid_bootstrap(d: Derived) -> DataFrame:
     deltas = pairing.side_deltas(pairing.panel_pair(d.side_panel, SIDE_MODELS, *SIDE_MODELS))
     fixtures = pairing.fixture_deltas(deltas)
-    return tidy(resample.iid_bootstrap(fixtures, pairing.CONTEST_VALUE, samples=QUERY_SAMPLES))
+    return tidy(resample.iid_bootstrap(fixtures, pairing.CONTEST_VALUE))
 
 
 @register
 def iid_bootstrap_poisson(d: Derived) -> DataFrame:
     deltas = pairing.side_deltas(pairing.panel_pair(d.side_panel, SIDE_MODELS, *SIDE_MODELS))
     fixtures = pairing.fixture_deltas(deltas)
-    return tidy(resample.iid_bootstrap(fixtures, pairing.CONTEST_VALUE, samples=QUERY_SAMPLES, method="poisson"))
+    return tidy(resample.iid_bootstrap(fixtures, pairing.CONTEST_VALUE, method="poisson"))
 
 
 @register

@@ -41,8 +41,15 @@ def parse_match_date(cell: Column | str, trimmed: bool = False) -> Column:
     return F.when(text.rlike(DATE_SHAPE) & (full_year != "0000"), iso.try_cast("date"))
 
 
+def is_too_large(cell: Column | str) -> Column:
+    """A whole number beyond the 32 bits of a count."""
+    text = stripped(cell)
+    value = F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+    return F.coalesce((value >= F.lit(2147483648.0)) & (value == F.floor(value)), F.lit(False))
+
+
 def parse_count(cell: Column | str, trimmed: bool = False) -> Column:
-    """Non-negative whole number; ``6``, ``6.0`` and ``1e1`` are whole numbers."""
+    """Non-negative whole number up to 2**31 - 1; ``6``, ``6.0`` and ``1e1`` are whole numbers."""
     text = _text(cell, trimmed)
     value = F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
     whole = (value >= 0) & (value == F.floor(value)) & (value < F.lit(2147483648.0))

@@ -79,16 +79,17 @@ def fixture_deltas(deltas: DataFrame, key: Sequence[str] = CONTEST_VALUE) -> Dat
     return deltas.groupBy(*key).agg(
         F.avg("mae_delta").alias("mae_delta"),
         F.avg("brier_delta").alias("brier_delta"),
-        F.count(F.lit(1)).alias("observations"),
+        F.count("brier_delta").alias("observations"),
     )
 
 
 def block_totals(deltas: DataFrame, keys: Sequence[str], value: str = "brier_delta") -> DataFrame:
-    """Number and sum of differences per calendar block, the unit of the block bootstrap."""
+    """Number and sum of differences per calendar block, the unit of the block bootstrap; NULL ones don't count."""
     return (
         deltas.withColumn("block_id", block_id("match_date"))
         .groupBy(*keys, "block_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+        .agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+        .where("n > 0")
     )
 
 

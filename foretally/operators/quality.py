@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.contracts import COMPETITION_CODE, FIXTURE_KEY
-from foretally.functions.parsing import is_blank, parse_count, parse_match_date, stripped
+from foretally.functions.parsing import is_blank, is_too_large, parse_count, parse_match_date, stripped
 
 
 def without_result(home: str = "HC", away: str = "AC") -> Column:
@@ -39,8 +39,10 @@ def typed(raw: DataFrame, home: str = "HC", away: str = "AC") -> DataFrame:
 
 
 def _count_reason(cell: str, parsed: str) -> Column:
-    return F.when(is_blank(cell), F.lit("count is missing")).when(
-        F.col(parsed).isNull(), F.lit("count is not a non-negative integer")
+    return (
+        F.when(is_blank(cell), F.lit("count is missing"))
+        .when(is_too_large(cell), F.lit("count is above 2147483647"))
+        .when(F.col(parsed).isNull(), F.lit("count is not a non-negative integer"))
     )
 
 
@@ -95,13 +97,12 @@ def row_quality(rows: DataFrame, by: Sequence[str] = ("file_name",)) -> DataFram
 
 def constraint_violations(contests: DataFrame) -> DataFrame:
     """Typed contests that break a row constraint, with the broken rules."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     rules = {
         "match_date must be a date": F.col("match_date").isNull(),
-        "competition must not be empty": blank("competition"),
-        "home_team must not be empty": blank("home_team"),
-        "away_team must not be empty": blank("away_team"),
-        "home_team and away_team must be different": F.lower(F.trim("home_team")) == F.lower(F.trim("away_team")),
+        "competition must not be empty": is_blank("competition"),
+        "home_team must not be empty": is_blank("home_team"),
+        "away_team must not be empty": is_blank("away_team"),
+        "home_team and away_team must be different": F.lower(stripped("home_team")) == F.lower(stripped("away_team")),
         "home_count must be a non-negative integer": F.col("home_count").isNull() | (F.col("home_count") < 0),
         "away_count must be a non-negative integer": F.col("away_count").isNull() | (F.col("away_count") < 0),
     }
@@ -118,8 +119,8 @@ def unexpected_competitions(contests: DataFrame, expected: Iterable[str] = (COMP
 
 
 def require_competitions(contests: DataFrame, expected: Sequence[str] = (COMPETITION_CODE,)) -> None:
-    """Raise when another competition is present; the message names at most 20 of them."""
-    found = [r[0] for r in unexpected_competitions(contests, expected).orderBy("competition").limit(20).collect()]
+    """Raise when other competitions are present; the message names them all."""
+    found = [r[0] for r in unexpected_competitions(contests, expected).orderBy("competition").collect()]
     if found:
         raise ValueError(f"supports {', '.join(expected)} rows only; found: {', '.join(found)}")
 
@@ -134,16 +135,20 @@ def require_unique_fixtures(contests: DataFrame, key: Sequence[str] = FIXTURE_KE
         raise ValueError("duplicate fixture; supply non-overlapping season files")
 
 
-def unique_fixtures(contests: DataFrame, key: Sequence[str] = FIXTURE_KEY) -> DataFrame:
+def unique_fixtures(
+    contests: DataFrame, key: Sequence[str] = FIXTURE_KEY, derived: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Keep the row with the smallest match_id of each fixture key.
 
-    ``min_by`` over a struct combines map-side, so copies of one fixture shrink to one row
-    per task before the shuffle.
+    Numbers are kept by a ``min_by`` each, whose buffers fit a hash aggregate: copies of one fixture
+    shrink to one row per task before the shuffle, and nothing is sorted. ``derived`` gives columns that
+    follow from the kept ones; a text column that doesn't would bring the sort back.
     """
-    rest = [c for c in contests.columns if c not in key and c != "match_id"]
-    first = F.min_by(F.struct(*rest), F.col("match_id")).alias("kept")
-    grouped = contests.groupBy(*key).agg(F.min("match_id").alias("match_id"), first)
-    return grouped.select("match_id", *key, "kept.*").select(*contests.columns)
+    derived = derived or {}
+    rest = [c for c in contests.columns if c not in key and c != "match_id" and c not in derived]
+    kept = [F.min_by(c, "match_id").alias(c) for c in rest]
+    grouped = contests.groupBy(*key).agg(F.min("match_id").alias("match_id"), *kept)
+    return grouped.withColumns(dict(derived)).select(*contests.columns) if derived else grouped.select(*contests.columns)
 
 
 def require_rows(df: DataFrame, message: str = "no predictions are available for evaluation") -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.contracts import BLOCK_SAMPLES, BOOTSTRAP_SEED, IID_SAMPLES
-from foretally.workspace import fits_broadcast, settle, spread
+from foretally.workspace import attach, settle, spread
 
 _SPACE = 2**32
 
@@ -76,18 +76,21 @@ def numbered(units: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def iid_draws(units: DataFrame, n: int, metrics: Sequence[str], samples: int, seed: int) -> DataFrame:
-    """Sample means of n draws with replacement; ``units`` carry a dense ``idx`` and are broadcast."""
+def iid_draws(
+    units: DataFrame, n: int, metrics: Sequence[str], samples: int, seed: int, limit: int | None = None
+) -> DataFrame:
+    """Sample means of n draws with replacement; ``units`` carry a dense ``idx``.
+
+    The drawn units are looked up by a broadcast while their measured size allows it, else by a
+    shuffle on the index; the draws, and so the numbers, are the same.
+    """
     spark = units.sparkSession
     draws = spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism))).select(
         F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
     )
     drawn = with_drawn_index(with_sample_key(draws, seed), f"{n}L").select("sample", "idx")
-    return (
-        drawn.join(F.broadcast(units.select("idx", *metrics)), "idx")
-        .groupBy("sample")
-        .agg(*[F.avg(m).alias(m) for m in metrics])
-    )
+    looked_up = attach(drawn, units.select("idx", *metrics), ["idx"], n, limit=limit)
+    return looked_up.groupBy("sample").agg(*[F.avg(m).alias(m) for m in metrics])
 
 
 def poisson_thresholds() -> list[int]:
@@ -127,22 +130,24 @@ def iid_bootstrap(
     metrics: Sequence[str] = ("mae_delta", "brier_delta"),
     samples: int = IID_SAMPLES,
     seed: int = BOOTSTRAP_SEED,
-    method: str = "auto",
+    method: str = "multinomial",
+    limit: int | None = None,
 ) -> DataFrame:
     """Interval of the mean difference per metric from paired resampling of fixtures.
 
-    'multinomial' looks the drawn fixture up in a broadcast table and is used while that
-    table's measured size allows it; beyond it 'poisson' takes over.
+    'multinomial' draws n fixtures with replacement, at every n. 'poisson' is another estimator, used
+    only when asked for: each fixture comes in a unit-rate Poisson number of copies, which needs no look-up.
+    Fixtures without a difference are left out.
     """
     check_samples(samples)
-    settled = settle(fixtures.select(*key, *metrics), "bootstrap-units")
+    if method not in ("multinomial", "poisson"):
+        raise ValueError("method must be 'multinomial' or 'poisson'")
+    settled = settle(fixtures.select(*key, *metrics).dropna(subset=list(metrics)), "bootstrap-units")
     n = settled.count()
     if n == 0:
         raise ValueError("no predictions are available for bootstrapping")
-    if method == "auto":
-        method = "multinomial" if fits_broadcast(settled.select(*metrics).schema, n) else "poisson"
     if method == "multinomial":
-        means = iid_draws(numbered(settled, key), n, metrics, samples, seed)
+        means = iid_draws(numbered(settled, key), n, metrics, samples, seed, limit)
     else:
         means = poisson_draws(settled, key, metrics, samples, seed)
     entries = [F.struct(F.lit(m.removesuffix("_delta")).alias("metric"), F.col(m).alias("delta")) for m in metrics]

@@ -28,6 +28,7 @@ SUB_CELLS = 128
 MOMENTS = 16
 REACH = 0.2
 NEWTON_STEPS = 7
+_LONG_HALF_LIFE = 100  # days; 2 ** (a century / it) is within the double range
 _KEYS = ["competition", "model"]
 _BOUNDS = ["low", "high", "c_min", "c_max"]
 _T = [f"t{k}" for k in range(1, MOMENTS + 1)]
@@ -73,17 +74,36 @@ def rho_bounds(rows: DataFrame) -> DataFrame:
     ).withColumn("high", F.least(F.lit(RHO_LIMIT), margin / smallest))
 
 
+def _era_days(half_life: float) -> int | None:
+    """Days after which weights start anew; None where one scale holds all dates."""
+    if half_life <= 0:
+        raise ValueError("half_life must be positive")
+    return None if half_life >= _LONG_HALF_LIFE else max(1, int(500 * half_life))
+
+
 def _weight(half_lives: Mapping[str, float]) -> Column:
-    """Decay weight up to a factor common to a date, which does not move the root."""
+    """Decay weight up to a factor common to a date (and era), which does not move the root."""
     weight = F.lit(1.0)
     for model, half_life in half_lives.items():
-        if half_life < 100:
-            raise ValueError("rho weights need a half-life of at least 100 days")
-        age = (F.unix_date("match_date") - F.lit(ANCHOR_DAY)) / F.lit(float(half_life))
-        weight = F.when(F.col("model") == model, F.pow(F.lit(2.0), age)).otherwise(weight)
+        days = _era_days(half_life)
+        day = F.unix_date("match_date")
+        start = F.lit(ANCHOR_DAY) if days is None else F.floor(day / days) * days
+        scaled = F.pow(F.lit(2.0), (day - start) / F.lit(float(half_life)))
+        weight = F.when(F.col("model") == model, scaled).otherwise(weight)
     return weight
 
 
+def _eras(half_lives: Mapping[str, float]) -> tuple[Column, Column] | None:
+    """(era of a row, what a weight of the era before still weighs); None where no half-life is short."""
+    era, carry = F.lit(0).cast("bigint"), F.lit(0.0)
+    short = {model: h for model, h in half_lives.items() if _era_days(h)}
+    for model, half_life in short.items():
+        days, own = _era_days(half_life), F.col("model") == model
+        era = F.when(own, F.floor(F.unix_date("match_date") / days)).otherwise(era)
+        carry = F.when(own, F.lit(2.0 ** (-days / half_life))).otherwise(carry)
+    return (era, carry) if short else None
+
+
 def _point(index: Column, cells: int) -> Column:
     return F.lit(-RHO_LIMIT) + index * F.lit(2 * RHO_LIMIT / cells)
 
@@ -109,12 +129,23 @@ def _folded(history: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
     )
 
 
-def _brackets(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each target date the last point with a positive and the first with a non-positive slope."""
-    frame = Window.partitionBy(*keys, "point").orderBy(F.unix_date("match_date")).rangeBetween(Window.unboundedPreceding, -1)
-    summed = folded.select(
-        *keys, "match_date", "g", *_BOUNDS, *[F.coalesce(F.sum(t).over(frame), F.lit(0.0)).alias(t) for t in _T]
-    ).filter(F.col("low").isNotNull() & F.col("g").between(F.col("low"), F.col("high")))
+def _brackets(folded: DataFrame, keys: Sequence[str], half_lives: Mapping[str, float]) -> DataFrame:
+    """For each target date the last point with a positive and the first with a non-positive slope.
+
+    A short half-life cuts the dates into eras of 500 half-lives, as decayed sums do: a date sees its own era and the
+    one before.
+    """
+    eras, cut = _eras(half_lives), []
+    if eras:
+        folded, cut = folded.withColumns({"era": eras[0], "carry": eras[1]}), ["era"]
+        earlier = Window.partitionBy(*keys, "point").orderBy("era").rangeBetween(-1, -1)
+    frame = Window.partitionBy(*keys, "point", *cut).orderBy(F.unix_date("match_date")).rangeBetween(Window.unboundedPreceding, -1)
+
+    def past(t: str) -> Column:
+        own = F.coalesce(F.sum(t).over(frame), F.lit(0.0))
+        return own + F.col("carry") * F.coalesce(F.sum(t).over(earlier), F.lit(0.0)) if eras else own
+
+    summed = folded.select(*keys, "match_date", "g", *_BOUNDS, *[past(t).alias(t) for t in _T]).filter(F.col("low").isNotNull() & F.col("g").between(F.col("low"), F.col("high")))
     node = F.struct("g", *_T)
     return summed.groupBy(*keys, "match_date").agg(
         F.max_by(node, F.when(F.col("t1") > 0, F.col("g"))).alias("left"),
@@ -195,23 +226,25 @@ def fit_rho(
     """rho per (competition, model, date) from ``start`` on; 0 while the history is short."""
     bounds = settle(rho_bounds(rows).filter(F.col("match_date") >= F.lit(start)), "rho-bounds")
     fitted = bounds.filter(F.col("n_history") >= min_history)
-    history = rows.filter(F.col("c").isNotNull()).select(*_KEYS, "match_date", "c", _weight(half_lives).alias("w"))
+    # equal coefficients of a date share their weight: they become one row before the points multiply it
+    equal = rows.filter(F.col("c").isNotNull()).groupBy(*_KEYS, "match_date", "c").agg(F.count(F.lit(1)).alias("copies"))
+    history = settle(equal.select(*_KEYS, "match_date", "c", (_weight(half_lives) * F.col("copies")).alias("w")), "rho-history")
 
     def on_grid(df: DataFrame) -> DataFrame:
         return spread(df, *_KEYS, "match_date").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID_CELLS)))).withColumn(
             "g", _point(F.col("point"), GRID_CELLS)
         )
 
-    roots = settle(_roots(_brackets(_folded(on_grid(history), on_grid(fitted), _KEYS), _KEYS)), "rho-roots")
+    roots = settle(_roots(_brackets(_folded(on_grid(history), on_grid(fitted), _KEYS), _KEYS, half_lives)), "rho-roots")
     steep = roots.filter(F.col("reach") > REACH)
     if not steep.isEmpty():
-        roots = roots.filter(F.col("reach") <= REACH).unionByName(_refined(history, steep))
+        roots = roots.filter(F.col("reach") <= REACH).unionByName(_refined(history, steep, half_lives))
     return bounds.join(roots.select(*_KEYS, "match_date", "rho"), [*_KEYS, "match_date"], "left").withColumn(
         "rho", F.coalesce("rho", F.lit(0.0))
     )
 
 
-def _refined(history: DataFrame, steep: DataFrame) -> DataFrame:
+def _refined(history: DataFrame, steep: DataFrame, half_lives: Mapping[str, float]) -> DataFrame:
     """Second pass over the cells (at most GRID_CELLS per competition and model) that need finer points."""
     middle = ((F.col("lo") + F.col("hi")) / 2 + RHO_LIMIT) * (GRID_CELLS / (2 * RHO_LIMIT))
     targets = steep.withColumn("cell", F.greatest(F.lit(0), F.least(F.lit(GRID_CELLS - 1), F.floor(middle))))
@@ -220,11 +253,11 @@ def _refined(history: DataFrame, steep: DataFrame) -> DataFrame:
 
     def fine(df: DataFrame) -> DataFrame:
         first = F.col("cell") * SUB_CELLS
-        return spread(df, *_KEYS, "match_date").withColumn("point", F.explode(F.sequence(first, first + SUB_CELLS))).withColumn(
+        return df.withColumn("point", F.explode(F.sequence(first, first + SUB_CELLS))).withColumn(
             "g", _point(F.col("point"), GRID_CELLS * SUB_CELLS)
         )
 
     # neighbouring cells share an end point, so sums are kept per cell
-    local = attach(history, cells, _KEYS, cells.count()).withColumn("cell", F.explode("cells")).drop("cells")
+    local = attach(spread(history, *_KEYS, "match_date"), cells, _KEYS, cells.count()).withColumn("cell", F.explode("cells")).drop("cells")
     bracketed = targets.select(*keys, "match_date", F.col("lo").alias("low"), F.col("hi").alias("high"), "c_min", "c_max")
-    return _roots(_brackets(_folded(fine(local), fine(bracketed), keys), keys))
+    return _roots(_brackets(_folded(fine(local), fine(bracketed), keys), keys, half_lives))

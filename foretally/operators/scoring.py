@@ -30,21 +30,28 @@ def mean_brier(p_over: Column, actual: Column, lines: Sequence[float]) -> Column
 
 
 def tally_counts(forecasts: DataFrame, lines: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    """Score sums per group. Needs expected, actual, dispersion and p_over (one entry per line)."""
-    error = F.col("actual") - F.col("expected")
+    """Score sums per group. Needs expected, actual, dispersion and p_over (one entry per line).
+
+    ``n`` counts the scored forecasts. One without a distribution (a mean that is missing or not positive, a
+    missing outcome) has no log loss; it enters no sum and is counted in ``n_unscored``.
+    """
+    actual = F.when(F.col("nll").isNotNull(), F.col("actual"))
+    expected = F.when(F.col("nll").isNotNull(), F.col("expected"))
+    error = actual - expected
     sums = [
-        F.count(F.lit(1)).alias("n"),
-        F.sum("expected").alias("s_expected"),
-        F.sum(F.col("actual").cast("bigint")).alias("s_actual"),
+        F.count("nll").alias("n"),
+        F.count_if(F.col("nll").isNull()).alias("n_unscored"),
+        F.sum(expected).alias("s_expected"),
+        F.sum(actual.cast("bigint")).alias("s_actual"),
         F.sum(F.abs(error)).alias("s_abs"),
         F.sum(error * error).alias("s_sq"),
         F.sum("nll").alias("s_nll"),
     ]
     for i, line in enumerate(lines):
-        p, y = F.col("p_over")[i], outcome(F.col("actual"), line)
+        p, y = F.col("p_over")[i], outcome(actual, line)
         sums += [
             F.sum((p - y) * (p - y)).alias(f"s_brier_{i}"),
-            F.sum(p).alias(f"s_p_{i}"),
+            F.sum(F.when(F.col("nll").isNotNull(), p)).alias(f"s_p_{i}"),
             F.sum(y).alias(f"s_y_{i}"),
         ]
     scored = forecasts.withColumn("nll", negative_log_loss(F.col("actual"), F.col("expected"), F.col("dispersion")))
@@ -52,7 +59,14 @@ def tally_counts(forecasts: DataFrame, lines: Sequence[float], keys: Sequence[st
 
 
 def _sum_columns(tally: DataFrame) -> list[str]:
-    return [c for c in tally.columns if c == "n" or c.startswith("s_")]
+    return [c for c in tally.columns if c in ("n", "n_unscored") or c.startswith("s_")]
+
+
+def require_scored(tally: DataFrame) -> None:
+    """Raise when a tally counts forecasts that could not be scored."""
+    unscored = tally.agg(F.sum("n_unscored")).first()[0]
+    if unscored:
+        raise ValueError(f"{unscored} forecasts have no valid distribution")
 
 
 def refold(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,30 +88,36 @@ def count_metrics(tally: DataFrame, lines: Sequence[float], keys: Sequence[str])
     return tally.select(
         *keys,
         "n",
-        (F.col("s_expected") / F.col("n")).alias("mean_predicted"),
-        (F.col("s_actual") / F.col("n")).alias("mean_actual"),
-        (F.col("s_abs") / F.col("n")).alias("mae"),
-        F.sqrt(F.col("s_sq") / F.col("n")).alias("rmse"),
-        (F.col("s_nll") / F.col("n")).alias("nll"),
-        (brier / F.col("n") / F.lit(float(len(lines)))).alias("mean_brier"),
+        "n_unscored",
+        _mean("s_expected").alias("mean_predicted"),
+        _mean("s_actual").alias("mean_actual"),
+        _mean("s_abs").alias("mae"),
+        F.sqrt(_mean("s_sq")).alias("rmse"),
+        _mean("s_nll").alias("nll"),
+        F.try_divide(brier, F.col("n") * F.lit(float(len(lines)))).alias("mean_brier"),
     )
 
 
+def _mean(sums: str) -> Column:
+    """A sum over the scored rows; NULL for a group without any."""
+    return F.try_divide(F.col(sums), F.col("n"))
+
+
 def line_metrics(tally: DataFrame, lines: Sequence[float], keys: Sequence[str], with_under: bool = False) -> DataFrame:
     """Brier, mean predicted and observed share over each line."""
     entries = []
     for i, line in enumerate(lines):
-        p, y = F.col(f"s_p_{i}") / F.col("n"), F.col(f"s_y_{i}") / F.col("n")
+        p, y = _mean(f"s_p_{i}"), _mean(f"s_y_{i}")
         fields = [
             F.lit(float(line)).alias("line"),
-            (F.col(f"s_brier_{i}") / F.col("n")).alias("brier"),
+            _mean(f"s_brier_{i}").alias("brier"),
             p.alias("predicted_over"),
             y.alias("actual_over"),
         ]
         if with_under:
             fields += [(1 - p).alias("predicted_under"), (1 - y).alias("actual_under")]
         entries.append(F.struct(*fields))
-    return tally.select(*keys, "n", F.inline_outer(F.array(*entries)))
+    return tally.select(*keys, "n", "n_unscored", F.inline_outer(F.array(*entries)))
 
 
 METRICS = ("mae", "rmse", "nll", "mean_brier")
@@ -121,22 +141,29 @@ def win_counts(deltas: DataFrame, keys: Sequence[str], value: str = "delta") ->
 
 
 def probability_bin(p: Column) -> Column:
-    return F.least(F.lit(CALIBRATION_BINS - 1), F.floor(p * CALIBRATION_BINS)).cast("int")
+    """The bin of a probability; NULL for a missing one (``least`` alone would skip it)."""
+    return F.when(p.isNotNull(), F.least(F.lit(CALIBRATION_BINS - 1), F.floor(p * CALIBRATION_BINS))).cast("int")
 
 
 def tally_events(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Score sums per group and probability bin. Needs p, y and match_date."""
+    """Score sums per group and probability bin. Needs p, y and match_date.
+
+    Forecasts without probability or outcome are counted in ``n_unscored`` of a row without a bin and enter no sum.
+    """
+    scored = F.col("p").isNotNull() & F.col("y").isNotNull()
     error = F.col("p") - F.col("y")
     return (
-        forecasts.withColumn("bin", probability_bin(F.col("p")))
+        forecasts.withColumn("scored", scored)
+        .withColumn("bin", F.when(F.col("scored"), probability_bin(F.col("p"))))
         .groupBy(*keys, "bin")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("p").alias("s_p"),
-            F.sum(F.col("y").cast("bigint")).alias("s_y"),
+            F.count_if("scored").alias("n"),
+            F.count_if(~F.col("scored")).alias("n_unscored"),
+            F.sum(F.when(F.col("scored"), F.col("p"))).alias("s_p"),
+            F.sum(F.when(F.col("scored"), F.col("y")).cast("bigint")).alias("s_y"),
             F.sum(error * error).alias("s_brier"),
-            F.min("match_date").alias("first_date"),
-            F.max("match_date").alias("last_date"),
+            F.min(F.when(F.col("scored"), F.col("match_date"))).alias("first_date"),
+            F.max(F.when(F.col("scored"), F.col("match_date"))).alias("last_date"),
         )
     )
 
@@ -147,13 +174,14 @@ def event_metrics(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = F.sum("n")
     return tally.groupBy(*keys).agg(
         n.alias("n"),
+        F.sum("n_unscored").alias("n_unscored"),
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
-        (F.sum("s_brier") / n).alias("brier"),
-        (F.sum("s_p") / n).alias("mean_predicted"),
-        (F.sum("s_y") / n).alias("observed_rate"),
-        ((F.sum("s_p") - F.sum("s_y")) / n).alias("calibration_bias"),
-        (F.sum(gap) / n).alias("ece"),
+        F.try_divide(F.sum("s_brier"), n).alias("brier"),
+        F.try_divide(F.sum("s_p"), n).alias("mean_predicted"),
+        F.try_divide(F.sum("s_y"), n).alias("observed_rate"),
+        F.try_divide(F.sum("s_p") - F.sum("s_y"), n).alias("calibration_bias"),
+        F.try_divide(F.sum(gap), n).alias("ece"),
     )
 
 
@@ -162,7 +190,7 @@ def calibration_bins(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
     bins = tally.select(*keys).distinct().withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.lit(CALIBRATION_BINS - 1)))
     )
-    filled = tally.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum("s_p").alias("s_p"), F.sum("s_y").alias("s_y"))
+    filled = tally.where("bin IS NOT NULL").groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum("s_p").alias("s_p"), F.sum("s_y").alias("s_y"))
     return bins.join(filled, [*keys, "bin"], "left").select(
         *keys,
         "bin",

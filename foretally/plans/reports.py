@@ -34,6 +34,7 @@ from foretally.contracts import (
     TOTAL_LINES,
 )
 from foretally.functions.calendar import evaluation_windows
+from foretally.functions.counts import add_over_probabilities
 from foretally.operators import pairing, quality, resample, scoring
 from foretally.operators.ledger import build_ledger
 from foretally.plans.goals import goal_forecasts, goal_panel, goal_rates, rho_table
@@ -48,7 +49,7 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def _quality(loaded: LoadedLog) -> dict:
-    overall = loaded.quality.filter(F.col("file_name").isNull()).head()
+    overall = loaded.quality.filter(F.col("file_path").isNull()).head()
     return {k: overall[k] for k in ("rows_read", "rows_loaded", "rows_without_result")}
 
 
@@ -60,6 +61,7 @@ def _metric_tree(tally: DataFrame, lines: Sequence[float], keys: Sequence[str],
     for row in _rows(scoring.line_metrics(tally, lines, keys, with_under)):
         key = tuple(row.pop(k) for k in keys)
         row.pop("n")
+        row.pop("n_unscored")
         tree[key]["lines"][str(row.pop("line"))] = row
     return tree
 
@@ -68,13 +70,28 @@ def _delta(baseline: dict, challenger: dict) -> dict:
     return {m: challenger[m] - baseline[m] for m in scoring.METRICS}
 
 
-def total_report(spark: SparkSession, paths: Iterable[str], start: dt.date = EVALUATION_START) -> dict:
-    """Full-contest totals: expanding mean with Negative Binomial probabilities."""
-    loaded = load_contests(spark, paths)
+def _usable(tally: DataFrame, strict: bool) -> None:
+    quality.require_rows(tally)
+    if strict:
+        scoring.require_scored(tally)
+
+
+def total_report(
+    spark: SparkSession,
+    paths: Iterable[str],
+    start: dt.date = EVALUATION_START,
+    strict: bool = True,
+    multi_line: bool = False,
+) -> dict:
+    """Full-contest totals: expanding mean with Negative Binomial probabilities.
+
+    With ``strict`` a forecast without a valid distribution raises; else it is left out and counted.
+    """
+    loaded = load_contests(spark, paths, multi_line=multi_line)
     quality.require_competitions(loaded.contests)
     forecasts = total_forecasts(loaded.contests, build_ledger(loaded.contests), start)
     tally = settle(scoring.tally_counts(forecasts, TOTAL_LINES, ["model"]), "tally")
-    quality.require_rows(tally)
+    _usable(tally, strict)
     return {
         "competition": COMPETITION_CODE,
         "target": "full_match_total",
@@ -90,14 +107,16 @@ def side_report(
     start: dt.date = EVALUATION_START,
     prior: int = PRIOR_MATCHES,
     samples: int = IID_SAMPLES,
+    strict: bool = True,
+    multi_line: bool = False,
 ) -> dict:
     """Side totals: venue average against team + opponent, with a paired fixture bootstrap."""
-    loaded = load_contests(spark, paths)
+    loaded = load_contests(spark, paths, multi_line=multi_line)
     quality.require_competitions(loaded.contests)
     panel = side_panel(loaded.contests, build_ledger(loaded.contests), start, (prior,))
     keys = ["model", "venue"]
     by_venue = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, keys), "tally")
-    quality.require_rows(by_venue)
+    _usable(by_venue, strict)
     overall = _metric_tree(scoring.refold(by_venue, ["model"]), SIDE_LINES, ["model"])
     venues = _metric_tree(by_venue, SIDE_LINES, keys)
     deltas = pairing.side_deltas(pairing.panel_pair(panel, SIDE_MODELS, *SIDE_MODELS))
@@ -124,10 +143,11 @@ def prior_sensitivity(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFra
     """Challenger minus baseline per prior, from forecasts of a panel with several priors."""
     tally = scoring.tally_counts(forecasts, SIDE_LINES, [*keys, "model", "prior"])
     metrics = scoring.count_metrics(tally, SIDE_LINES, [*keys, "model", "prior"])
-    baseline = metrics.filter(F.col("prior").isNull()).select(*keys, *[F.col(m).alias(f"base_{m}") for m in scoring.METRICS])
-    challenger = metrics.filter(F.col("prior").isNotNull())
-    joined = challenger.join(baseline, list(keys)) if keys else challenger.join(F.broadcast(baseline))
-    return joined.select(
+    # the baseline is the row without a prior: of each group's few rows one aggregate keeps all
+    base = [F.max(F.when(F.col("prior").isNull(), F.col(m))).alias(f"base_{m}") for m in scoring.METRICS]
+    rows = F.collect_list(F.when(F.col("prior").isNotNull(), F.struct("prior", *scoring.METRICS)))
+    grouped = metrics.groupBy(*keys).agg(*base, rows.alias("rows"))
+    return grouped.select(*keys, *[f"base_{m}" for m in scoring.METRICS], F.inline("rows")).select(
         *keys, "prior", *[(F.col(m) - F.col(f"base_{m}")).alias(f"{m}_delta") for m in scoring.METRICS]
     )
 
@@ -137,15 +157,22 @@ def prior_report(contests: DataFrame, priors: Sequence[int] = PRIOR_CHOICES, sta
     return {str(row.pop("prior")): row for row in _rows(prior_sensitivity(forecasts))}
 
 
-def decay_report(spark: SparkSession, paths: Iterable[str], start: dt.date = EVALUATION_START, samples: int = BLOCK_SAMPLES) -> dict:
+def decay_report(
+    spark: SparkSession,
+    paths: Iterable[str],
+    start: dt.date = EVALUATION_START,
+    samples: int = BLOCK_SAMPLES,
+    strict: bool = True,
+    multi_line: bool = False,
+) -> dict:
     """Three models on one cohort, with block intervals of the time-weighted model."""
-    loaded = load_contests(spark, paths)
+    loaded = load_contests(spark, paths, multi_line=multi_line)
     quality.require_rows(loaded.contests, "provide nonempty history")
     quality.require_competitions(loaded.contests)
     quality.require_unique_fixtures(loaded.contests)
     panel = decay_panel(loaded.contests, build_ledger(loaded.contests), start)
     tally = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, ["model"]), "tally")
-    quality.require_rows(tally)
+    _usable(tally, strict)
     metrics = _metric_tree(tally, SIDE_LINES, ["model"])
     intervals = _rows(decay_intervals(panel, samples))
     return {
@@ -165,15 +192,24 @@ DECAY_PAIRS = (("time_weighted_180", "equal_weight"), ("time_weighted_180", "ret
 
 
 def decay_deltas(panel: DataFrame) -> DataFrame:
-    """Brier difference of the time-weighted model to both others, row by row."""
+    """Brier difference of the time-weighted model to both others, row by row.
+
+    Each model is scored once on the panel row, which then becomes a row a pair.
+    """
     kept = [c for c in ("match_id", "match_date", "competition", "season", "venue") if c in panel.columns]
-    parts = [
-        pairing.side_deltas(pairing.panel_pair(panel, DECAY_MODELS, base, challenger)).select(
-            F.lit(f"{challenger}_minus_{base}").alias("pair"), *kept, "brier_delta"
-        )
+    rows = panel.select(
+        *kept,
+        "actual",
+        *[F.col("forecasts")[i][x].alias(f"{m}_{x}") for i, m in enumerate(DECAY_MODELS) for x in ("expected", "dispersion")],
+    )
+    for m in DECAY_MODELS:
+        rows = add_over_probabilities(rows, SIDE_LINES, f"{m}_expected", f"{m}_dispersion", f"{m}_p")
+    rows = rows.select(*kept, *[scoring.mean_brier(F.col(f"{m}_p"), F.col("actual"), SIDE_LINES).alias(m) for m in DECAY_MODELS])
+    pairs = [
+        F.struct(F.lit(f"{challenger}_minus_{base}").alias("pair"), (F.col(challenger) - F.col(base)).alias("brier_delta"))
         for challenger, base in DECAY_PAIRS
     ]
-    return parts[0].unionByName(parts[1])
+    return rows.select(F.inline(F.array(*pairs)), *kept)
 
 
 def decay_wins(forecasts: DataFrame, lines: Sequence[float] = SIDE_LINES) -> DataFrame:
@@ -220,18 +256,25 @@ def goal_report(
     start: dt.date = EVALUATION_START,
     holdout: dt.date = HOLDOUT_START,
     samples: int = BLOCK_SAMPLES,
+    strict: bool = True,
+    multi_line: bool = False,
 ) -> dict:
-    """Ten goal models: metrics by window and season, calibration bins, paired intervals."""
+    """Ten goal models: metrics by window and season, calibration bins, paired intervals.
+
+    The file manifest grows with the number of files, so it is written, and the report names where.
+    """
     paths = [str(p) for p in paths]
-    contests, loaded, excluded = load_goals(spark, paths)
+    contests, loaded, excluded = load_goals(spark, paths, multi_line=multi_line)
     quality.require_rows(contests, "provide nonempty history")
     quality.require_competitions(contests)
     ledger = build_ledger(contests)
     rates = settle(goal_rates(contests, ledger), "goal-rates", even=True)
-    panel = goal_panel(rates, settle(rho_table(rates, start), "rho"), ledger.dates, start)
+    panel = settle(goal_panel(rates, settle(rho_table(rates, start), "rho"), ledger.dates, start), "goal-panel")
     forecasts = goal_forecasts(panel)
     quality.require_rows(panel, "no predictions")
     tally = settle(scoring.tally_events(windowed(forecasts, holdout), ["window", "season", "model", "target"]), "tally")
+    if strict:
+        scoring.require_scored(tally)
     keys = ["window", "model", "target"]
     metrics: dict = {}
     for row in _rows(scoring.event_metrics(tally, keys)):
@@ -267,7 +310,7 @@ def goal_report(
         "data_quality": {
             **_quality(loaded),
             "excluded_source_rows": excluded.count(),
-            "files": _rows(file_manifest(spark, paths)),
+            "manifest": settle(file_manifest(spark, paths, multi_line), "manifest").inputFiles()[0].rsplit("/", 1)[0],
         },
         "metrics": metrics,
         "paired_28_day_block_intervals": intervals,

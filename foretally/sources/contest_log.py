@@ -13,8 +13,13 @@ FIXTURE_START = dt.date(1996, 7, 1)
 FIXTURE_HOLDOUT = dt.date(2000, 7, 1)
 
 
-def contests_from_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """One contest per order that has line items, between the customer's and a supplier's nation.
+def contests_from(log: DataFrame) -> DataFrame:
+    """The rows of the log that are contests: a nation doesn't play itself."""
+    return log.filter(F.col("home_team") != F.col("away_team"))
+
+
+def log_from_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order that has line items, between the customer's and a supplier's nation.
 
     Line items are folded to one row per order before any join. The dimension joins carry no
     hints: Spark broadcasts a side only if its file size is below the session threshold.
@@ -52,7 +57,6 @@ def contests_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(hosts, F.col("o_custkey") == F.col("c_custkey"))
         .join(guests, F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter(F.col("home_team") != F.col("away_team"))
         .select(
             F.col("o_orderkey").alias("match_id"),
             "match_date",
@@ -68,8 +72,8 @@ def contests_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_rows(contests: DataFrame) -> DataFrame:
-    """The log written back as the string cells of a season file, with typical faults.
+def raw_rows(log: DataFrame) -> DataFrame:
+    """The whole log, sides that play themselves and repeated fixtures included, written back as the string cells of a season file, with typical faults.
 
     The faults are a fixed rule on ``match_id``, so that both engines of the correctness
     check see the same bad cells; no row is left out.
@@ -96,7 +100,7 @@ def raw_rows(contests: DataFrame) -> DataFrame:
         .otherwise(home)
     )
     away_cell = F.when(k % 89 == 3, F.lit(None).cast("string")).when(k % 127 == 10, F.lit("nan")).otherwise(away)
-    return contests.select(
+    return log.select(
         "match_id",
         F.when(k % 131 == 11, F.lit("E0")).when(k % 3 == 0, F.concat(F.lit(" "), F.col("competition"))).otherwise(F.col("competition")).alias("Div"),
         date_cell.alias("Date"),

@@ -7,11 +7,13 @@ header name afterwards, so files with different column orders never mix.
 
 from __future__ import annotations
 
+import csv
+import os
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,29 +35,53 @@ class LoadedLog:
     quality: DataFrame
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of a file; Spark reads only its first line for this."""
-    # without a header option the first line is data: names stay exactly as written
-    first = spark.read.option("nullValue", _NO_NULL).option("emptyValue", "").csv(path).head()
-    return tuple((name or "").removeprefix("\ufeff") for name in first) if first else ()
+def _plain(path: Column | str) -> Column:
+    """A path or name without percent escapes; a plus sign stays one."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of every file that isn't empty, by its path: one job over all files."""
+    lines = spark.read.text(list(paths)).select(
+        _plain("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"), "_metadata.file_block_start"
+    )
+    first = lines.where("file_block_start = 0").groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    headers = {}
+    for row in first.collect():  # one line for each of the given files
+        cells = next(csv.reader([row.line.removeprefix("\ufeff")]), [])
+        headers[row.path] = tuple(cells)
+    return headers
+
+
+def _bare(path: str) -> str:
+    """A path without the scheme of local files, to match given paths with Spark's."""
+    return "/" + path.removeprefix("file:").lstrip("/")
 
 
 def scan(spark: SparkSession, paths: Iterable[str], wanted: Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Rows of all files with the wanted columns as strings, plus where each row came from."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    """Rows of all files with the wanted columns as strings, plus where each row came from.
+
+    ``match_id`` is taken after all files are together, so it is unique; it holds for a written result only.
+    """
+    paths = [str(p) if "://" in str(p) or str(p).startswith("file:") else os.path.abspath(p) for p in paths]
+    if not paths:
+        raise ValueError("no season files given")
+    headers = headers_of(spark, paths)
+    found = {_bare(path) for path in headers}
     for path in paths:
-        header = header_of(spark, str(path))
+        if _bare(path) not in found and not any(f.startswith(_bare(path).rstrip("/") + "/") for f in found):
+            raise ValueError(f"{path} is missing required columns: {', '.join(sorted(set(wanted)))}")
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for path, header in sorted(headers.items()):
         missing = sorted(set(wanted) - set(header))
         if missing:
             raise ValueError(f"{path} is missing required columns: {', '.join(missing)}")
-        groups[header].append(str(path))
-    if not groups:
-        raise ValueError("no season files given")
+        groups[header].append(path)
     parts = [_scan_group(spark, header, files, wanted, multi_line) for header, files in groups.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.withColumn("match_id", F.monotonically_increasing_id())
 
 
 def _scan_group(spark, header, files, wanted, multi_line) -> DataFrame:
@@ -73,10 +99,9 @@ def _scan_group(spark, header, files, wanted, multi_line) -> DataFrame:
     return rows.select(
         *[F.col(f"c{last[name]}").alias(name) for name in wanted],
         F.col(f"c{len(header)}").isNotNull().alias("over_long"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
+        _plain("_metadata.file_path").alias("file_path"),
+        _plain("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("match_id"),
     )
 
 
@@ -108,7 +133,7 @@ def load_contests(
     bad = quality.quarantine(rows)
     if strict and not bad.isEmpty():
         raise ValueError("\n".join(_position(bad, rows)))
-    return LoadedLog(quality.contests_from(rows), bad, quality.row_quality(rows))
+    return LoadedLog(quality.contests_from(rows), bad, quality.row_quality(rows, ("file_path",)))
 
 
 def season_label(file_name_col: str = "file_name"):
@@ -157,21 +182,30 @@ def load_goals(
     return contests, loaded, quality.excluded_goal_rows(goals, loaded.contests)
 
 
-def file_manifest(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Per file: bytes, SHA-256, rows, first and last date, number of teams."""
+def file_manifest(spark: SparkSession, paths: Iterable[str], multi_line: bool = False) -> DataFrame:
+    """Per file, by its full path: name, bytes, SHA-256, rows, first and last date, number of teams.
+
+    The hash takes a file whole, so Spark refuses files over 2 GB and says so.
+    """
     paths = [str(p) for p in paths]
+    path = _plain(F.col("_metadata.file_path"))
     hashes = (
         spark.read.format("binaryFile")
         .load(paths)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        .select(
+            path.alias("file_path"),
+            F.element_at(F.split(path, "/"), -1).alias("file_name"),
+            F.col("length").alias("bytes"),
+            F.sha2("content", 256).alias("sha256"),
+        )
     )
-    rows = scan(spark, paths, GOAL_COLUMNS).select(
-        "file_name", parse_match_date("Date").alias("day"), stripped("HomeTeam").alias("home"), stripped("AwayTeam").alias("away")
+    rows = scan(spark, paths, GOAL_COLUMNS, multi_line).select(
+        "file_path", parse_match_date("Date").alias("day"), stripped("HomeTeam").alias("home"), stripped("AwayTeam").alias("away")
     )
-    counts = rows.groupBy("file_name").agg(
+    counts = rows.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("rows"), F.min("day").alias("first_date"), F.max("day").alias("last_date")
     )
     teams = (
-        rows.select("file_name", F.explode(F.array("home", "away")).alias("team")).distinct().groupBy("file_name").agg(F.count("team").alias("teams"))
+        rows.select("file_path", F.explode(F.array("home", "away")).alias("team")).distinct().groupBy("file_path").agg(F.count("team").alias("teams"))
     )
-    return hashes.join(counts, "file_name", "left").join(teams, "file_name", "left")
+    return hashes.join(counts, "file_path", "left").join(teams, "file_path", "left")

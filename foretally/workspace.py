@@ -38,7 +38,10 @@ def start_session(app: str = "foretally", master: str | None = None, partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables, read from the session."""
+    """The folder for intermediate tables, read from the session.
+
+    A local session without one gets a new folder under /tmp, as in tests; a cluster must name a shared one.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
@@ -55,23 +58,39 @@ def settle(df: DataFrame, label: str, even: bool = False) -> DataFrame:
     ``even`` is for base tables that many plans scan: one that came out in fewer pieces than
     there are cores is small, and is written again in a piece per core.
     """
-    reader = _written(df, label)
+    reader, path = _written(df, label)
     if even:
         cores = df.sparkSession.sparkContext.defaultParallelism
         if reader.rdd.getNumPartitions() < cores and reader.count() >= cores * _ROWS_PER_PIECE:
-            reader = _written(reader.repartition(cores), label)
+            reader, _ = _written(reader.repartition(cores), label)
+            _delete(df.sparkSession, path)
     return reader
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return os.path.join(shared_folder(spark), "foretally", spark.sparkContext.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; frames that read them can't be used any more."""
+    _delete(spark, run_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "foretally", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(run_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a thin table whose rows the next step multiplies.
+    """Use all cores on a thin written table whose rows the next step multiplies.
 
     A table that already has a partition per core is left alone, so this shuffles small tables only.
     """

@@ -187,7 +187,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       CAST(count(*) FILTER (l_returnflag = 'A') AS INTEGER) AS away_goals
     FROM lineitem GROUP BY l_orderkey""",
     ),
-    "contests": (
+    "log": (
         ("per_order",),
         """
     SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS match_date, c_mktsegment AS competition,
@@ -196,8 +196,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     FROM orders JOIN per_order ON o_orderkey = l_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN nation hn ON c_nationkey = hn.n_nationkey
     JOIN supplier ON s_suppkey = suppkey JOIN nation an ON s_nationkey = an.n_nationkey
-    WHERE hn.n_name <> an.n_name""",
+    """,
     ),
+    "contests": (("log",), "SELECT * FROM log WHERE home_team <> away_team"),
     "fixtures": (
         ("contests",),
         "SELECT * FROM contests QUALIFY row_number() OVER (PARTITION BY competition, match_date, home_team, away_team ORDER BY match_id) = 1",

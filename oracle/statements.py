@@ -6,7 +6,7 @@ import math
 
 from oracle.sql import BASE, CTES, HOLDOUT, SIDE_LINES, START, TOTAL_LINES, dispersion, dot, nll, over, query, r
 
-SAMPLES = 200
+SAMPLES = 1000
 BLOCK_SAMPLES = 2000
 SEED = 7
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -44,21 +44,27 @@ def joined(items: list[str]) -> str:
     return f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), '; ')"
 
 
+#: A forecast can be scored if its mean and dispersion define a distribution.
+VALID = "expected > 0 AND dispersion >= 0 AND isfinite(expected) AND isfinite(dispersion)"
+
+
 def _brier(lines, actual="actual", prefix="p_") -> str:
     terms = " + ".join(f"pow({prefix}{dot(x)} - ({actual} > {x})::INT, 2)" for x in lines)
     return f"(({terms}) / {len(lines)}.0)"
 
 
 def _metrics(lines) -> str:
+    of = lambda value: f"avg({value}) FILTER ({VALID})"
     return ", ".join(
         [
-            "count(*) AS n",
-            r("avg(expected)", "mean_predicted"),
-            r("avg(actual)", "mean_actual"),
-            r("avg(abs(actual - expected))", "mae"),
-            r("sqrt(avg(pow(actual - expected, 2)))", "rmse"),
-            r("avg(nll)", "nll"),
-            r(f"avg({_brier(lines)})", "mean_brier"),
+            f"count(*) FILTER ({VALID}) AS n",
+            f"count(*) - count(*) FILTER ({VALID}) AS n_unscored",
+            r(of("expected"), "mean_predicted"),
+            r(of("actual"), "mean_actual"),
+            r(of("abs(actual - expected)"), "mae"),
+            r(f"sqrt({of('pow(actual - expected, 2)')})", "rmse"),
+            r(of("nll"), "nll"),
+            r(of(_brier(lines)), "mean_brier"),
         ]
     )
 
@@ -69,13 +75,14 @@ def _by_line(source: str, lines, keys: str, under: bool = False) -> str:
         p, y = f"p_{dot(x)}", f"(actual > {x})::INT"
         columns = [
             f"{x}::DOUBLE AS line",
-            r(f"avg(pow({p} - {y}, 2))", "brier"),
-            r(f"avg({p})", "predicted_over"),
-            r(f"avg({y})", "actual_over"),
+            r(f"avg(pow({p} - {y}, 2)) FILTER ({VALID})", "brier"),
+            r(f"avg({p}) FILTER ({VALID})", "predicted_over"),
+            r(f"avg({y}) FILTER ({VALID})", "actual_over"),
         ]
         if under:
-            columns += [r(f"1 - avg({p})", "predicted_under"), r(f"1 - avg({y})", "actual_under")]
-        parts.append(f"SELECT {keys}, count(*) AS n, {', '.join(columns)} FROM {source} GROUP BY {keys}")
+            columns += [r(f"1 - avg({p}) FILTER ({VALID})", "predicted_under"), r(f"1 - avg({y}) FILTER ({VALID})", "actual_under")]
+        counts = f"count(*) FILTER ({VALID}) AS n, count(*) - count(*) FILTER ({VALID}) AS n_unscored"
+        parts.append(f"SELECT {keys}, {counts}, {', '.join(columns)} FROM {source} GROUP BY {keys}")
     return " UNION ALL ".join(parts)
 
 
@@ -113,7 +120,7 @@ def summary(samples: int) -> str:
 
 
 CTES["raw"] = (
-    ("fixtures",),
+    ("log",),
     """
     SELECT match_id, home_team AS host,
       CASE WHEN match_id % 131 = 11 THEN 'E0' WHEN match_id % 3 = 0 THEN ' ' || competition ELSE competition END AS div,
@@ -130,7 +137,7 @@ CTES["raw"] = (
            WHEN match_id % 11 = 3 THEN home_count || '.0' WHEN match_id % 13 = 4 THEN ' ' || home_count || 'e0 ' ELSE home_count::VARCHAR END AS hc,
       CASE WHEN match_id % 89 = 3 THEN NULL WHEN match_id % 127 = 10 THEN 'nan' ELSE away_count::VARCHAR END AS ac,
       'E1_' || season || '.csv' AS file_name
-    FROM fixtures""",
+    FROM log""",
 )
 _DAY = stripped("day")
 CTES["typed"] = (
@@ -238,6 +245,7 @@ def _goal_pairs() -> str:
 _EVENTS = ", ".join(
     [
         "sum(bn)::BIGINT AS n",
+        "sum(bu)::BIGINT AS n_unscored",
         "min(d1) AS first_date",
         "max(d2) AS last_date",
         r("sum(se) / sum(bn)", "brier"),
@@ -251,7 +259,8 @@ _EVENTS = ", ".join(
 
 def _event_sql(keys: str, source: str = "goal_fc") -> str:
     bins = (
-        f"SELECT {keys}, least(9, floor(p * 10))::INT AS bin, count(*) AS bn, sum(p) AS sp, sum(y)::DOUBLE AS sy, sum(pow(p - y, 2)) AS se, "
+        f"SELECT {keys}, CASE WHEN p >= 0.9 THEN 9 ELSE floor(p * 10)::INT END AS bin, count(p) AS bn, count(*) - count(p) AS bu, "
+        "sum(p) AS sp, sum(y) FILTER (p IS NOT NULL)::DOUBLE AS sy, sum(pow(p - y, 2)) AS se, "
         f"min(match_date) AS d1, max(match_date) AS d2 FROM {source} GROUP BY {keys}, bin"
     )
     return f"SELECT {keys}, {_EVENTS} FROM ({bins}) GROUP BY {keys}"
@@ -305,15 +314,31 @@ def oracle_sql() -> dict[str, str]:
     )
     out["unique_fixtures"] = query("fixtures", "SELECT * FROM fixtures")
     goal_join = "t.match_date = j.match_date AND t.competition = j.competition AND t.home_team = j.home_team AND t.away_team = j.away_team"
+    goal_key = "PARTITION BY match_date, competition, home_team, away_team ORDER BY match_id"
     out["goal_contests"] = query(
         "judged",
         f"""SELECT j.match_id, t.home_goals, t.away_goals, t.season, j.home_count, j.away_count
-        FROM (SELECT * FROM judged WHERE status = 'loaded') j JOIN typed t ON {goal_join}""",
+        FROM (SELECT * FROM judged WHERE status = 'loaded' QUALIFY row_number() OVER ({goal_key}) = 1) j
+        JOIN (SELECT * FROM typed WHERE match_date IS NOT NULL QUALIFY row_number() OVER ({goal_key}) = 1) t ON {goal_join}""",
     )
     out["excluded_rows"] = query(
         "judged",
         f"SELECT match_id, season FROM typed t WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.status = 'loaded' AND {goal_join})",
     )
+    fields = "match_date, competition, home_team, away_team"
+    out["season_scan"] = query("judged", f"SELECT {fields}, home_count, away_count FROM judged WHERE status = 'loaded'")
+    out["season_goals"] = query(
+        ("judged", "fixtures"),
+        f"""SELECT {fields}, home_goals, away_goals, home_count, away_count FROM judged
+        WHERE status = 'loaded' AND match_id IN (SELECT match_id FROM fixtures) AND competition IN ({listed})""",
+    )
+    out["file_manifest"] = query(
+        "typed",
+        """SELECT season, count(*) AS rows, min(match_date) AS first_date, max(match_date) AS last_date,
+        (SELECT count(DISTINCT team) FROM (SELECT home_team AS team FROM typed i WHERE i.season = t.season
+         UNION ALL SELECT away_team FROM typed i WHERE i.season = t.season)) AS teams
+        FROM typed t GROUP BY season""",
+    )
     out["goal_outcomes"] = query(
         "contests",
         "SELECT match_id, (home_goals + away_goals >= 3)::INT AS over_2_5, (home_goals > 0 AND away_goals > 0)::INT AS btts_yes FROM contests",
@@ -364,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
     out["total_metrics"] = query(
         "total_fc", f"SELECT competition, {_metrics(TOTAL_LINES)} FROM scored GROUP BY competition", {"scored": _total_scored()}
     )
-    fields = ("n", "mean_predicted", "mean_actual", "mae", "rmse", "nll", "mean_brier")
+    fields = ("n", "n_unscored", "mean_predicted", "mean_actual", "mae", "rmse", "nll", "mean_brier")
     out["report_json"] = query(
         "total_fc",
         "SELECT competition, CAST(to_json({" + ", ".join(f"'{x}': {x}" for x in fields) + "}) AS VARCHAR) AS report FROM metrics",
@@ -378,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'poisson', {_metrics(TOTAL_LINES)} FROM poisson""",
         {
             "scored": _total_scored(),
-            "poisson": f"SELECT actual, expected, {poisson_p}, {nll('actual', 'expected', '0.0::DOUBLE')} AS nll FROM total_fc",
+            "poisson": f"SELECT actual, expected, 0.0::DOUBLE AS dispersion, {poisson_p}, {nll('actual', 'expected', '0.0::DOUBLE')} AS nll FROM total_fc",
         },
     )
     for name, alpha in (("poisson_over", "0.0::DOUBLE"), ("nb_over", "dispersion")):
@@ -419,9 +444,18 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT competition, c.prior, {deltas} FROM m c JOIN m b USING (competition) WHERE c.model = 'team_opponent' AND b.model = 'venue_average'",
         {"m": f"SELECT competition, model, prior, {plain} FROM prior_fc GROUP BY ALL"},
     )
+    counted = "count(*) AS forecasts, count(*) FILTER (NOT coalesce({valid}, false)) AS unscored"
     out["invalid_scores"] = query(
-        "wide",
-        "SELECT competition, count(*) AS dates, count(*) FILTER (n = 0 OR hs = 0) AS invalid_dates FROM (SELECT DISTINCT competition, match_date, n, hs FROM wide) GROUP BY ALL",
+        ("wide", "sides", "decay_fc", "goal_fc"),
+        f"""SELECT 'negative_binomial' AS model, {counted.format(valid='hs + aws > 0')} FROM wide WHERE n > 0
+        UNION ALL SELECT 'venue_average', {counted.format(valid='s > 0')} FROM sides WHERE n > 0
+        UNION ALL SELECT 'team_opponent', {counted.format(valid='tf + opp_a + s > 0')} FROM sides WHERE n > 0
+        UNION ALL SELECT model, count(*), 0 FROM decay_all GROUP BY model
+        UNION ALL SELECT model, count(*), count(*) FILTER (p IS NULL) FROM goal_fc GROUP BY model""",
+        {
+            "decay_all": """SELECT unnest(['retained', 'equal_weight', 'time_weighted_180']) AS model, match_id
+              FROM fsides WHERE match_id IN (SELECT match_id FROM fwide WHERE 2 * n >= 100 AND least(hn, an) >= 5)"""
+        },
     )
     out["paired_deltas"] = query(
         "fixture_deltas",
@@ -514,7 +548,7 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT k.model, k.target, b.bin::INT AS bin, b.bin / 10.0::DOUBLE AS lower, (b.bin + 1) / 10.0::DOUBLE AS upper, count(f.p) AS n,
         {r('avg(f.p)', 'mean_predicted')}, {r('avg(f.y)', 'observed_rate')}
         FROM (SELECT DISTINCT model, target FROM goal_fc) k CROSS JOIN range(0, 10) b(bin)
-        LEFT JOIN goal_fc f ON f.model = k.model AND f.target = k.target AND least(9, floor(f.p * 10))::INT = b.bin GROUP BY ALL""",
+        LEFT JOIN goal_fc f ON f.model = k.model AND f.target = k.target AND CASE WHEN f.p >= 0.9 THEN 9 ELSE floor(f.p * 10)::INT END = b.bin GROUP BY ALL""",
     )
     out["window_metrics"] = query("goal_fc", _event_sql('"window", model, target', _WINDOWED))
     out["seasonal_metrics"] = query("goal_fc", _event_sql("season, model, target"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 import sys
 
 import pytest
@@ -19,10 +20,10 @@ def spark():
 
 @pytest.fixture(scope="session")
 def contests(spark):
-    """Contest log from (date, home, away, home count, away count) tuples."""
+    """Contest log from (date, home, away, home count, away count, ...) tuples."""
 
     def build(rows, competition="E1"):
-        data = [(i, day, competition, home, away, hc, ac) for i, (day, home, away, hc, ac) in enumerate(rows)]
+        data = [(i, row[0], competition, *row[1:5]) for i, row in enumerate(rows)]
         return spark.createDataFrame(data, CONTESTS)
 
     return build
@@ -30,27 +31,24 @@ def contests(spark):
 
 @pytest.fixture(scope="session")
 def goal_log(spark):
-    """Goal contest log from (date, home, away, home goals, away goals) tuples."""
+    """Goal contest log from (date, home, away, home count, away count, home goals, away goals) tuples."""
 
-    def build(rows, competition="E1", counts=(5, 4)):
-        data = [
-            (i, day, competition, home, away, *counts, hg, ag, "1718") for i, (day, home, away, hg, ag) in enumerate(rows)
-        ]
+    def build(rows, competition="E1"):
+        data = [(i, row[0], competition, *row[1:7], "s") for i, row in enumerate(rows)]
         return spark.createDataFrame(data, GOAL_CONTESTS)
 
     return build
 
 
-def weekly_history(n=70):
-    """One contest a week between the same sides, counts cycling with period 4."""
-    start = dt.date(2018, 9, 4)
-    home, away = (3, 12, 6, 5), (8, 2, 4, 7)
-    return [(start + dt.timedelta(days=7 * i), "A", "B", home[i % 4], away[i % 4]) for i in range(n)]
-
-
-def goal_history(n=180):
-    """Three contests a day between six sides, goals cycling with period 7."""
-    start = dt.date(2017, 3, 1)
-    home, away = (1, 0, 2, 0, 3, 1, 1), (1, 0, 1, 2, 1, 0, 2)
-    sides = (("P", "Q"), ("R", "S"), ("T", "U"))
-    return [(start + dt.timedelta(days=i // 3), *sides[i % 3], home[i % 7], away[i % 7]) for i in range(n)]
+def seeded_log(seed, n, sides=6, first=dt.date(2015, 3, 2), most_gap=4):
+    """``n`` contests of random sides on random days, several on some days, no fixture twice."""
+    draw = random.Random(seed)
+    names = [f"side {k}" for k in range(sides)]
+    rows, seen, day = [], set(), first
+    while len(rows) < n:
+        home, away = draw.sample(names, 2)
+        if (day, home, away) not in seen:
+            seen.add((day, home, away))
+            rows.append((day, home, away, draw.randint(0, 11), draw.randint(0, 9), draw.randint(0, 4), draw.randint(0, 3)))
+        day += dt.timedelta(days=draw.choice([0, 0, 1, most_gap]))
+    return rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foretally import catalog, workspace
 from foretally.operators.ledger import build_ledger, daily_totals
 from foretally.plans import sides
-from foretally.sources.contest_log import FIXTURE_START, contests_from_orders
+from foretally.sources.contest_log import FIXTURE_START, log_from_orders
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def plan_of(df):
 
 
 def test_scans_read_only_the_needed_columns(spark):
-    plan = plan_of(contests_from_orders(spark, FOLDER))
+    plan = plan_of(log_from_orders(spark, FOLDER))
     schema = next(s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "l_orderkey" in s)
     assert "l_extendedprice" not in schema and "l_shipdate" not in schema
 
@@ -77,6 +77,47 @@ def test_a_hot_team_shrinks_before_the_shuffle(spark):
     assert build_ledger(log).dates == 100
 
 
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan_of(df)
+
+
+def test_one_walk_forward_feeds_the_whole_report(spark):
+    """Facts are scanned once and meet three states; nothing is joined without a key."""
+    for name in ("prior_sensitivity", "block_totals"):
+        plan = final_plan(catalog.queries()[name](spark, FOLDER)).split("== Initial Plan ==")[0]
+        facts = [s for s in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) if "home_count" in s or "home_team" in s]
+        joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|NestedLoopJoin|CartesianProduct)", plan)
+        assert len(facts) == 1, name
+        assert len(joins) == 3 and not {"NestedLoopJoin", "CartesianProduct"} & set(joins), (name, joins)
+
+
+def test_unique_fixtures_need_no_sort(spark):
+    plan = plan_of(catalog.queries()["unique_fixtures"](spark, FOLDER))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_intermediate_tables_can_be_released(tmp_path):
+    """In a session of its own, since the tables of all others would go with it."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import os
+from foretally.workspace import start_session, settle, release, run_folder
+spark = start_session("release", "local[2]", 2)
+settle(spark.range(50_000).repartition(1), "once", even=True)
+folder = run_folder(spark)
+assert len(os.listdir(folder)) == 1, os.listdir(folder)  # the first copy is gone
+release(spark)
+assert not os.path.exists(folder)
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=env, cwd=workspace.__file__.rsplit("/", 2)[0])
+
+
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = workspace.shared_folder(spark)

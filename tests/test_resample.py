@@ -8,7 +8,7 @@ from foretally.contracts import SIDE_LINES, SIDE_MODELS
 from foretally.operators import pairing, resample
 from foretally.plans import sides
 from foretally.operators.ledger import build_ledger
-from tests.conftest import weekly_history
+from tests.conftest import seeded_log
 
 D = dt.date
 MASK = 0xFFFFFFFF
@@ -63,13 +63,28 @@ def test_result_does_not_depend_on_partitioning(spark, method):
         assert tuple(runs[0][metric])[1:] == pytest.approx(tuple(runs[1][metric])[1:])
 
 
-def test_size_decides_the_method(spark, monkeypatch):
-    calls = []
-    plain = resample.poisson_draws
-    monkeypatch.setattr(resample, "poisson_draws", lambda *a: calls.append(1) or plain(*a))
-    monkeypatch.setattr(resample, "fits_broadcast", lambda *a: False)
-    resample.iid_bootstrap(units(spark, 30), ["unit"], samples=10)
-    assert calls
+def test_intervals_are_the_same_beyond_the_broadcast_limit(spark):
+    df = units(spark, 50)
+    small = by_metric(resample.iid_bootstrap(df, ["unit"], samples=40))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = by_metric(resample.iid_bootstrap(df, ["unit"], samples=40, limit=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for metric in ("mae", "brier"):
+        assert tuple(small[metric])[1:] == pytest.approx(tuple(large[metric])[1:], abs=1e-12)
+    with pytest.raises(ValueError, match="method"):
+        resample.iid_bootstrap(df, ["unit"], method="auto")
+
+
+def test_missing_differences_count_nowhere(spark):
+    df = units(spark, 30)
+    gaps = df.unionByName(df.limit(3).select(F.concat(F.lit("x"), "unit").alias("unit"), F.lit(None).cast("double").alias("mae_delta"), "brier_delta"))
+    one, two = (by_metric(resample.iid_bootstrap(x, ["unit"], samples=20)) for x in (df, gaps))
+    assert all(tuple(one[m])[1:] == pytest.approx(tuple(two[m])[1:]) for m in one)
+    rows = [("p", D(2020, 1, 1), 0.5), ("p", D(2020, 1, 2), None), ("q", D(2020, 1, 1), None)]
+    blocks = pairing.block_totals(spark.createDataFrame(rows, "pair string, match_date date, brier_delta double"), ["pair"]).collect()
+    assert [(r.pair, r.n, r.s) for r in blocks] == [("p", 1, 0.5)]
 
 
 def test_invalid_arguments(spark):
@@ -99,17 +114,19 @@ def test_equal_models_have_a_zero_interval(spark):
 
 
 def test_fixture_differences_merge_equal_contests(spark, contests):
-    rows = weekly_history(12)
-    log = contests([*rows, rows[-1]])
-    panel = sides.side_panel(log, build_ledger(log), D(2018, 9, 10))
+    rows = seeded_log(81, 30)
+    later = sum(r[0] >= rows[10][0] for r in rows)
+    log = contests([*rows, *rows[-2:]])
+    panel = sides.side_panel(log, build_ledger(log), rows[10][0])
     pairs = pairing.side_deltas(pairing.panel_pair(panel, SIDE_MODELS, *SIDE_MODELS))
-    merged = pairing.fixture_deltas(pairs)
-    assert merged.count() == 11 and merged.agg(F.max("observations")).head()[0] == 4
+    sizes = sorted(r.observations for r in pairing.fixture_deltas(pairs).collect())
+    assert sizes == [2] * (later - 2) + [4, 4]
 
 
 def test_alignment_by_key_equals_the_panel(contests):
-    log = contests(weekly_history(20))
-    panel = sides.side_panel(log, build_ledger(log), D(2018, 9, 10))
+    rows = seeded_log(82, 40)
+    log = contests(rows)
+    panel = sides.side_panel(log, build_ledger(log), rows[9][0])
     long = sides.long_forecasts(panel)
     columns = ["match_id", "venue", "mae_delta", "brier_delta"]
     direct = pairing.side_deltas(pairing.panel_pair(panel, SIDE_MODELS, *SIDE_MODELS)).select(*columns)
@@ -118,11 +135,12 @@ def test_alignment_by_key_equals_the_panel(contests):
 
 
 def test_cohorts_must_match(contests):
-    log = contests(weekly_history(20))
-    long = sides.long_forecasts(sides.side_panel(log, build_ledger(log), D(2018, 9, 10)))
+    rows = seeded_log(83, 40)
+    log = contests(rows)
+    long = sides.long_forecasts(sides.side_panel(log, build_ledger(log), rows[9][0]))
     pairing.require_same_cohort(long, SIDE_MODELS, ["match_id", "venue"])
-    gap = long.filter("NOT (model = 'team_opponent' AND match_id = 7 AND venue = 'home')")
-    assert [tuple(r) for r in pairing.cohort_mismatch(gap, SIDE_MODELS, ["match_id", "venue"]).collect()] == [(7, "home", 1)]
+    gap = long.filter("NOT (model = 'team_opponent' AND match_id = 27 AND venue = 'home')")
+    assert [tuple(r) for r in pairing.cohort_mismatch(gap, SIDE_MODELS, ["match_id", "venue"]).collect()] == [(27, "home", 1)]
     with pytest.raises(ValueError, match="identical observations"):
         pairing.require_same_cohort(gap, SIDE_MODELS, ["match_id", "venue"])
 

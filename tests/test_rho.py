@@ -11,30 +11,28 @@ SCHEMA = "competition string, model string, match_date date, home_rate double, a
 
 
 def brute_force(history, day, top_home, top_away, half_life):
-    """Plain bisection of the weighted slope over the earlier coefficients."""
+    """The rho of largest log-likelihood, by looking at ever finer grids inside the feasible interval."""
     past = [(d, c) for d, c in history if d < day]
     if len(past) < 50:
         return 0.0
-    low, high = -0.25, 0.25
-    for c in [c for _, c in past] + [-top_home * top_away, top_home, top_away, -1.0]:
-        if c > 0:
-            low = max(low, -0.95 / c)
-        elif c < 0:
-            high = min(high, -0.95 / c)
     c = np.array([c for _, c in past])
-    w = np.array([1.0 if half_life is None else 0.5 ** ((day - d).days / half_life) for d, _ in past])
-    slope = lambda r: float((w * c / (1 + c * r)).sum())
-    if slope(low) <= 0:
-        return low
-    if slope(high) >= 0:
-        return high
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
-    return (low + high) / 2
-
-
-def check(spark, rows, half_lives=None, tolerance=1e-9):
+    cells = np.append(c, [-top_home * top_away, top_home, top_away, -1.0])
+    low = np.append(-0.95 / cells[cells > 0], -0.25).max()
+    high = np.append(-0.95 / cells[cells < 0], 0.25).min()
+    age = np.array([(day - d).days for d, _ in past])
+    w = np.ones(len(c)) if half_life is None else 2.0 ** (-(age - age.min()) / half_life)
+    left, right = low, high
+    for _ in range(14):
+        grid = np.linspace(left, right, 41)
+        # likelihoods of neighbours differ by less than their rounding in the end: compare to the middle one
+        base = 1 + np.outer(grid[20:21], c)
+        value = (w * np.log1p((np.outer(grid, c) - base + 1) / base)).sum(axis=1)
+        best = int(value.argmax())
+        left, right = grid[max(best - 1, 0)], grid[min(best + 1, 40)]
+    return (left + right) / 2 if low < left and right < high else (low if left == low else high)
+
+
+def check(spark, rows, half_lives=None, tolerance=1e-6):
     half_lives = half_lives or {}
     df = spark.createDataFrame(rows, SCHEMA)
     found = rho.fit_rho(df, DAY, half_lives).collect()
@@ -64,7 +62,7 @@ def generated(seed, scale, drift, days=120, per_day=3):
 
 
 @pytest.mark.parametrize("drift", [(0.25, 0.25, 0.25, 0.25), (0.45, 0.1, 0.1, 0.35), (0.05, 0.45, 0.45, 0.05)])
-def test_grid_equals_bisection(spark, drift):
+def test_roots_have_the_largest_likelihood(spark, drift):
     check(spark, generated(1, 1.3, drift), {"team_decay_180": 180})
 
 
@@ -73,7 +71,7 @@ def test_large_coefficients_take_the_fine_points(spark, drift, monkeypatch):
     calls = []
     refined = rho._refined
     monkeypatch.setattr(rho, "_refined", lambda *a: calls.append(1) or refined(*a))
-    check(spark, generated(2, 3.5, drift, days=80), {"team_decay_180": 180}, 1e-8)
+    check(spark, generated(2, 3.5, drift, days=80), {"team_decay_180": 180})
     assert calls
 
 
@@ -97,7 +95,13 @@ def test_history_of_the_same_date_is_not_used(spark):
     assert check(spark, rows)[0].rho == 0.0
 
 
-def test_too_short_half_life_is_rejected(spark):
+@pytest.mark.parametrize("half_life", [40, 5, 1])
+def test_short_half_lives_take_eras(spark, half_life):
+    rows = [(r[0], r[1], DAY + 9 * (r[2] - DAY), *r[3:]) for r in generated(4, 1.2, (0.3, 0.2, 0.2, 0.3), days=130)]
+    check(spark, rows, {"team_decay_180": half_life}, 1e-5)
+
+
+def test_half_life_must_be_positive(spark):
     rows = spark.createDataFrame([("E1", "m", DAY, 1.0, 1.0, -1.0)], SCHEMA)
     with pytest.raises(ValueError):
-        rho.fit_rho(rows, DAY, {"m": 10})
+        rho.fit_rho(rows, DAY, {"m": 0})

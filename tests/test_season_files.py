@@ -1,5 +1,8 @@
+import csv
 import datetime as dt
 import hashlib
+import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,23 +11,43 @@ from foretally.functions.parsing import parse_count, parse_match_date
 from foretally.operators import quality
 from foretally.plans import reports
 from foretally.sources import season_csv
+from tests.conftest import seeded_log
 
-SAMPLE = (
-    "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,HC,AC\n"
-    "E1,09/09/2017,North,South,2,0,7,3\n"
-    "E1,16/09/2017,East,West,0,1,4,8\n"
-    "E1,08/09/2018,North,East,1,1,2,6\n"
-    "E1,08/09/2018,South,West,3,2,9,5\n"
-    "E1,15/09/2018,West,North,0,0,6,1\n"
-    "E1,22/09/2018,East,South,,,\t, \n"
-)
-HEADER = "Div,Date,HomeTeam,AwayTeam,HC,AC\n"
+FIELDS = ("Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "HC", "AC")
+
+
+def season_rows(log, code="E1", blank_every=0):
+    """Rows of a seeded log as cells by column; every n-th one without a result."""
+    rows = []
+    for i, (day, home, away, hc, ac, hg, ag) in enumerate(log):
+        row = dict(zip(FIELDS, (code, day.strftime("%d/%m/%Y"), home, away, hg, ag, hc, ac)))
+        if blank_every and i % blank_every == blank_every - 1:
+            row |= {"FTHG": "", "FTAG": "", "HC": "\t", "AC": " "}
+        rows.append(row)
+    return rows
+
+
+def as_csv(rows, fields=FIELDS):
+    out = io.StringIO()
+    writer = csv.DictWriter(out, fields, extrasaction="ignore", lineterminator="\n")
+    writer.writeheader()
+    writer.writerows(rows)
+    return out.getvalue()
+
+
+def loaded_rows(log, blank_every=0):
+    return sorted(r[:5] for i, r in enumerate(log) if not blank_every or i % blank_every != blank_every - 1)
+
+
+def as_tuples(contests):
+    return sorted((r.match_date, r.home_team, r.away_team, r.home_count, r.away_count) for r in contests.collect())
 
 
 @pytest.fixture
 def season(tmp_path):
-    def write(text, name="E1_1718.csv", encoding="utf-8"):
+    def write(text, name="E1_1516.csv", encoding="utf-8"):
         path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
         path.write_bytes(text.encode(encoding))
         return str(path)
 
@@ -32,44 +55,61 @@ def season(tmp_path):
 
 
 def test_loads_counts_and_quality(spark, season):
-    loaded = season_csv.load_contests(spark, [season(SAMPLE)])
-    first = loaded.contests.orderBy("match_date").head()
-    assert (first.match_date, first.competition, first.home_team, first.away_team) == (dt.date(2017, 9, 9), "E1", "North", "South")
-    assert (first.home_count, first.away_count) == (7, 3)
-    overall = loaded.quality.filter("file_name IS NULL").head()
-    assert (overall.rows_read, overall.rows_loaded, overall.rows_without_result) == (6, 5, 1)
-
-
-def test_files_with_other_column_orders_and_a_byte_order_mark(spark, season):
-    one = season(HEADER + "E1,05/08/2017,A,B,6,4\n", "a.csv", "utf-8-sig")
-    two = season("AC,HC,Extra,AwayTeam,HomeTeam,Date,Div\n3,7,x,D,C,06/08/17,E1\n", "b.csv")
-    rows = season_csv.load_contests(spark, [one, two]).contests.orderBy("match_date").collect()
-    assert [(r.home_team, r.away_team, r.home_count, r.away_count) for r in rows] == [("A", "B", 6, 4), ("C", "D", 7, 3)]
-    assert rows[1].match_date == dt.date(2017, 8, 6)
+    log = seeded_log(21, 40)
+    loaded = season_csv.load_contests(spark, [season(as_csv(season_rows(log, blank_every=8)))])
+    assert as_tuples(loaded.contests) == loaded_rows(log, 8)
+    overall = loaded.quality.filter("file_path IS NULL").head()
+    assert (overall.rows_read, overall.rows_loaded, overall.rows_without_result) == (40, 35, 5)
+
+
+def test_other_headers_give_the_same_rows_and_unique_ids(spark, season):
+    logs = [seeded_log(22 + k, 25) for k in range(3)]
+    orders = (FIELDS, FIELDS[::-1], ("Note", *FIELDS[4:], *FIELDS[:4]))
+    names = ("E1 15 16.csv", "E1+1617.csv", "E1_%41.csv")
+    paths = [
+        season(as_csv([{**r, "Note": "x,y"} for r in season_rows(log)], order), name, encoding)
+        for log, order, name, encoding in zip(logs, orders, names, ("utf-8-sig", "utf-8", "utf-8"))
+    ]
+    contests = season_csv.load_contests(spark, paths).contests
+    assert as_tuples(contests) == sorted(r for log in logs for r in loaded_rows(log))
+    assert contests.select("match_id").distinct().count() == 75
+    assert {r.file_name for r in season_csv.file_manifest(spark, paths[:2]).collect()} == set(names[:2])
 
 
 def test_missing_columns_are_named(spark, season):
-    with pytest.raises(ValueError, match="missing required columns: AC, Div, HC"):
-        season_csv.load_contests(spark, [season("Date,HomeTeam,AwayTeam\n01/01/2026,A,B\n")])
+    text = as_csv(season_rows(seeded_log(1, 3)), ("Date", "HomeTeam", "AwayTeam", "HC"))
+    with pytest.raises(ValueError, match="missing required columns: AC, Div"):
+        season_csv.load_contests(spark, [season(text)])
+    with pytest.raises(ValueError, match="missing required columns"):
+        season_csv.load_contests(spark, [season("", "empty.csv")])
 
 
-def test_malformed_row_names_file_and_row(spark, season):
-    path = season(HEADER + "E1,04/08/2017,C,D,1,1\n\nE1,05/08/2017,A,B,not-a-number,4\n", "bad.csv")
-    with pytest.raises(ValueError, match=r"bad\.csv row 3: home count is not"):
+@pytest.mark.parametrize(
+    "column, cell, reason",
+    [
+        ("HC", "many", "home count is not a non-negative integer"),
+        ("AC", "", "away count is missing"),
+        ("HC", "3000000000", "home count is above 2147483647"),
+        ("Date", "2016-02-01", "unsupported match date"),
+        ("AwayTeam", "\t", "away_team must not be empty"),
+    ],
+)
+def test_malformed_row_names_file_and_row(spark, season, column, cell, reason):
+    rows = season_rows(seeded_log(31, 20))
+    rows[13][column] = cell
+    path = season(as_csv(rows), "bad one.csv")
+    with pytest.raises(ValueError, match=rf"bad one\.csv row 15: .*{reason}"):
         season_csv.load_contests(spark, [path])
     loaded = season_csv.load_contests(spark, [path], strict=False)
-    assert loaded.contests.count() == 1 and loaded.quarantine.count() == 1
+    assert loaded.contests.count() == 19 and loaded.quarantine.count() == 1
 
 
-def test_partial_result_is_malformed(spark, season):
-    with pytest.raises(ValueError, match="away count is missing"):
-        season_csv.load_contests(spark, [season(HEADER + "E1,05/08/2017,A,B,6,\n")])
-
-
-def test_short_row_counts_as_blank_cells(spark, season):
-    loaded = season_csv.load_contests(spark, [season(HEADER + "E1,05/08/2017,A,B\nE1,06/08/2017,A,B,1,2,extra\n")])
-    assert loaded.quality.filter("file_name IS NULL").head().rows_without_result == 1
-    assert loaded.contests.count() == 1  # an over-long row is fine for counts
+def test_short_and_long_rows(spark, season):
+    lines = as_csv(season_rows(seeded_log(32, 6))).splitlines()
+    lines[2] = ",".join(lines[2].split(",")[:4])  # cells that aren't there are blank
+    lines[4] += ",more"  # fine for counts
+    loaded = season_csv.load_contests(spark, [season("\n".join(lines))])
+    assert loaded.quality.filter("file_path IS NULL").head().rows_without_result == 1 and loaded.contests.count() == 5
 
 
 @pytest.mark.parametrize(
@@ -116,68 +156,103 @@ def test_row_constraints(spark, contests):
     assert same.violations == ["home_team and away_team must be different"]
 
 
+def test_blank_sides_of_any_white_space(spark, contests):
+    good = contests([(dt.date(2016, 5, 1), "P", "Q", 1, 2)])
+    for cell in ("\t", "\u00a0", " \n"):
+        assert quality.constraint_violations(good.withColumn("home_team", F.lit(cell))).head().violations == ["home_team must not be empty"]
+    same = good.withColumn("away_team", F.lit("\u00a0p\t"))
+    assert quality.constraint_violations(same).head().violations == ["home_team and away_team must be different"]
+
+
+def test_every_other_competition_is_named(spark, contests):
+    frames = [contests([(dt.date(2016, 5, 1), "P", "Q", 1, 2)], f"X{i:02d}") for i in range(30)]
+    log = frames[0]
+    for frame in frames[1:]:
+        log = log.unionByName(frame)
+    with pytest.raises(ValueError, match="X00, X01.*X29"):
+        quality.require_competitions(log)
+
+
 def test_goals_join_the_completed_cohort(spark, season):
-    text = "Div,Date,HomeTeam,AwayTeam,HC,AC,FTHG,FTAG\n"
-    path = season(text + "E1,01/08/2017,A,B,5,4,2,1\nE1,02/08/2017,C,D,,,0,1\n")
-    goals, loaded, excluded = season_csv.load_goals(spark, [path])
-    row = goals.collect()
-    assert len(row) == 1 and (row[0].home_goals, row[0].away_goals, row[0].season) == (2, 1, "1718")
-    assert excluded.count() == 1
+    log = seeded_log(41, 30)
+    path = season(as_csv(season_rows(log)))
+    half = season_rows(log, blank_every=5)
+    for row, whole in zip(half, season_rows(log)):
+        row |= {"FTHG": whole["FTHG"], "FTAG": whole["FTAG"]}  # a goal result without counts is excluded
+    goals, loaded, excluded = season_csv.load_goals(spark, [season(as_csv(half), "E1_1617.csv")])
+    expected = sorted((*r[:3], *r[5:7]) for i, r in enumerate(log) if i % 5 != 4)
+    assert sorted((r.match_date, r.home_team, r.away_team, r.home_goals, r.away_goals) for r in goals.collect()) == expected
+    assert {r.season for r in goals.collect()} == {"1617"} and excluded.count() == 6
     with pytest.raises(ValueError, match="duplicate"):
-        season_csv.load_goals(spark, [path, season(text + "E1,01/08/2017,A,B,5,4,2,1\n", "E1_copy.csv")])
-    with pytest.raises(ValueError, match="invalid goal"):
-        season_csv.load_goals(spark, [season(text + "E1,01/08/2017,A,B,5,4,-1,1\n", "neg.csv")])
-    with pytest.raises(ValueError, match="malformed"):
-        season_csv.load_goals(spark, [season(text + "E1,01/08/2017,A,B,5,4,1,1,9\n", "long.csv")])
+        season_csv.load_goals(spark, [path, season(as_csv(season_rows(log)[:1]), "E1_copy.csv")])
+
+
+@pytest.mark.parametrize("change, message", [({"FTHG": "-2"}, "invalid goal"), ({"FTAG": ""}, "invalid goal"), ({"Div": "E0"}, "malformed or foreign"), ({"AC": "4,9"}, "malformed or foreign")])
+def test_bad_goal_rows_raise(spark, season, change, message):
+    rows = season_rows(seeded_log(42, 9))
+    rows[4] |= change
+    text = as_csv(rows).replace('"4,9"', "4,9")
+    with pytest.raises(ValueError, match=f"row 6: {message}"):
+        season_csv.load_goals(spark, [season(text)])
 
 
 def test_season_comes_from_the_file_name(spark, season):
-    path = season("Div,Date,HomeTeam,AwayTeam,HC,AC,FTHG,FTAG\nE1,22/07/2020,A,B,5,4,2,1\n", "E1_1920.csv")
-    assert season_csv.load_goals(spark, [path])[0].head().season == "1920"
+    path = season(as_csv(season_rows(seeded_log(43, 5, first=dt.date(2020, 7, 20)))), "E1_19 20.csv")
+    assert {r.season for r in season_csv.load_goals(spark, [path])[0].collect()} == {"19 20"}
 
 
-def test_manifest(spark, season):
-    path = season(SAMPLE)
-    row = season_csv.file_manifest(spark, [path]).head()
-    assert (row.file_name, row.rows, row.teams) == ("E1_1718.csv", 6, 4)
-    assert row.sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest()
-    assert (row.first_date, row.last_date) == (dt.date(2017, 9, 9), dt.date(2018, 9, 22))
+def test_manifest_by_full_path(spark, season):
+    logs = [seeded_log(51, 12), seeded_log(52, 17)]
+    paths = [season(as_csv(season_rows(log)), f"{folder}/E1_1516.csv") for log, folder in zip(logs, ("one", "two"))]
+    found = {r.file_path.removeprefix("file:"): r for r in season_csv.file_manifest(spark, paths).collect()}
+    for path, log in zip(paths, logs):
+        row = next(r for p, r in found.items() if p.endswith(path.lstrip("/")))
+        assert (row.file_name, row.rows, row.teams) == ("E1_1516.csv", len(log), len({t for r in log for t in r[1:3]}))
+        assert row.sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest() and row.bytes == len(open(path, "rb").read())
+        assert (row.first_date, row.last_date) == (log[0][0], log[-1][0])
 
 
-def test_total_report(spark, season):
-    import json
+REPORT_LOG = seeded_log(61, 80)
+REPORT_START = REPORT_LOG[30][0]
+EVALUATED = sum(r[0] >= REPORT_START for r in REPORT_LOG)
+
 
-    result = reports.total_report(spark, [season(SAMPLE)])
-    assert result["data_quality"] == {"rows_read": 6, "rows_loaded": 5, "rows_without_result": 1}
+def test_total_report(spark, season):
+    result = reports.total_report(spark, [season(as_csv(season_rows(REPORT_LOG)))], REPORT_START)
+    assert result["data_quality"] == {"rows_read": 80, "rows_loaded": 80, "rows_without_result": 0}
     evaluation = result["evaluation"]
-    assert evaluation["n"] == 3 and set(evaluation["lines"]) == {"8.5", "9.5", "10.5", "11.5"}
+    assert (evaluation["n"], evaluation["n_unscored"]) == (EVALUATED, 0) and set(evaluation["lines"]) == {"8.5", "9.5", "10.5", "11.5"}
     for line in evaluation["lines"].values():
         assert line["predicted_over"] + line["predicted_under"] == pytest.approx(1)
     json.dumps(result)
+    with pytest.raises(ValueError, match="no predictions"):
+        reports.total_report(spark, [season(as_csv(season_rows(REPORT_LOG)))], dt.date(2040, 1, 1))
 
 
-def test_side_report(spark, season):
-    import json
+def test_zero_means_stop_a_strict_report(spark, season):
+    log = [(*r[:3], 0, 0, *r[5:]) if r[0] < REPORT_LOG[6][0] else r for r in REPORT_LOG]
+    path = season(as_csv(season_rows(log)))
+    with pytest.raises(ValueError, match="no valid distribution"):
+        reports.total_report(spark, [path], log[0][0])
+    loose = reports.total_report(spark, [path], log[0][0], strict=False)["evaluation"]
+    assert loose["n_unscored"] > 0 and loose["n"] + loose["n_unscored"] == sum(r[0] > log[0][0] for r in log)
 
-    result = reports.side_report(spark, [season(SAMPLE)], samples=20)
+
+def test_side_report(spark, season):
+    result = reports.side_report(spark, [season(as_csv(season_rows(REPORT_LOG)))], REPORT_START, samples=20)
     for model in ("venue_average", "team_opponent"):
-        assert result["models"][model]["overall"]["n"] == 6
-        assert result["models"][model]["by_venue"]["home"]["n"] == 3
+        assert result["models"][model]["overall"]["n"] == 2 * EVALUATED
+        assert result["models"][model]["by_venue"]["home"]["n"] == EVALUATED
     assert set(result["paired_bootstrap"]["metrics"]) == {"mae", "brier"}
     json.dumps(result)
 
 
 def test_reports_reject_other_competitions(spark, season):
-    path = season(HEADER + "E0,05/08/2017,A,B,6,4\nE0,04/08/2018,B,A,5,5\n")
+    path = season(as_csv(season_rows(REPORT_LOG, "E0")))
     with pytest.raises(ValueError, match="found: E0"):
         reports.total_report(spark, [path])
 
 
-def test_report_without_scored_dates_raises(spark, season):
-    with pytest.raises(ValueError, match="no predictions"):
-        reports.total_report(spark, [season(SAMPLE)], dt.date(2030, 1, 1))
-
-
 def test_report_sink(spark, contests, tmp_path):
     metrics = spark.createDataFrame([("a", 1.5)], "model string, mae double")
     reports.write_report(metrics, str(tmp_path / "out"))
@@ -185,51 +260,44 @@ def test_report_sink(spark, contests, tmp_path):
     assert reports.as_json(metrics, ["model"]).head().report == '{"mae":1.5}'
 
 
-def season_text(rows, header="Div,Date,HomeTeam,AwayTeam,HC,AC,FTHG,FTAG\n"):
-    lines = [f"E1,{day:%d/%m/%Y},{home},{away},{hc},{ac},{hg},{ag}\n" for day, home, away, hc, ac, hg, ag in rows]
-    return header + "".join(lines)
-
-
 def test_decay_report(spark, season):
-    import json
-
-    from tests.conftest import weekly_history
-
-    path = season(season_text([(*row, 1, 0) for row in weekly_history()]))
-    result = reports.decay_report(spark, [path], samples=50)
-    assert {m: v["n"] for m, v in result["models"].items()} == {"retained": 40, "equal_weight": 40, "time_weighted_180": 40}
+    log = seeded_log(71, 150, sides=4)
+    path = season(as_csv(season_rows(log)))
+    result = reports.decay_report(spark, [path], log[60][0], samples=50)
+    sizes = {v["n"] for v in result["models"].values()}
+    assert len(result["models"]) == 3 and len(sizes) == 1 and sizes.pop() > 0
     for interval in result["brier_intervals"].values():
         assert interval["lower_95"] <= interval["mean_delta"] <= interval["upper_95"]
     json.dumps(result)
     with pytest.raises(ValueError, match="duplicate fixture"):
-        reports.decay_report(spark, [path, season(season_text([(*weekly_history()[3], 1, 0)]), "again.csv")])
+        reports.decay_report(spark, [path, season(as_csv(season_rows(log)[:1]), "again.csv")])
 
 
 def test_goal_report(spark, season):
-    import json
-
-    from tests.conftest import goal_history
-
-    rows = [(day, home, away, 5, 4, hg, ag) for day, home, away, hg, ag in goal_history()]
-    files = [season(season_text(rows[:150]), "E1_1617.csv"), season(season_text(rows[150:]), "E1_1718.csv")]
-    result = reports.goal_report(spark, files, dt.date(2017, 1, 1), rows[165][0], samples=40)
-    assert set(result["metrics"]) == {"all", "development", "latest"}
+    log = seeded_log(72, 200, sides=5)
+    rows, holdout = season_rows(log), log[170][0]
+    files = [season(as_csv(rows[:120]), "E1_1516.csv"), season(as_csv(rows[120:]), "E1_1617.csv")]
+    result = reports.goal_report(spark, files, log[0][0], holdout, samples=40)
+    evaluated = [r for r in log if sum(p[0] < r[0] for p in log) >= 100]
     everything = result["metrics"]["all"]
-    assert len(everything) == 10 and everything["coin_0_5"]["over_2_5"]["brier"] == 0.25
-    assert everything["coin_0_5"]["over_2_5"]["n"] == 78
+    assert set(result["metrics"]) == {"all", "development", "latest"} and len(everything) == 10
+    assert everything["coin_0_5"]["over_2_5"]["brier"] == 0.25 and everything["coin_0_5"]["over_2_5"]["n"] == len(evaluated)
     assert len(everything["team_arithmetic"]["btts_yes"]["calibration_bins"]) == 10
     parts = [result["metrics"][w]["coin_0_5"]["over_2_5"]["n"] for w in ("development", "latest")]
-    assert sum(parts) == 78 and parts[1] == 15
-    assert set(result["seasonal_metrics"]) == {"1617", "1718"}
+    assert parts == [sum(r[0] < holdout for r in evaluated), sum(r[0] >= holdout for r in evaluated)]
     assert set(result["paired_28_day_block_intervals"]) == {"all", "latest"}
     unchanged = result["paired_28_day_block_intervals"]["all"]["team_arithmetic_dc_minus_team_arithmetic"]["over_2_5"]
     assert (unchanged["delta_brier"], unchanged["lower_95"], unchanged["upper_95"]) == (0, 0, 0)
     assert set(everything["venue_poisson_dc"]["rho"]) == {"mean_rho", "min_rho", "max_rho"}
-    assert result["data_quality"]["excluded_source_rows"] == 0 and len(result["data_quality"]["files"]) == 2
+    assert result["data_quality"]["excluded_source_rows"] == 0
+    assert spark.read.parquet(result["data_quality"]["manifest"]).count() == 2
     json.dumps(result, default=str)
 
 
 def test_line_breaks_inside_quoted_cells(spark, season):
-    path = season('Note,Div,Date,HomeTeam,AwayTeam,HC,AC\n"two\nlines",E1,05/08/2017,"A, x",B,6,4\n')
-    row = season_csv.load_contests(spark, [path], multi_line=True).contests.head()
-    assert (row.home_team, row.home_count) == ("A, x", 6)
+    rows = [{**r, "Note": "two\nlines", "HomeTeam": r["HomeTeam"] + ", x"} for r in season_rows(REPORT_LOG)]
+    path = season(as_csv(rows, ("Note", *FIELDS)))
+    contests = season_csv.load_contests(spark, [path], multi_line=True).contests
+    assert {r.home_team for r in contests.collect()} == {r["HomeTeam"] for r in rows}
+    assert reports.total_report(spark, [path], REPORT_START, multi_line=True)["evaluation"]["n"] == EVALUATED
+    assert season_csv.file_manifest(spark, [path], multi_line=True).head().rows == 80
