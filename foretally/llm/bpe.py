@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, map_pieces, pieces
+from foretally.llm.common import filled, map_arrow, map_pieces, pieces
 from foretally.llm.decontam import filter_passes, seed_filter
 from foretally.workspace import settle
 
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = True, id_column: str = "
                 )
                 number += len(texts)
 
-    first = settle(rows.mapInArrow(first_pass, f"row long, doc_id {kind}, {made}, parts {_PARTS}"), "encoded")
+    first = settle(map_arrow(rows, first_pass, f"row long, doc_id {kind}, {made}, parts {_PARTS}"), "encoded")
     open_ = first.where("parts is not null")
     refers = open_.select("row", F.posexplode("parts").alias("pos", "part")).select("row", "pos", "part.*")
 
@@ -235,4 +235,4 @@ def encoded(docs: DataFrame, path: str, digests: bool = True, id_column: str = "
 
     stripped = F.transform("parts", lambda p: p.dropFields("text")).alias("parts")
     rest = open_.select("row", "doc_id", stripped).join(gathered, "row").select("doc_id", "parts", "reused")
-    return first.where("parts is null").select("doc_id", *names).union(rest.mapInArrow(second_pass, f"doc_id {kind}, {made}"))
+    return first.where("parts is null").select("doc_id", *names).union(map_arrow(rest, second_pass, f"doc_id {kind}, {made}"))

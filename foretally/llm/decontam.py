@@ -26,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, pieces, words_of
+from foretally.llm.common import filled, map_arrow, pieces, words_of
 from foretally.llm.toxicity import normal_form
 from foretally.workspace import fits_broadcast, settle
 
@@ -99,8 +99,8 @@ def benchmark_seeds(benchmark: DataFrame, id_column: str = "item_id", text_colum
             items = batch.column(0).to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(items), pa.array(places.astype(np.int32))], ["seed", "item", "place"])
 
-    items = settle(rows.mapInArrow(split, f"item long, item_id {kind}, words array<long>").where(F.size("words") >= SEED_WORDS), "items")
-    return items, settle(items.select("item", "words").mapInArrow(windows, "seed long, item long, place int"), "seeds")
+    items = settle(map_arrow(rows, split, f"item long, item_id {kind}, words array<long>").where(F.size("words") >= SEED_WORDS), "items")
+    return items, settle(map_arrow(items.select("item", "words"), windows, "seed long, item long, place int"), "seeds")
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -207,7 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
                 )
                 number += piece.num_rows
 
-    hits = settle(rows.mapInArrow(scan, f"doc_id {kind}, row long, pos int, seed long"), "hits")
+    hits = settle(map_arrow(rows, scan, f"doc_id {kind}, row long, pos int, seed long"), "hits")
     small = fits_broadcast(seeds.schema, n_seeds := seeds.count()) and n_seeds
     matched = hits.join(F.broadcast(seeds) if small else seeds, "seed")
     grouped = matched.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "place")).alias("shared"))
@@ -223,7 +223,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(shares, pa.float64())], ["doc_id", "item_id", "coverage"])
 
     item_kind = items.schema["item_id"].dataType.simpleString()
-    return paired.select("doc_id", "item_id", "words", "shared").mapInArrow(cover, f"doc_id {kind}, item_id {item_kind}, coverage double")
+    return map_arrow(paired.select("doc_id", "item_id", "words", "shared"), cover, f"doc_id {kind}, item_id {item_kind}, coverage double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -251,7 +251,5 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The ids are broadcast if their measured number fits the limit; else both sides are shuffled.
     """
     dropped = ids.select(F.col("doc_id").alias("dropped_id"))
-    if fits_broadcast(dropped.schema, dropped.count()):
-        dropped = F.broadcast(dropped)
-    here: Column = F.col("kept.doc_id")
-    return docs.alias("kept").join(dropped, here.eqNullSafe(F.col("dropped_id")), "left_anti")
+    gone = docs["doc_id"].eqNullSafe(dropped["dropped_id"])
+    return docs.join(F.broadcast(dropped) if fits_broadcast(dropped.schema, dropped.count()) else dropped, gone, "left_anti")

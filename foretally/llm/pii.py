@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, map_pieces, pieces
+from foretally.llm.common import filled, map_arrow, map_pieces, pieces
 from foretally.llm.fitting import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
@@ -396,11 +396,11 @@ def redact(docs: DataFrame, segmenter: Segmenter, text_column: str = "text", len
                     mask[list(changed)] = True
                     new = pc.replace_with_mask(texts, pa.array(mask), pa.array(list(changed.values()), texts.type))
                     piece = piece.set_column(piece.schema.get_field_index(text_column), text_column, new)
-                    if length_column:
+                    if length_column in piece.schema.names:
                         own = piece.schema.get_field_index(length_column)
                         lengths = pc.utf8_length(new).cast(piece.schema.field(own).type)
                         old = piece.column(own)
                         piece = piece.set_column(own, length_column, pc.if_else(pa.array(mask), lengths, old))
                 yield piece
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

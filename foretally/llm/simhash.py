@@ -165,7 +165,7 @@ def without_repeated_rows(docs: DataFrame, id_column: str = "doc_id", text_colum
     twice = settle(counts.where("count > 1").select(F.col(id_column).alias("twice")), "twice")
     if twice.isEmpty():
         return docs
-    here = F.col(id_column) == F.col("twice")
+    here = docs[id_column] == twice["twice"]
     whole = F.struct(*[F.col(c) for c in docs.columns])
     moved = docs.join(twice, here, "left_semi").select(id_column, whole.alias("row"), F.coalesce(text_column, F.lit("")).alias("order"))
     once = moved.groupBy(id_column).agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretally.llm.common import map_arrow
 from foretally.workspace import settle
 
 SCALE = 256
@@ -82,7 +83,7 @@ def blocks(vectors: DataFrame, id_column: str, vector_column: str, scale: int, r
                     )
                     number += 1
 
-    return chosen.where("id is not null").mapInArrow(pack, _BLOCK)
+    return map_arrow(chosen.where("id is not null"), pack, _BLOCK)
 
 
 def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
@@ -189,7 +190,7 @@ def _packed(state: DataFrame) -> DataFrame:
             )
 
     gathered = state.groupBy("q_block").agg(F.collect_list(F.struct("pos", "prefix", "need", "every")).alias("states"))
-    return gathered.mapInArrow(pack, "q_block long, prefix binary, need binary, every binary")
+    return map_arrow(gathered, pack, "q_block long, prefix binary, need binary, every binary")
 
 
 def _rounds(queries: DataFrame, limit: int) -> tuple[DataFrame, int]:
@@ -240,11 +241,11 @@ def top_k(
         before, shift = 64, bits
         while before:
             shift = max(0, (bits if before == 64 else before) - BIN_BITS)
-            counted = pairs(state).mapInArrow(_histogram(shift, before), "q_block long, pos int, bin long, count long")
+            counted = map_arrow(pairs(state), _histogram(shift, before), "q_block long, pos int, bin long, count long")
             bins = counted.groupBy("q_block", "pos", "bin").agg(F.sum("count").alias("count"))
             state = settle(_kth_bin(state, bins), "state")
             before = shift
-        results.append(settle(pairs(state).mapInArrow(_winners, "query_id long, vec_id long, score long"), "winners"))
+        results.append(settle(map_arrow(pairs(state), _winners, "query_id long, vec_id long, score long"), "winners"))
     found = functools.reduce(DataFrame.union, results) if results else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, map_pieces, pieces, words_of
+from foretally.llm.common import filled, map_arrow, map_pieces, pieces, words_of
 from foretally.llm.fitting import calibrated, fit_logistic, held_out, labelled_sample
 from foretally.workspace import settle
 
@@ -270,7 +270,7 @@ def without_toxic(docs: DataFrame, model: ToxicModel, text_column: str = "text",
                 x, _ = _piece_features(filled(piece.column(text_column)), model)
                 yield piece.filter(pa.array(calibrated(x, model.calibration) < reject))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretally.llm.common import map_arrow
 from foretally.llm.fitting import bounded_sample
 from foretally.workspace import settle, shared_folder
 
@@ -169,7 +170,7 @@ def write_archives(
                 page_id, url, payload, digest, length, refers_to = (cell.as_py() for cell in row)
                 if out is None:
                     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    out, records, size = system.open_output_stream(f"{path}-{number}.warc.zst"), 0, 0
+                    out, records, size = system.open_output_stream(f"{path}-{number}.warc.zst", compression=None), 0, 0
                     if embedded:
                         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(embedded)) + embedded)
                 frame = packer.compress(record_bytes(page_id, url, payload, digest, length, refers_to))
@@ -183,13 +184,13 @@ def write_archives(
         columns = [pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["archive", "records", "bytes"])
 
-    return settle(decided.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
+    return settle(map_arrow(decided, write, "archive string, records long, bytes long"), "manifest")
 
 
 def read_archive(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header, payload) of each record; the dictionary comes from the archive itself."""
     system, path = pafs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         head = source.read(8)
         trained = None
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
@@ -247,7 +248,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     schema = "page_id long, url string, record_type string, payload_bytes long, header_digest string, refers_to long, payload binary"
     spread = manifest.select("archive").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, "archive")
-    return spread.mapInArrow(read, schema)
+    return map_arrow(spread, read, schema)
 
 
 def round_trip(pages: DataFrame, spark: SparkSession, **columns) -> DataFrame:
