@@ -42,8 +42,8 @@ def nll(k: str, mu: str, alpha: str) -> str:
     )
 
 
-def r(expression: str, name: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {name}"
+def r(expression: str, name: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
 def dot(line: float) -> str:
