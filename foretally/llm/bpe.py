@@ -74,6 +74,15 @@ def encode(path: str, text: str) -> np.ndarray:
     return own.encode_to_numpy(text, allowed_special=own.special_tokens_set, disallowed_special=())
 
 
+def packed(path: str, ids: np.ndarray) -> bytes:
+    """Ids on their way between stages, in two bytes each where the vocabulary allows it."""
+    return ids.astype(_width(path)).tobytes()
+
+
+def _width(path: str) -> str:
+    return "<u2" if tokenizer(path).max_token_value < 1 << 16 else "<u4"
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places in the texts' joined bytes after which a chunk ends; none is within a character."""
     if len(data) < WINDOW:
@@ -158,7 +167,7 @@ def _document_parts(path: str, chunks: Chunked, row: int, shared: np.ndarray, se
         begin = int(chunks.borders[k])
         if begin + inner[0] > at:  # what is between two reused parts, the edges of both chunks included
             stretch = bytes(chunks.data[at : begin + inner[0]]).decode()
-            parts.append({"ids": encode(path, stretch).astype("<u4").tobytes()})
+            parts.append({"ids": packed(path, encode(path, stretch))})
         h1, h2 = (int(h) for h in chunks.hashes[k])
         own = {"h1": h1, "h2": h2}
         if (h1, h2) not in sent:
@@ -169,7 +178,7 @@ def _document_parts(path: str, chunks: Chunked, row: int, shared: np.ndarray, se
     if not parts:
         return None
     if stop > at:
-        parts.append({"ids": encode(path, bytes(chunks.data[at:stop]).decode()).astype("<u4").tobytes()})
+        parts.append({"ids": packed(path, encode(path, bytes(chunks.data[at:stop]).decode()))})
     return parts
 
 
@@ -214,7 +223,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = True, id_column: str = "
     refers = open_.select("row", F.posexplode("parts").alias("pos", "part")).select("row", "pos", "part.*")
 
     def encode_chunks(piece: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [encode(path, t.as_py().decode()).astype("<u4").tobytes() for t in piece.column("text")]
+        ids = [packed(path, encode(path, t.as_py().decode())) for t in piece.column("text")]
         return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(ids, pa.binary())], ["h1", "h2", "ids"])
 
     # each task sends a chunk once a piece; of those texts, all equal, one is encoded
@@ -230,7 +239,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = True, id_column: str = "
                 for parts, reused_ in zip(piece.column("parts").to_pylist(), piece.column("reused").to_pylist()):
                     known = {r["pos"]: r["ids"] for r in reused_}
                     joined = b"".join(known[i] if part["h1"] is not None else part["ids"] for i, part in enumerate(parts))
-                    results.append(finished(np.frombuffer(joined, "<u4")))
+                    results.append(finished(np.frombuffer(joined, _width(path)).astype(np.uint32)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *arrays(results)], ["doc_id", *names])
 
     stripped = F.transform("parts", lambda p: p.dropFields("text")).alias("parts")
