@@ -55,8 +55,8 @@ def watch_base_tables() -> set[str]:
     plain = catalog.Derived.__getattribute__
 
     def asked(self, name):
-        if name in BASE:
-            used.add(name)
+        if name in BASE or name == "raw":
+            used.add("log" if name == "raw" else name)
         return plain(self, name)
 
     catalog.Derived.__getattribute__ = asked
