@@ -1,9 +1,10 @@
-"""Every registered query on the smallest tables: plan shape, and values against DuckDB SQL."""
+"""Every query of the contest log on the smallest tables: plan shape, and values against DuckDB SQL."""
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from check_oracle import compare, connect
+from foretally.catalog import queries
+from oracle.statements import oracle_sql
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = oracle_sql()
