@@ -34,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold benchmark passages."""
-    return decontam.without_ids(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Without the rows that hold benchmark passages."""
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

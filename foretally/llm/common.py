@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in unpacked form at a time; a longer single row is a piece of its own.
 PIECE_BYTES = 4 << 20
@@ -67,6 +68,11 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of a text, a null one as empty: with the doc_id it names a row, but for exact repeats."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """ASCII-lower-cased words between ASCII white space, and where each text's words start (and the end)."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))

@@ -13,7 +13,8 @@ compared by their 64-bit hashes.
 
 Nulls and odd input: a null or empty text is clean; items of fewer than five words (or null) have no
 seed and match nothing; a null item_id counts like any other id; rows that share a doc_id are judged
-one by one and reported together; empty tables give empty results; other columns are ignored.
+one by one and reported together as one document, rows with a null doc_id each for itself; the filter
+drops a row by its own text alone; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, map_arrow, pieces, words_of
+from foretally.llm.common import filled, map_arrow, pieces, text_mark, words_of
 from foretally.llm.toxicity import normal_form
 from foretally.workspace import fits_broadcast, settle
 
@@ -186,10 +187,10 @@ def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, item_id, coverage) for every document and item that share a seed."""
+    """(doc_id, mark, item_id, coverage) for every row and item that share a seed; mark is the hash of the row's text."""
     items, seeds = benchmark_seeds(benchmark)
     held = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))  # of fixed size
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), text_mark(F.col(text_column)).alias("mark"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +203,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
                 row = np.searchsorted(offsets, first[hit], side="right") - 1
                 places = (first[hit] - offsets[row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(row)), pa.array(number + row), pa.array(places), pa.array(seed[hit].view(np.int64))],
-                    ["doc_id", "row", "pos", "seed"],
+                    [
+                        piece.column(0).take(pa.array(row)),
+                        piece.column(2).take(pa.array(row)),
+                        pa.array(number + row),
+                        pa.array(places),
+                        pa.array(seed[hit].view(np.int64)),
+                    ],
+                    ["doc_id", "mark", "row", "pos", "seed"],
                 )
                 number += piece.num_rows
 
-    hits = settle(map_arrow(rows, scan, f"doc_id {kind}, row long, pos int, seed long"), "hits")
+    hits = settle(map_arrow(rows, scan, f"doc_id {kind}, mark long, row long, pos int, seed long"), "hits")
     small = fits_broadcast(seeds.schema, n_seeds := seeds.count()) and n_seeds
     matched = hits.join(F.broadcast(seeds) if small else seeds, "seed")
-    grouped = matched.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "place")).alias("shared"))
+    grouped = matched.groupBy("row", "item").agg(
+        F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.collect_list(F.struct("pos", "place")).alias("shared")
+    )
     paired = grouped.join(F.broadcast(items) if small else items, "item")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,22 +229,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
                 pos, place = (shared.values.field(i).to_pylist() for i in (0, 1))
                 document = {p + k: words[a + k] for p, a in zip(pos, place) for k in range(SEED_WORDS)}
                 shares.append(sum(length for *_, length in tile(words, document)) / len(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(shares, pa.float64())], ["doc_id", "item_id", "coverage"])
+            own = [batch.column(c) for c in ("doc_id", "mark", "item_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(shares, pa.float64())], ["doc_id", "mark", "item_id", "coverage"])
 
     item_kind = items.schema["item_id"].dataType.simpleString()
-    return map_arrow(paired.select("doc_id", "item_id", "words", "shared"), cover, f"doc_id {kind}, item_id {item_kind}, coverage double")
+    schema = f"doc_id {kind}, mark long, item_id {item_kind}, coverage double"
+    return map_arrow(paired.select("doc_id", "mark", "item_id", "words", "shared"), cover, schema)
+
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, by: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, coverage, items) of the contaminated documents: their best coverage and the items found.
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, coverage, items) of the contaminated documents: their best coverage and the items found."""
+    ``by`` has the columns of a group: doc_id and mark for each row's own verdict.
+    """
     found = overlaps(docs, benchmark).where(F.col("coverage") >= coverage)
-    return settle(found.groupBy("doc_id").agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("items")), "contaminated")
+    return settle(found.groupBy(*by).agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("items")), "contaminated")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, coverage, items) of every row; clean rows have no items and coverage 0."""
-    found = contaminated(docs, benchmark).withColumnRenamed("doc_id", "found_id")
-    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    unnamed = F.col("doc_id").isNull()  # such rows are no common document
+    found = contaminated(docs, benchmark, by=("doc_id", F.when(unnamed, F.col("mark")).alias("mark")))
+    found = found.withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+    rows = docs.select("doc_id", F.when(unnamed, text_mark(F.col("text"))).alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & F.col("mark").eqNullSafe(F.col("found_mark"))
+    joined = rows.join(found, same, "left")
     none = F.array().cast(found.schema["items"].dataType)
     return joined.select(
         "doc_id",
@@ -253,3 +271,15 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     dropped = ids.select(F.col("doc_id").alias("dropped_id"))
     gone = docs["doc_id"].eqNullSafe(dropped["dropped_id"])
     return docs.join(F.broadcast(dropped) if fits_broadcast(dropped.schema, dropped.count()) else dropped, gone, "left_anti")
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text aren't those of a row of the written table ``rows`` (doc_id, mark)."""
+    dropped = rows.select(F.col("doc_id").alias("dropped_id"), F.col("mark").alias("dropped_mark"))
+    gone = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (text_mark(docs["text"]) == dropped["dropped_mark"])
+    return docs.join(F.broadcast(dropped) if fits_broadcast(dropped.schema, dropped.count()) else dropped, gone, "left_anti")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text is clean; a null or repeated doc_id takes no other row along."""
+    return without_rows(docs, contaminated(docs, benchmark, by=("doc_id", "mark")))

@@ -106,3 +106,14 @@ def test_empty_tables(spark):
     _, _, df, benchmark = sample(spark)
     assert decontam.judged(df.limit(0), benchmark).collect() == []
     assert not any(r.contaminated for r in decontam.judged(df, benchmark.limit(0)).collect())
+
+
+def test_rows_of_a_null_or_repeated_id_keep_their_own_verdict(spark):
+    _, items, _, benchmark = sample(spark)
+    clean = [f"clean words of row {i} that no item of the benchmark has" for i in range(6)]
+    rows = [(None, items[3]), (None, clean[0]), (None, clean[1]), (None, None), (7, items[4]), (7, clean[2]), (7, ""), (8, clean[3]), (8, items[5]), (8, items[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in decontam.without_contaminated(docs, benchmark).collect()), key=str)
+    assert left == sorted([(None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (7, ""), (8, clean[3])], key=str)
+    found = [(r.contaminated, r.items) for r in decontam.judged(docs, benchmark).collect() if r.doc_id is None]
+    assert sorted(found) == [(False, []), (False, []), (False, []), (True, [3])]
