@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages over the documents, each on all rows that the one before it kept.
 
-Toxic documents go, one document of each near-duplicate group stays (the one with the smallest
-doc_id; rows that repeat a kept doc_id are one document), contaminated documents go, personal data is
-replaced in the texts, and the last stage gives each remaining document's tokens.
+Toxic documents go, one row of each near-duplicate group stays (the one with the smallest doc_id, then the
+smallest hash of its text), contaminated documents go, personal data is replaced in the texts, and the
+last stage gives each remaining document's tokens.
+
+Verdicts are on rows: rows that share a doc_id go together only if their texts do. Of exact repeats of a row
+one stays.
 
 Rows with a null doc_id can't be a group's document, and no group is found for them: they are kept by
 the near-duplicate stage. A null text is empty. Empty tables give empty results.
@@ -27,10 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    groups = simhash.near_duplicates(docs)
-    repeats = settle(groups.where("doc_id <> component_id").select("doc_id").distinct(), "repeats")
-    return simhash.without_repeated_rows(decontam.without_ids(docs, repeats))
+    """One row of each group of linked fingerprints."""
+    repeats = simhash.repeated_rows(docs)
+    return simhash.repeats_folded(decontam.without_rows(docs, repeats.where("drop")), repeats.where("not drop"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.llm.common import filled, map_pieces, words_of
+from foretally.llm.common import filled, map_pieces, text_mark, words_of
 from foretally.workspace import settle
 
 SHINGLE_WORDS = 3
@@ -84,6 +84,11 @@ def _fingerprint_piece(piece: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([piece.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
 
+def _marked_piece(piece: pa.RecordBatch) -> pa.RecordBatch:
+    prints = majority(*shingle_hashes(filled(piece.column(1))))
+    return pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(prints.view(np.int64))], ["doc_id", "mark", "print"])
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, print) with the 64 bits of the fingerprint as a signed long."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -137,17 +142,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, print, component_id): component_id is the smallest doc_id that links reach."""
-    prints = settle(fingerprints(docs, id_column, text_column), "prints")
-    classes = settle(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
+def _firsts(prints: DataFrame, order: Column) -> DataFrame:
+    """(print, first): the smallest ``order`` of the rows that links reach from a fingerprint."""
+    classes = settle(prints.groupBy("print").agg(F.min(order).alias("least")), "classes")
     roots = settle(components(links(classes.select("print"))), "roots")
     labelled = classes.join(roots, classes["print"] == roots["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
     labelled = settle(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.select("print", "root").join(least, "root").select("print", "component_id")
+    least = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    return labelled.select("print", "root").join(least, "root").select("print", "first")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, print, component_id): component_id is the smallest doc_id that links reach."""
+    prints = settle(fingerprints(docs, id_column, text_column), "prints")
+    named = _firsts(prints, F.col("doc_id")).withColumnRenamed("first", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
@@ -156,17 +166,27 @@ def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def without_repeated_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each doc_id, that with the smallest text; rows with a null id all stay.
+def repeated_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, mark, drop): rows, named by id and hash of the text, that aren't their component's first, or are it more than once.
 
-    Only rows whose id repeats are moved.
+    A component's first row is that with the smallest doc_id, then the smallest hash. ``drop`` is false for a
+    first row that exact repeats share.
     """
-    counts = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count()
-    twice = settle(counts.where("count > 1").select(F.col(id_column).alias("twice")), "twice")
-    if twice.isEmpty():
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), text_mark(F.col(text_column)).alias("mark"))
+    prints = settle(map_pieces(rows.where("doc_id is not null"), _marked_piece, "doc_id long, mark long, print long", "text"), "prints")
+    row = F.struct("doc_id", "mark")
+    found = prints.join(_firsts(prints, row), "print").select("doc_id", "mark", (row != F.col("first")).alias("drop"))
+    counted = found.groupBy("doc_id", "mark").agg(F.bool_or("drop").alias("drop"), F.count(F.lit(1)).alias("n"))
+    return settle(counted.where("drop or n > 1").drop("n"), "repeats")
+
+
+def repeats_folded(docs: DataFrame, repeats: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of exact repeats that the written table ``repeats`` (doc_id, mark) names; only those are moved."""
+    if repeats.isEmpty():
         return docs
-    here = docs[id_column] == twice["twice"]
+    twice = repeats.select(F.col("doc_id").alias("twice_id"), F.col("mark").alias("twice_mark"))
+    here = (docs[id_column].cast("long") == twice["twice_id"]) & (text_mark(docs[text_column]) == twice["twice_mark"])
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    moved = docs.join(twice, here, "left_semi").select(id_column, whole.alias("row"), F.coalesce(text_column, F.lit("")).alias("order"))
-    once = moved.groupBy(id_column).agg(F.min_by("row", "order").alias("row")).select("row.*")
+    moved = docs.join(twice, here, "left_semi").select(id_column, text_mark(F.col(text_column)).alias("mark"), whole.alias("row"))
+    once = moved.groupBy(id_column, "mark").agg(F.first("row").alias("row")).select("row.*")
     return docs.join(twice, here, "left_anti").union(once)

@@ -65,3 +65,15 @@ def test_odd_rows_and_empty_tables(spark):
         if name != "bpe":
             assert frame.columns == docs.columns
         assert stages[name](spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    a, b = ("the old mill stands by a slow river near our town and its wheel turns", "stars over this quiet desert were bright when we left camp at dawn")
+    c, d = ("quarterly figures show that sales of bicycles rose again in spring", "she baked nine loaves before anyone in that house had woken up")
+    assert len({brute_print(t) for t in (a, b, c, d)}) == 4
+    rows = [(1, a.upper()), (5, a), (5, b), (9, b.upper()), (6, c), (6, d), (7, d), (7, d), (8, d), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert left.schema == docs.schema
+    expected = [(1, a.upper()), (5, b), (6, c), (6, d), (None, a), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(expected, key=str)
