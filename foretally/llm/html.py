@@ -42,7 +42,12 @@ BLOCK_TAGS = frozenset(
     "thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script style noscript template svg math iframe object canvas textarea title"
+RAW_TAGS = "script style noscript template iframe textarea title"
+#: Elements that no drawing holds: their tags end an unclosed svg.
+BREAKOUT_TAGS = (
+    "b big blockquote body br center code dd div dl dt em embed h[1-6] head hr i img li menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var"
+)
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset("nav footer aside form header dialog menu button select search".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text prose".split())
@@ -57,9 +62,10 @@ _ROLES = {
     "navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1,
     "main": 1, "article": 1,
 }
-_RAW = "|".join(RAW_TAGS.split())
+_RAW, _BREAKOUT = ("|".join(tags.split()) for tags in (RAW_TAGS, BREAKOUT_TAGS))
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?![^>]*/>)[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?![^>]*/>)[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<svg(?=[\s/>])(?![^>]*/>)[^>]*+>.*?(?:</svg\s*+>|(?=</?(?:{_BREAKOUT})[\s/>])|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.S | re.I,
 )

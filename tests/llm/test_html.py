@@ -88,3 +88,19 @@ def test_fit_moves_from_the_prior():
     rows = np.array([html.block_features(b) for b in blocks])
     weights = html.fit_weights(rows, np.array([float(b.semantic > 0) for b in blocks]))
     assert np.all((rows @ weights > 0) == [b.semantic > 0 for b in blocks])
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        (f"<svg-icon name=x></svg-icon><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<title-bar></title-bar><template-card></template-card><math-field></math-field><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<object data=x><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<canvas><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<p>Here <math><mi>x</mi></math> is said. {LONG}</p>", f"{LONG} Here x is said. {LONG}"),
+        (f"<svg width=1><title>No</title><path d=x><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<svg width=1><text>no</text></svg><p>{LONG}</p><TITLE\n>no</TITLE>", f"{LONG} {LONG}"),
+    ],
+)
+def test_only_raw_elements_are_dropped_whole(inner, text):
+    assert main(f"<article><p>{LONG}</p>{inner}</article>") == text
