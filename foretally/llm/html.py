@@ -48,6 +48,10 @@ BREAKOUT_TAGS = (
     "b big blockquote body br center code dd div dl dt em embed h[1-6] head hr i img li menu meta nobr ol p pre ruby s small span strong "
     "strike sub sup table tt u ul var"
 )
+#: Open elements that the beginning of another one ends, if they are innermost.
+IMPLIED_ENDS = {
+    "li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
+} | dict.fromkeys(("thead", "tbody", "tfoot"), ("td", "th", "tr", "thead", "tbody", "tfoot"))
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset("nav footer aside form header dialog menu button select search".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text prose".split())
@@ -116,6 +120,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     # open elements: tag, mark, below boilerplate, semantic, number, in a header
     stack: list[tuple[str, int, bool, int, int, bool]] = [("", 0, False, 0, 0, False)]
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag
     number = linked = links = 0
     parts: list[str] = []
 
@@ -135,6 +140,10 @@ def blocks_of(page: str) -> list[Block]:
                 found.append(Block(text, min(linked, len(text)), tag, mark, below, semantic, parent, header))
             parts, linked = [], 0
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop()[0]].pop()
+
     at = 0
     for token in _TOKEN.finditer(page):
         begin = token.start()
@@ -152,15 +161,15 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            for depth in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if depths.get(tag):
+                close(depths[tag][-1])
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if stack[-1][0] == "p" or (tag == "li" and stack[-1][0] == "li"):
-                stack.pop()
+            if stack[-1][0] == "p":
+                close(len(stack) - 1)
+            while stack[-1][0] in IMPLIED_ENDS.get(tag, ()):
+                close(len(stack) - 1)
             links = 0
         if tag == "br" or tag == "hr":
             parts.append(" ")
@@ -172,6 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         own = mark_of(tag, token[4], mark)
         number += 1
         label = 1 if tag in CONTENT_TAGS else -1 if tag in BOILER_TAGS and tag != "header" else semantic
+        depths.setdefault(tag, []).append(len(stack))
         stack.append((tag, own or mark, below or own < 0, label, number, header or tag == "header"))
     if at < len(page):
         parts.append(page[at:])

@@ -104,3 +104,24 @@ def test_fit_moves_from_the_prior():
 )
 def test_only_raw_elements_are_dropped_whole(inner, text):
     assert main(f"<article><p>{LONG}</p>{inner}</article>") == text
+
+
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ("<form><select>" + "<option>one of many" * 300, "</select></form>"),
+        ("<nav><dl>" + "<dt>a<dd>b" * 200, "</dl></nav>"),
+        ("<nav><table>" + "<tr><td>a<th>b" * 200, "</table></nav>"),
+        ("<nav>" + "<span>" * 5000, "</nav>"),
+    ],
+)
+def test_end_tags_close_at_any_depth(open_, close):
+    last = html.blocks_of(f"{open_}{close}<div>{LONG}</div>")[-1]
+    assert (last.text, last.mark, last.below_boiler) == (LONG, 0, False)
+    assert main(f"{open_}{close}<div><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG} {LONG}"
+
+
+def test_cells_options_and_terms_end_at_the_next_one():
+    page = "<table><tr><td>a<td>b<tr><th>c</table><dl><dt>d<dd>e<dt>f</dl><select><option>g<option>h</select>"
+    whole = "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table><dl><dt>d</dt><dd>e</dd><dt>f</dt></dl><select><option>g</option><option>h</option></select>"
+    assert html.blocks_of(page) == html.blocks_of(whole)
