@@ -11,7 +11,7 @@ number of queries; the rounds change nothing in the result.
 
 Nulls and odd input: vectors that are null or hold a null or non-finite component, and rows with
 a null id, take no part. Vectors meet only vectors of their own length. Rows that repeat a
-query's id aren't its candidates; of query rows that repeat an id, the smallest vector asks. Components saturate
+query's id aren't its candidates; of usable query rows that repeat an id, the smallest vector asks. Components saturate
 at 64 bits and scores wrap around as 64-bit integers. An empty table gives an empty result.
 """
 
@@ -217,7 +217,9 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors for each row of ``queries``."""
     others = settle(blocks(vectors, id_column, vector_column, scale, rows), "candidates")
-    asked = blocks(queries.groupBy(id_column).agg(F.min(vector_column).alias(vector_column)), id_column, vector_column, scale, rows)
+    finite = F.forall(vector_column, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN is greatest
+    once = queries.where(F.col(vector_column).isNotNull() & finite).groupBy(id_column).agg(F.min(vector_column).alias(vector_column))
+    asked = blocks(once, id_column, vector_column, scale, rows)
     asked = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "n", "peak", "ids", "data")])
     asked, n_rounds = _rounds(settle(asked, "queries"), round_bytes)
     peak, q_peak, dim = (

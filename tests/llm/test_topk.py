@@ -44,3 +44,11 @@ def test_large_numbers_take_integer_products(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).collect() == []
+
+
+def test_usable_row_of_a_repeated_query_id_asks(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [None, 1.0]), (0, [2.0, 1.0]), (50, [-inf, 0.0]), (50, [0.5, 3.0]), (50, [nan, 0.0]), (50, None), (100, [nan, None]), (1, [1.0, 2.0]), (2, [3.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute(rows, [(0, [2.0, 1.0]), (50, [0.5, 3.0])], 5)
