@@ -15,16 +15,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int, key: str, keep: Column | None = None) -> DataFrame:
-    """At most ``rows`` rows of ``df`` that pass ``keep``, those with the smallest hashes of ``key``.
+def bounded_sample(df: DataFrame, rows: int, key: str, *more: str, keep: Column | None = None) -> DataFrame:
+    """At most ``rows`` rows of ``df`` that pass ``keep``, those with the smallest hashes of ``key`` and ``more``.
 
-    A large table is thinned by that hash first, so that its partitions don't each send ``rows`` rows.
+    ``more`` spreads rows whose key is null or repeats. A large number of such rows is thinned by that hash
+    first, so that partitions don't each send ``rows`` rows.
     """
-    total, order = df.count(), F.xxhash64(key)
+    df = df if keep is None else df.where(keep)
+    total, order = df.count(), F.xxhash64(key, *more)
     if total > 4 * rows:
         df = df.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int((1 << 30) * 4 * rows / total)))
         order = F.pmod(order, F.lit(1 << 30))
-    return (df if keep is None else df.where(keep)).orderBy(order, key).limit(rows)
+    return df.orderBy(order, key, *more).limit(rows)
 
 
 def labelled_sample(

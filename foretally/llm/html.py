@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foretally.llm.common import filled, map_pieces
 from foretally.llm.fitting import bounded_sample, sigmoid
 
-#: Pages that the classifier is fitted on at most: those with the smallest hashes of their id, of at most FIT_BYTES.
+#: Pages that the classifier is fitted on at most: those with the smallest hashes of their id and html, of at most FIT_BYTES.
 FIT_PAGES = 300
 FIT_BYTES = 64 << 10
 NEIGHBOUR = 0.6
@@ -323,7 +323,7 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html")
     """The classifier's weights, from a bounded sample of pages."""
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(html_column).alias("html"))
     small = F.octet_length("html") <= FIT_BYTES
-    sample = bounded_sample(rows, FIT_PAGES, "page_id", keep=small).select("html").collect()
+    sample = bounded_sample(rows, FIT_PAGES, "page_id", "html", keep=small).select("html").collect()
     blocks = [b for row in sample for b in blocks_of(row.html) if b.semantic]
     if not blocks:
         return PRIOR

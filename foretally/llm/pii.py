@@ -32,7 +32,7 @@ from foretally.llm.common import filled, map_arrow, map_pieces, pieces
 from foretally.llm.fitting import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the weights are fitted on at most: those with the smallest hashes of their id, of at most FIT_BYTES.
+#: Texts that the weights are fitted on at most: those with the smallest hashes of their id and text, of at most FIT_BYTES.
 FIT_TEXTS = 3000
 FIT_BYTES = 16 << 10
 #: Tokens of a segment at most, by kind.
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     """The model, from a bounded sample of texts with a sign of personal data."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     keep = (F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike(ANY_SIGN)
-    return train([r.text for r in bounded_sample(rows, FIT_TEXTS, "doc_id", keep=keep).collect()])
+    return train([r.text for r in bounded_sample(rows, FIT_TEXTS, "doc_id", "text", keep=keep).collect()])
 
 
 def span_text(spans: list[Span]) -> str:

@@ -133,7 +133,7 @@ def with_decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
 
 def sample_records(rows: DataFrame) -> list[bytes]:
     """Records of a bounded sample of rows, each payload once."""
-    sample = bounded_sample(rows, SAMPLE_RECORDS, "page_id", keep=F.octet_length("payload") <= SAMPLE_BYTES).collect()
+    sample = bounded_sample(rows, SAMPLE_RECORDS, "page_id", "digest", keep=F.octet_length("payload") <= SAMPLE_BYTES).collect()
     once = {r.digest: r for r in sample}
     return [record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, r.bytes, None) for r in once.values()]
 
