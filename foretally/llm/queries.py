@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.llm import bpe, decontam, html, pii, quality, simhash, topk, toxicity, urls, warc
+from foretally.llm import bpe, decontam, html, pii, quality, repeats, simhash, topk, toxicity, urls, warc
 from foretally.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.deduplicated(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     import corpus_pipeline  # which imports this package itself
 
@@ -67,6 +72,7 @@ def queries() -> dict:
         op8_quality,
         op9_simhash,
         op10_bpe,
+        op13_repeated_passages,
     )
     return {query.__name__: query for query in named} | {"pipeline": corpus_pipeline.run}
 
@@ -134,6 +140,37 @@ _WARC_SQL = """
     FROM payloads
 """
 
+_REPEATS_SQL = """
+    WITH texts AS (
+        SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+    ), blocks AS (  -- blocks of the strings that start in 400 bytes: a substring costs what stands before it
+        SELECT row, doc_id, base, substring(digits, 2 * base + 1, 898) AS part
+        FROM (SELECT row, doc_id, digits, unnest(range(0, len(digits) // 2 - 49, 400)) AS base FROM texts)
+    ), strings AS (
+        SELECT row, doc_id, base + place AS start, md5(substring(part, 2 * place + 1, 100)) AS string
+        FROM (SELECT row, doc_id, base, part, unnest(range(len(part) // 2 - 49)) AS place FROM blocks)
+    ), firsts AS (
+        SELECT string, min(doc_id) AS least FROM strings GROUP BY string
+    ), repeated AS (
+        SELECT row, start, lag(start) OVER (PARTITION BY row ORDER BY start) AS before
+        FROM strings JOIN firsts USING (string) WHERE doc_id > least
+    ), spans AS (
+        SELECT row, min(start) AS start, max(start) + 50 AS stop
+        FROM (SELECT row, start, count(*) FILTER (WHERE before IS NULL OR before + 50 < start) OVER (PARTITION BY row ORDER BY start) AS span
+              FROM repeated)
+        GROUP BY row, span
+    ), cut AS (
+        SELECT row, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans,
+               list_prepend(0, list(stop ORDER BY start)) AS begins, list(start ORDER BY start) AS ends
+        FROM spans GROUP BY row
+    )
+    SELECT doc_id, len(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(CASE WHEN begins IS NULL THEN digits ELSE array_to_string(list_transform(
+               list_zip(begins, list_append(ends, len(digits) // 2)),
+               lambda p: substring(digits, 2 * p[1] + 1, 2 * (p[2] - p[1]))), '') END)) AS kept_sha256
+    FROM texts LEFT JOIN cut USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _url_sql(), "op5_top_k": _TOP_K_SQL, "op6_warc": _WARC_SQL}
+    return {"op3_url_filter": _url_sql(), "op5_top_k": _TOP_K_SQL, "op6_warc": _WARC_SQL, "op13_repeated_passages": _REPEATS_SQL}
