@@ -68,6 +68,16 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and where each text starts."""
+    binary = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())
+    wide = np.int32 if pa.types.is_binary(binary.type) else np.int64
+    offsets = np.frombuffer(binary.buffers()[1], wide)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
+    buffer = binary.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def text_mark(text: Column) -> Column:
     """A 64-bit hash of a text, a null one as empty: with the doc_id it names a row, but for exact repeats."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -75,7 +85,12 @@ def text_mark(text: Column) -> Column:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """ASCII-lower-cased words between ASCII white space, and where each text's words start (and the end)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    return split_words(pc.ascii_lower(texts))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space as they are, and where each text's words start (and the end)."""
+    split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy().astype(np.int64)
     offsets -= offsets[0]
     words = split.flatten()

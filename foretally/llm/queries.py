@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.llm import bpe, decontam, html, pii, quality, repeats, simhash, topk, toxicity, urls, warc
+from foretally.llm import bpe, decontam, html, lexical, periods, pii, quality, repeats, simhash, topk, toxicity, urls, warc
 from foretally.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(periods.collapsed(table(spark, folder, "documents"), periods.planted))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.deduplicated(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,6 +80,8 @@ def queries() -> dict:
         op8_quality,
         op9_simhash,
         op10_bpe,
+        op11_periodic_runs,
+        op12_ranked_search,
         op13_repeated_passages,
     )
     return {query.__name__: query for query in named} | {"pipeline": corpus_pipeline.run}
@@ -140,6 +150,82 @@ _WARC_SQL = """
     FROM payloads
 """
 
+# crc32 has no function there: eight shifts for each byte of the decimal id
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substring(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+_RUNS_SQL = rf"""
+    WITH given AS (
+        SELECT row_number() OVER () AS row, doc_id, {_CRC32} AS h,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), tails AS (
+        SELECT row, doc_id, words, len(words) AS n, (h // 10) % len(words) AS a, h,
+               1 + (len(words) - (h // 10) % len(words)) // (3 + (h // 10) % 8) AS p
+        FROM given WHERE len(words) > 0
+    ), placed AS (
+        SELECT row, n, unnest(words) AS own, unnest(range(n)) AS i, a, p, h % 10 = 0 AND h IS NOT NULL AS tail FROM tails
+    ), words AS MATERIALIZED (
+        SELECT w.row, w.n, w.i, o.own AS word
+        FROM placed w JOIN placed o ON w.row = o.row AND o.i = CASE WHEN w.tail AND w.i >= w.a THEN w.a + (w.i - w.a) % w.p ELSE w.i END
+    ), equal AS (
+        SELECT a.row, a.i, b.i - a.i AS period
+        FROM words a JOIN words b ON a.row = b.row AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4
+    ), stretches AS (
+        SELECT row, period, min(i) AS start, count(*) + period AS length
+        FROM (SELECT row, period, i, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS island FROM equal)
+        GROUP BY row, period, island
+        HAVING count(*) + period >= greatest(6, 4 * period)
+    ), runs AS (
+        SELECT row, start, length, min(period) AS period FROM stretches GROUP BY row, start, length
+    ), dropped AS (
+        SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs
+    ), listed AS (
+        SELECT row, count(*) AS n_runs, first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY row
+    ), kept AS (
+        SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (row, i) GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+           (1000 * best.length) // best.period AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM given LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)
+"""
+
+_RANKED_SQL = r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), documents_ AS (
+        SELECT row, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0
+    ), total AS (
+        SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM documents_
+    ), frequency AS (
+        SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM documents_) GROUP BY ALL
+    ), asked AS (
+        SELECT item_id, term, count(*) AS n FROM (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)
+        GROUP BY ALL
+    ), weight AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM frequency, total GROUP BY term
+    ), scored AS (
+        SELECT item_id, row, doc_id, sum(a.n * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * f.n * docs) // length))))::BIGINT AS score
+        FROM asked a JOIN frequency f USING (term) JOIN weight USING (term), total
+        WHERE doc_id IS NOT NULL
+        GROUP BY item_id, row, doc_id
+    )
+    SELECT item_id, row_number() OVER best AS rank, doc_id, score
+    FROM scored WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+    QUALIFY rank <= 20
+"""
+
 _REPEATS_SQL = """
     WITH texts AS (
         SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
@@ -173,4 +259,4 @@ _REPEATS_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _url_sql(), "op5_top_k": _TOP_K_SQL, "op6_warc": _WARC_SQL, "op13_repeated_passages": _REPEATS_SQL}
+    return {"op3_url_filter": _url_sql(), "op5_top_k": _TOP_K_SQL, "op6_warc": _WARC_SQL, "op11_periodic_runs": _RUNS_SQL, "op12_ranked_search": _RANKED_SQL, "op13_repeated_passages": _REPEATS_SQL}
