@@ -41,6 +41,10 @@ from foretally.sources.contest_log import FIXTURE_HOLDOUT, FIXTURE_START, contes
 from foretally.sources.season_csv import file_manifest, load_contests, load_goals, season_label
 from foretally.workspace import run_folder, settle
 
+#: Contests of a long run, and the lines of its total.
+LONG_RUN = 50
+LONG_RUN_LINES = (450.5, 500.5, 550.5)
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -386,6 +390,15 @@ def nb_over(d: Derived) -> DataFrame:
     return _tails(d, F.col("dispersion"))
 
 
+@register
+def long_run_over(d: Derived) -> DataFrame:
+    """Tails of the sum of ``LONG_RUN`` contests like the next one."""
+    state = totals.total_state(d.ledger)
+    mean, dispersion = F.col("expected") * LONG_RUN, F.col("dispersion") / LONG_RUN
+    tails = [F.struct(F.lit(line).alias("line"), over_probability(mean, line, dispersion).alias("p_over")) for line in LONG_RUN_LINES]
+    return tidy(state.select("competition", "match_date", F.inline_outer(F.array(*tails))))
+
+
 @register
 def nb_nll(d: Derived) -> DataFrame:
     forecasts = totals.total_forecasts(d.contests, d.ledger, FIXTURE_START)

@@ -2,14 +2,19 @@
 
 Poisson is the Negative Binomial with zero dispersion, and both have the ratio
 ``P(k) / P(k-1) = a_k`` with ``a_k = mu (1 + alpha (k-1)) / (k (1 + alpha mu))``. A lower
-tail is then ``P(0) (1 + a_1 (1 + a_2 (1 + ...)))``, a nested product of plain arithmetic:
-linear in the line, compiled into the stage, and free of arrays and lambdas.
+tail is then ``P(0) (1 + a_1 (1 + a_2 (1 + ...)))``, a nested product of plain arithmetic,
+compiled into the stage and free of arrays and lambdas. Lines above ``NESTED_LINE`` take a continued
+fraction on the side of the tail where it converges; its steps grow with the root of the line, the size of
+the expression doesn't grow at all.
+
+The log loss is a closed form: the errors of Stirling's formula at the count, the shape and their sum, and
+two deviances that are computed without subtracting large numbers. It holds for any count at the same cost.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +22,17 @@ from pyspark.sql import functions as F
 from foretally.contracts import POISSON_DISPERSION
 
 
+#: Highest line whose tail is a nested product.
+NESTED_LINE = 60.5
+#: Below this probability of zero the mean is so large that no mass worth a double lies below ``NESTED_LINE``.
+_NO_ZERO = 1e-290
+#: Stirling's series holds from here on; smaller arguments are shifted by as much.
+_SERIES_FROM = 10
+#: Relative distances below this one take a power series.
+_NEAR = 0.03
+_NEAR_TERMS = 11
+
+
 def check_line(line: float) -> float:
     if line < 0 or not math.isclose(line % 1, 0.5):
         raise ValueError("line must be a non-negative half line")
@@ -29,7 +45,8 @@ def clamp01(p: Column) -> Column:
 
 def usable(mu: Column, alpha: Column) -> Column:
     """True where a mean and a dispersion define a distribution."""
-    return (mu > 0) & (alpha >= 0) & ~F.isnan(mu) & ~F.isnan(alpha)
+    endless = F.lit(float("inf"))  # NaN counts as larger still
+    return (mu > 0) & (mu < endless) & (alpha >= 0) & (alpha < endless)
 
 
 def _effective(alpha: Column) -> Column:
@@ -48,7 +65,39 @@ def _upper_tail(line: float, p0: str, odds: str, a: str) -> str:
     nested = "1D"
     for k in range(math.floor(line), 0, -1):
         nested = f"1D + {odds} * (1D + {a} * {k - 1}D) * {1 / k!r}D * ({nested})"
-    return f"greatest(0D, least(1D, 1D - {p0} * ({nested})))"
+    return f"IF({p0} < {_NO_ZERO}D, 1D, greatest(0D, least(1D, 1D - {p0} * ({nested}))))"
+
+
+def _continued(numerators: Callable[[Column], tuple[Column, Column]], steps: int) -> Column:
+    """``1 + t1 / (1 + t2 / (1 + ...))`` from the innermost step outwards; ``numerators(m)`` gives t(2m) and t(2m+1)."""
+
+    def step(inner: Column, m: Column) -> Column:
+        even, odd = numerators(m.cast("double"))
+        return 1 + F.try_divide(even, 1 + F.try_divide(odd, inner))
+
+    inner = F.aggregate(F.expr(f"sequence({steps}, 1, -1)"), F.lit(1.0), step)
+    return 1 + F.try_divide(numerators(F.lit(0.0))[1], inner)
+
+
+def _far_tail(mu: Column, line: float, a: Column) -> Column:
+    """P(X > line) by the continued fraction of the smaller tail, times the probability at its edge."""
+    k = math.floor(line)
+    steps = 10 + math.ceil(3 * math.sqrt(k))
+
+    def upward(m: Column) -> tuple[Column, Column]:
+        odds = mu / (1 + a * mu)
+        even = m * (1 - a * m) * odds / ((k + 2 * m) * (k + 1 + 2 * m))
+        return even, -(k + 1 + m) * (1 + a * (k + 1 + m)) * odds / ((k + 1 + 2 * m) * (k + 2 + 2 * m))
+
+    def downward(m: Column) -> tuple[Column, Column]:
+        even = m * (1 + a * (k + m)) / ((1 + (2 * m - 1) * a) * (1 + 2 * a * m) * mu)
+        return even, -(k - m) * (1 + a * m) / ((1 + 2 * a * m) * (1 + (2 * m + 1) * a) * mu)
+
+    above = mu * (1 + a) < k + 2
+    edge = F.exp(-_log_loss(F.when(above, F.lit(k + 1.0)).otherwise(F.lit(float(k))), mu, a))
+    upper = F.try_divide(edge, _continued(upward, steps))
+    lower = F.try_divide(edge * (1 + a * k), _continued(downward, steps))
+    return clamp01(F.when(above, upper).otherwise(1 - lower))
 
 
 def over_probability(mu: Column, line: float, alpha: Column | None = None) -> Column:
@@ -56,11 +105,14 @@ def over_probability(mu: Column, line: float, alpha: Column | None = None) -> Co
     line = check_line(line)
     alpha = F.lit(0.0) if alpha is None else alpha
     a = _effective(alpha)
+    if line > NESTED_LINE:
+        return F.when(usable(mu, alpha), _far_tail(mu, line, a))
     odds = mu / (1 + a * mu)
     nested = F.lit(1.0)
     for k in range(math.floor(line), 0, -1):
         nested = F.lit(1.0) + odds * (1 + a * (k - 1)) * F.lit(1 / k) * nested
-    return F.when(usable(mu, alpha), clamp01(1 - F.exp(_log_p0(mu, a)) * nested))
+    p0 = F.exp(_log_p0(mu, a))
+    return F.when(usable(mu, alpha), F.when(p0 < _NO_ZERO, F.lit(1.0)).otherwise(clamp01(1 - p0 * nested)))
 
 
 def over_probabilities(mu: Column, lines: Sequence[float], alpha: Column | None = None) -> Column:
@@ -85,11 +137,14 @@ def add_over_probabilities(
             "_p0": F.when(usable(mu, alpha), F.exp(_log_p0(mu, a))),
         }
     )
-    # clamping would turn a missing probability into a bound, so keep NULL explicitly
-    tails = ", ".join(
-        f"CASE WHEN _p0 IS NOT NULL THEN {_upper_tail(check_line(line), '_p0', '_odds', '_a')} END" for line in lines
-    )
-    return staged.withColumn(name, F.expr(f"array({tails})")).drop("_a", "_odds", "_p0")
+
+    def tail(line: float) -> Column:
+        if line > NESTED_LINE:
+            return F.when(F.col("_p0").isNotNull(), _far_tail(mu, line, F.col("_a")))
+        # clamping would turn a missing probability into a bound, so keep NULL explicitly
+        return F.expr(f"CASE WHEN _p0 IS NOT NULL THEN {_upper_tail(line, '_p0', '_odds', '_a')} END")
+
+    return staged.withColumn(name, F.array(*[tail(check_line(line)) for line in lines])).drop("_a", "_odds", "_p0")
 
 
 def over_map(mu: Column, lines: Sequence[float], alpha: Column | None = None) -> Column:
@@ -97,17 +152,77 @@ def over_map(mu: Column, lines: Sequence[float], alpha: Column | None = None) ->
     return F.map_from_arrays(F.array(*[F.lit(check_line(x)) for x in lines]), over_probabilities(mu, lines, alpha))
 
 
+def _stirling_error(x: Column) -> Column:
+    """``ln Gamma(x + 1) - (x + 1/2) ln x + x - ln(2 pi) / 2`` for x > 0, NULL for x = 0."""
+
+    def series(y: Column) -> Column:
+        z = 1 / (y * y)
+        return (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360)))))) / y
+
+    # the shifted factors in pairs: (x + j) (x + 11 - j) = u + j (11 - j)
+    u, y = x * (x + (_SERIES_FROM + 1)), x + _SERIES_FROM
+    product = F.lit(1.0)
+    for j in range(1, _SERIES_FROM // 2 + 1):
+        product = product * (u + j * (_SERIES_FROM + 1 - j))
+    shifted = (y + 0.5) * F.log(y) - _SERIES_FROM + series(y) - F.log(product) - (x + 0.5) * F.log(x)
+    return F.when(x < _SERIES_FROM, shifted).otherwise(series(x))
+
+
+def _deviance(e: Column, ratio: Column) -> Column:
+    """``(1 + e) ln(1 + e) - e`` where ``ratio`` is 1 + e, known by itself."""
+    near = F.lit(0.0)
+    for n in range(_NEAR_TERMS, 1, -1):
+        near = F.lit((-1) ** n / (n * (n - 1))) + e * near
+    return F.when(F.abs(e) < _NEAR, e * e * near).otherwise(ratio * F.log(ratio) - e)
+
+
+def _nb_parts(k: Column, mu: Column, a: Column) -> dict[str, Column]:
+    """What the log loss needs of a positive count, mean and dispersion, for a projection of its own."""
+    return {"shape": 1 / a, "grown": (1 + a * k), "spread": (1 + a * mu), "far": (k - mu) / mu}
+
+
+def _nb_loss(k: Column, mu: Column, parts: dict[str, Column]) -> Column:
+    """-ln P(X = k) for k > 0 and a positive dispersion."""
+    shape, grown, spread, far = (parts[name] for name in ("shape", "grown", "spread", "far"))
+    n = shape + k
+    own = n / spread * _deviance((mu - k) / n, spread / grown)
+    other = n * (mu / (shape * spread)) * _deviance(far / grown, k / mu * (spread / grown))
+    errors = _stirling_error(shape) + _stirling_error(k) - _stirling_error(n)
+    return errors + own + other + 0.5 * F.log(2 * math.pi * k * grown)
+
+
+def _poisson_loss(k: Column, mu: Column, far: Column) -> Column:
+    return _stirling_error(k) + mu * _deviance(far, k / mu) + 0.5 * F.log(2 * math.pi * k)
+
+
+def _log_loss(k: Column, mu: Column, a: Column) -> Column:
+    parts = _nb_parts(k, mu, a)
+    return (
+        F.when(k == 0, -_log_p0(mu, a))
+        .when(a > 0, _nb_loss(k, mu, parts))
+        .otherwise(_poisson_loss(k, mu, parts["far"]))
+    )
+
+
 def negative_log_loss(count: Column, mu: Column, alpha: Column | None = None) -> Column:
-    """-ln P(X = count). The log-gamma ratio is a finite sum because the count is whole."""
+    """-ln P(X = count), for any whole count; NULL where the mean or dispersion is not usable."""
     alpha = F.lit(0.0) if alpha is None else alpha
-    a = _effective(alpha)
-    log_ratio = F.aggregate(
-        F.sequence(F.lit(0), count.cast("int")),
-        F.lit(0.0),
-        lambda total, k: total + F.when(k > 0, F.log((1 + a * (k - 1)) / k)).otherwise(F.lit(0.0)),
-    )
-    log_p = log_ratio + count * F.log(mu / (1 + a * mu)) + _log_p0(mu, a)
-    return F.when(usable(mu, alpha) & (count >= 0), -log_p)
+    return F.when(usable(mu, alpha) & (count >= 0), _log_loss(count.cast("double"), mu, _effective(alpha)))
+
+
+def add_log_loss(
+    df: DataFrame, name: str = "nll", count: str = "actual", expected: str = "expected", dispersion: str = "dispersion"
+) -> DataFrame:
+    """Add ``negative_log_loss`` in projections of their own, so that no part is computed twice and each stays small."""
+    mu, alpha = F.col(expected), F.col(dispersion)
+    scored = usable(mu, alpha) & (F.col(count) >= 0)
+    k, m, a = F.col("_k"), F.col("_m"), F.col("_alpha")
+    staged = df.withColumns({"_k": F.when(scored, F.col(count).cast("double")), "_m": F.when(scored, mu), "_alpha": F.when(scored, _effective(alpha))})
+    parts = _nb_parts(k, m, a)
+    staged = staged.withColumns({f"_{part}": F.when(a > 0, value) if part == "shape" else value for part, value in parts.items()})
+    held = {part: F.col(f"_{part}") for part in parts}
+    loss = F.when(k == 0, -_log_p0(m, a)).when(a > 0, _nb_loss(k, m, held)).otherwise(_poisson_loss(k, m, held["far"]))
+    return staged.withColumn(name, loss).drop("_k", "_m", "_alpha", *[f"_{part}" for part in parts])
 
 
 def moment_dispersion(n: Column, total: Column, squares: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.contracts import CALIBRATION_BINS
-from foretally.functions.counts import negative_log_loss
+from foretally.functions.counts import add_log_loss
 
 
 def outcome(actual: Column, line: float) -> Column:
@@ -54,8 +54,7 @@ def tally_counts(forecasts: DataFrame, lines: Sequence[float], keys: Sequence[st
             F.sum(F.when(F.col("nll").isNotNull(), p)).alias(f"s_p_{i}"),
             F.sum(y).alias(f"s_y_{i}"),
         ]
-    scored = forecasts.withColumn("nll", negative_log_loss(F.col("actual"), F.col("expected"), F.col("dispersion")))
-    return scored.groupBy(*keys).agg(*sums)
+    return add_log_loss(forecasts).groupBy(*keys).agg(*sums)
 
 
 def _sum_columns(tally: DataFrame) -> list[str]:

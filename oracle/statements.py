@@ -414,6 +414,13 @@ def oracle_sql() -> dict[str, str]:
                 for x in (0.5, *TOTAL_LINES)
             ),
         )
+    out["long_run_over"] = query(
+        "total_state",
+        " UNION ALL ".join(
+            f"SELECT competition, match_date, {x}::DOUBLE AS line, {r(over('(50 * expected)', '(dispersion / 50)', x), 'p_over')} FROM total_state"
+            for x in (450.5, 500.5, 550.5)
+        ),
+    )
     out["nb_nll"] = query(
         "total_fc",
         f"SELECT match_id, {r(nll('actual', 'expected', 'dispersion'), 'nb_nll')}, {r(nll('actual', 'expected', '0.0::DOUBLE'), 'poisson_nll')} FROM total_fc",
