@@ -1,8 +1,9 @@
-"""Paired bootstrap with draws that depend only on (seed, sample, draw).
+"""Paired bootstrap with draws that depend only on (seed, sample, bucket, draw).
 
-A draw is a 32-bit mix of whole numbers in plain 64-bit arithmetic, so it is the same on any
-partitioning and in any engine, and compiles into the stage. Samples are never materialised: every task adds its draws into one partial
-row per sample, and only those partial rows are shuffled.
+A draw is a 32-bit mix of whole numbers in plain 64-bit arithmetic, so it is the same on any partitioning and in
+any engine. Samples are never materialised: a task adds its draws into one partial row per sample, and only those
+partial rows are shuffled. The draws of fixtures are made by numpy inside Arrow groups of bounded size, where a
+row for each draw would have to be exploded and hashed otherwise; everything else is column expressions.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.contracts import BLOCK_SAMPLES, BOOTSTRAP_SEED, IID_SAMPLES
-from foretally.workspace import attach, settle, spread
+from foretally.workspace import settle, ship_package, spread
 
+#: Units that are drawn from in one place, about.
+BUCKET_UNITS = 1 << 16
 _SPACE = 2**32
 
 
@@ -57,40 +62,88 @@ def unit_tag(key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
 
 
-def numbered(units: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Dense 0-based index in md5 order of the unit key, without a global sort.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``with_mix`` on numpy integers below 2**32."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * _MIX) & _MASK
+    return x ^ (x >> 16)
+
+
+def bucket_draws(sizes: np.ndarray, bucket: int, samples: range, seed: int) -> np.ndarray:
+    """How many of a sample's draws fall into a bucket, for each sample: a binomial for each node above the bucket.
 
-    Units fall into 4,096 buckets by the digest's prefix; bucket offsets come from the bucket
-    counts, and the rank is taken inside a bucket.
+    ``sizes`` has the units of all buckets, a power of two of them. Draws as many as there are units are split
+    in proportion, half by half. A node's binomial depends on (seed, sample, node) alone, so every task that walks
+    through it finds the same number, and the buckets' draws add up.
     """
-    tagged = units.withColumn("tag", unit_tag(key)).withColumn("bucket", F.substring("tag", 1, 3))
-    counts = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket").orderBy("tag")
-    # offsets has at most 4,096 rows by construction
-    return (
-        tagged.join(F.broadcast(offsets), "bucket")
-        .withColumn("idx", F.col("offset") + F.row_number().over(inside) - 1)
-        .drop("bucket", "offset", "tag")
-    )
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.empty(len(samples), np.int64)
+    for i, sample in enumerate(samples):
+        low, high, draws, node = 0, len(sizes), int(before[-1]), 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            left, whole = before[middle] - before[low], before[high] - before[low]
+            taken = 0
+            if draws and left:
+                stream = np.random.Generator(np.random.Philox(key=[seed & _MASK | sample << 32, node]))
+                taken = draws if left == whole else int(stream.binomial(draws, left / whole))
+            if bucket < middle:
+                high, draws, node = middle, taken, 2 * node
+            else:
+                low, draws, node = middle, draws - taken, 2 * node + 1
+        counts[i] = draws
+    return counts
+
+
+def drawn_sums(values: np.ndarray, bucket: int, draws: np.ndarray, samples: range, seed: int) -> np.ndarray:
+    """For each sample the sums of the rows of ``values`` that its draws in this bucket hit."""
+    sums = np.zeros((len(samples), values.shape[1]))
+    keys = _mixed((seed * _SPREAD + np.arange(samples.start, samples.stop)) & _MASK)
+    if bucket:
+        keys = _mixed((keys + bucket * _SPREAD) & _MASK)
+    spread_draws = (np.arange(draws.max(initial=0)) * _SPREAD) & _MASK
+    for i, (key, n) in enumerate(zip(keys, draws)):
+        if n:
+            hits = np.bincount(_mixed(spread_draws[:n] ^ key) % len(values), minlength=len(values))
+            sums[i] = hits @ values
+    return sums
 
 
 def iid_draws(
-    units: DataFrame, n: int, metrics: Sequence[str], samples: int, seed: int, limit: int | None = None
+    units: DataFrame, n: int, key: Sequence[str], metrics: Sequence[str], samples: int, seed: int, bucket_units: int = BUCKET_UNITS
 ) -> DataFrame:
-    """Sample means of n draws with replacement; ``units`` carry a dense ``idx``.
+    """Sample means of n draws with replacement, by hierarchical splitting.
 
-    The drawn units are looked up by a broadcast while their measured size allows it, else by a
-    shuffle on the index; the draws, and so the numbers, are the same.
+    Units fall into buckets by the digest of their key, about ``bucket_units`` in each. A binomial tree over the
+    buckets' sizes gives each bucket its number of draws in each sample; they are drawn in the bucket, so no index
+    leaves it and nothing is looked up elsewhere. What is shuffled are the units, once, and a row for each sample and
+    task. Where there are fewer buckets than cores, samples are dealt to several tasks too; that changes no number.
     """
     spark = units.sparkSession
-    draws = spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism))).select(
-        F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
-    )
-    drawn = with_drawn_index(with_sample_key(draws, seed), f"{n}L").select("sample", "idx")
-    looked_up = attach(drawn, units.select("idx", *metrics), ["idx"], n, limit=limit)
-    return looked_up.groupBy("sample").agg(*[F.avg(m).alias(m) for m in metrics])
+    ship_package(spark)
+    depth = max(0, (-(-n // bucket_units) - 1).bit_length())
+    tagged = units.select(unit_tag(key).alias("tag"), *[F.col(m).cast("double") for m in metrics])
+    word = F.conv(F.substring("tag", 1, 8), 16, 10).cast("bigint")
+    tagged = settle(tagged.withColumn("bucket", F.shiftright(word, 32 - depth).cast("int")), "bootstrap-buckets")
+    sizes = np.zeros(1 << depth, np.int64)
+    for row in tagged.groupBy("bucket").count().toLocalIterator():  # one row a bucket
+        sizes[row["bucket"]] = row["count"]
+    parts = max(1, min(samples, -(-spark.sparkContext.defaultParallelism >> depth)))
+    per_part = -(-samples // parts)
+    dealt = tagged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // per_part) - 1))))
+    names = list(metrics)
+
+    def draw(group: tuple, rows: pa.Table) -> pa.Table:
+        bucket, part = group[0].as_py(), group[1].as_py()
+        rows = rows.sort_by([("tag", "ascending"), *[(name, "ascending") for name in names]])
+        values = np.column_stack([rows.column(name).to_numpy() for name in names])
+        own = range(part * per_part, min(samples, (part + 1) * per_part))
+        sums = drawn_sums(values, bucket, bucket_draws(sizes, bucket, own, seed), own, seed)
+        return pa.table({"sample": np.arange(own.start, own.stop), **{name: sums[:, i] for i, name in enumerate(names)}})
+
+    schema = "sample long, " + ", ".join(f"`{name}` double" for name in names)
+    drawn = dealt.groupBy("bucket", "part").applyInArrow(draw, schema)
+    return drawn.groupBy("sample").agg(*[(F.sum(m) / n).alias(m) for m in metrics])
 
 
 def poisson_thresholds() -> list[int]:
@@ -131,12 +184,12 @@ def iid_bootstrap(
     samples: int = IID_SAMPLES,
     seed: int = BOOTSTRAP_SEED,
     method: str = "multinomial",
-    limit: int | None = None,
+    bucket_units: int = BUCKET_UNITS,
 ) -> DataFrame:
     """Interval of the mean difference per metric from paired resampling of fixtures.
 
     'multinomial' draws n fixtures with replacement, at every n. 'poisson' is another estimator, used
-    only when asked for: each fixture comes in a unit-rate Poisson number of copies, which needs no look-up.
+    only when asked for: each fixture comes in a unit-rate Poisson number of copies.
     Fixtures without a difference are left out.
     """
     check_samples(samples)
@@ -147,7 +200,7 @@ def iid_bootstrap(
     if n == 0:
         raise ValueError("no predictions are available for bootstrapping")
     if method == "multinomial":
-        means = iid_draws(numbered(settled, key), n, metrics, samples, seed, limit)
+        means = iid_draws(settled, n, key, metrics, samples, seed, bucket_units)
     else:
         means = poisson_draws(settled, key, metrics, samples, seed)
     entries = [F.struct(F.lit(m.removesuffix("_delta")).alias("metric"), F.col(m).alias("delta")) for m in metrics]

@@ -11,6 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +101,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once an application, whatever folder they start in."""
+    _shipped(spark.sparkContext.applicationId, spark)
+
+
+@lru_cache(maxsize=8)
+def _shipped(application: str, spark: SparkSession) -> None:
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "foretally-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as held:
+        for path in sorted(root.rglob("*.py")):
+            held.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))  # the driver serves it to the executors
+
+
 def row_bytes(schema: T.StructType) -> int:
     """A generous in-memory width of one row, in bytes."""
 

@@ -63,20 +63,52 @@ def test_result_does_not_depend_on_partitioning(spark, method):
         assert tuple(runs[0][metric])[1:] == pytest.approx(tuple(runs[1][metric])[1:])
 
 
-def test_intervals_are_the_same_beyond_the_broadcast_limit(spark):
-    df = units(spark, 50)
-    small = by_metric(resample.iid_bootstrap(df, ["unit"], samples=40))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        large = by_metric(resample.iid_bootstrap(df, ["unit"], samples=40, limit=0))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_bucketed_draws_do_not_depend_on_partitioning(spark):
+    df = units(spark, 900)
+    runs = []
+    for frame, shuffles in ((df.repartition(1), "1"), (df.orderBy("mae_delta").repartition(64), "64")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            runs.append(by_metric(resample.iid_bootstrap(frame, ["unit"], samples=30, bucket_units=100)))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
     for metric in ("mae", "brier"):
-        assert tuple(small[metric])[1:] == pytest.approx(tuple(large[metric])[1:], abs=1e-12)
+        assert tuple(runs[0][metric])[1:] == pytest.approx(tuple(runs[1][metric])[1:], abs=1e-12)
     with pytest.raises(ValueError, match="method"):
         resample.iid_bootstrap(df, ["unit"], method="auto")
 
 
+def test_buckets_share_a_samples_draws_in_proportion():
+    sizes = np.array([700, 0, 1, 299, 1000, 500, 250, 250])
+    samples = range(400)
+    counts = np.array([resample.bucket_draws(sizes, b, samples, 7) for b in range(8)])
+    assert (counts.sum(axis=0) == sizes.sum()).all() and (counts[1] == 0).all()
+    share = sizes / sizes.sum()
+    assert counts.mean(axis=1) == pytest.approx(sizes, rel=0.1, abs=0.2)
+    for b in (0, 4, 6):  # a multinomial's marginals are binomial
+        assert counts[b].var() == pytest.approx(3000 * share[b] * (1 - share[b]), rel=0.25)
+    assert np.corrcoef(counts[0], counts[4])[0, 1] == pytest.approx(-np.sqrt(share[0] * share[4] / (1 - share[0]) / (1 - share[4])), abs=0.15)
+    assert (resample.bucket_draws(sizes, 5, range(100, 130), 7) == counts[5, 100:130]).all()
+
+
+def test_bucketed_interval_has_the_right_centre_and_width(spark):
+    df = units(spark, 2000, 0.5)
+    row = by_metric(resample.iid_bootstrap(df, ["unit"], samples=400, bucket_units=150))["mae"]
+    values = np.array([r.mae_delta for r in df.collect()])
+    assert row.mean_delta == pytest.approx(values.mean(), abs=0.01)
+    assert row.upper_95 - row.lower_95 == pytest.approx(2 * 1.96 * values.std() / np.sqrt(2000), rel=0.15)
+
+
+def test_no_draw_is_shuffled_or_joined(spark):
+    df = units(spark, 500)
+    n, samples = 500, 40
+    means = resample.iid_draws(df, n, ["unit"], ["mae_delta"], samples, 7, bucket_units=100)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    drawn = means.collect()
+    assert len(drawn) == samples
+
+
 def test_missing_differences_count_nowhere(spark):
     df = units(spark, 30)
     gaps = df.unionByName(df.limit(3).select(F.concat(F.lit("x"), "unit").alias("unit"), F.lit(None).cast("double").alias("mae_delta"), "brier_delta"))
