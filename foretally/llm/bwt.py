@@ -17,47 +17,53 @@ from dataclasses import dataclass
 import numpy as np
 
 STRIDE = 5
-_SYMBOL_BITS = 9
 _PACKED = 7
 _LOW = np.uint64((1 << 32) - 1)
 
 
 def _left(offsets: np.ndarray) -> np.ndarray:
-    """For each byte, how many there are from it to its string's end."""
+    """For each symbol, how many there are from it to its string's end."""
     return np.repeat(offsets[1:], np.diff(offsets)) - np.arange(offsets[-1])
 
 
-def _grams(data: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
-    """The next ``length`` symbols at each byte as one number; beyond a string's end they are zero."""
-    symbols = np.append(data.astype(np.int64) + 1, np.zeros(length, np.int64))
-    keys = np.zeros(len(data), np.int64)
+def _grams(symbols: np.ndarray, left: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """The next ``length`` symbols at each place as one number; beyond a string's end they are zero."""
+    padded = np.append(symbols.astype(np.int64), np.zeros(length, np.int64))
+    keys = np.zeros(len(symbols), np.int64)
     for k in range(length):
-        keys <<= _SYMBOL_BITS
-        keys |= np.where(left > k, symbols[k : k + len(data)], 0)
+        keys <<= bits
+        keys |= np.where(left > k, padded[k : k + len(symbols)], 0)
     return keys
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    ranks = np.empty(len(keys), np.uint64)
+def _ranks(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks from 1 of keys of that many bits; with its place in one number, a key is sorted fastest."""
+    n = len(keys)
+    width = max(1, (n - 1).bit_length())
+    ranks = np.empty(n, np.uint64)
+    if bits + width <= 64:
+        keyed = np.sort(keys.astype(np.uint64) << np.uint64(width) | np.arange(n, dtype=np.uint64))
+        order, ordered = (keyed & np.uint64((1 << width) - 1)).astype(np.int64), keyed >> np.uint64(width)
+    else:
+        order = np.argsort(keys)
+        ordered = keys[order]
     ranks[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ranks
 
 
-def suffix_order(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def suffix_order(symbols: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     """The places of all suffixes of a shard's strings in order, by doubling what the ranks cover."""
-    n = len(data)
+    n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    left = _left(offsets)
-    ranks, covered, longest = _ranks(_grams(data, left, _PACKED)), _PACKED, int(left.max())
+    left, width = _left(offsets), (n + 1).bit_length()
+    covered = _PACKED if (_PACKED * bits + width <= 64) else 4
+    ranks, longest = _ranks(_grams(symbols, left, covered, bits), covered * bits), int(left.max())
     while covered < longest and ranks.max() < n:
         following = np.zeros(n, np.uint64)
         inside = np.flatnonzero(left > covered)
         following[inside] = ranks[inside + covered]
-        ranks, covered = _ranks(ranks << np.uint64(32) | following), 2 * covered
+        ranks, covered = _ranks(ranks << np.uint64(width) | following, 2 * width), 2 * covered
     return (np.sort(ranks << np.uint64(32) | np.arange(n, dtype=np.uint64)) & _LOW).astype(np.int64)
 
 
@@ -74,15 +80,16 @@ class Transform:
     short: np.ndarray
 
 
-def transform(data: np.ndarray, offsets: np.ndarray) -> Transform:
-    order, left = suffix_order(data, offsets), _left(offsets)
-    grams = _grams(data, left, STRIDE)
+def transform(symbols: np.ndarray, offsets: np.ndarray, bits: int) -> Transform:
+    """Of strings of symbols from 1 to below 2 ** ``bits``, which has nine bits at most."""
+    order, left = suffix_order(symbols, offsets, bits), _left(offsets)
+    grams = _grams(symbols, left, STRIDE, bits)
     start = np.repeat(offsets[:-1], np.diff(offsets))[order]
     before = np.where(order - STRIDE >= start, grams[np.maximum(order - STRIDE, 0)], -1)
     return Transform(order, before, grams[order[left[order] <= STRIDE]])
 
 
-def merged_blocks(shards: list[Transform], depth: int) -> np.ndarray:
+def merged_blocks(shards: list[Transform], depth: int, bits: int) -> np.ndarray:
     """For each suffix (shard by shard, in the shard's order) its block among all with the same first ``depth`` symbols.
 
     Blocks are numbered from 0 in the merged order. ``depth`` is a multiple of ``STRIDE``.
@@ -95,24 +102,23 @@ def merged_blocks(shards: list[Transform], depth: int) -> np.ndarray:
     grams = np.concatenate([part for shard in shards for part in (shard.before, shard.short)])
     if not len(grams):
         return np.zeros(0, np.int64)
-    coded = np.where(grams < 0, np.uint64(0), _ranks(grams))
+    coded = np.where(grams < 0, np.uint64(0), _ranks(grams + 1, STRIDE * bits + 1))
     cut = np.cumsum([0] + [len(part) for shard in shards for part in (shard.before, shard.short)])
     named = [coded[a:b] for a, b in zip(cut, cut[1:])]
     before, short = np.concatenate(named[0::2]), np.concatenate(named[1::2])
     sources = np.repeat(np.arange(len(shards)), [len(s.before) for s in shards]).astype(kind)
     short_sources = np.repeat(np.arange(len(shards)), [len(s.short) for s in shards]).astype(kind)
     number = np.arange(len(sources), dtype=np.uint64)
-    interleave, block = sources, np.ones(len(sources), np.int64)
-    for step in range(depth // STRIDE):
+    # a place in the interleave: the block it is in so far, and below it the shard
+    state, ends = np.int64(1) << 16 | sources.astype(np.int64), np.int64(1) << 16 | short_sources.astype(np.int64)
+    for _ in range(depth // STRIDE):
         read = np.empty(len(sources), np.uint64)
-        read[np.argsort(interleave, kind="stable")] = before
+        read[np.argsort((state & 0xFFFF).astype(kind), kind="stable")] = before
         reading = np.flatnonzero(read)
         keyed = np.sort(np.concatenate([short, read[reading]]) << np.uint64(32) | number)
-        at = (keyed & _LOW).astype(np.int64)
-        # a suffix that ends with its gram is followed by nothing, which no symbols yet are alike to all others
-        ends = np.full(len(short), 0 if step else 1)
-        following = np.concatenate([ends, block[reading]])[at]
-        interleave = np.concatenate([short_sources, interleave[reading]])[at]
-        gram = keyed >> np.uint64(32)
+        state = np.concatenate([ends, state[reading]])[(keyed & _LOW).astype(np.int64)]
+        gram, following = keyed >> np.uint64(32), state >> 16
         block = np.cumsum(np.concatenate([[1], (gram[1:] != gram[:-1]) | (following[1:] != following[:-1])]))
-    return block[np.argsort(interleave, kind="stable")] - 1
+        state = block << 16 | state & 0xFFFF
+        ends = ends & 0xFFFF  # a suffix that ends with its gram is followed by nothing, which is in a block of its own from now on
+    return (state >> 16)[np.argsort((state & 0xFFFF).astype(kind), kind="stable")] - 1

@@ -5,12 +5,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 1. Exact copies are folded by digest: the copy with the smallest doc_id stands for all, the others go whole.
 2. Every string of ``LENGTH`` bytes is named by the smallest hash among its grams of ``GRAM`` bytes. Equal strings
    have equal names, so only names that two rows or more hold matter. A filter of these names (its size follows
-   their measured number, see ``bitset``) picks the stretches of text that go on, and they are folded where equal.
+   their measured number, see ``bitset``) picks the stretches of text that go on: first as hashes alone, which tell
+   the names with one stretch from those with several, then the bytes of the latter, folded where equal.
 3. The stretches of a name are dealt to one task. Each batch there is a shard: it sorts its suffixes into a
    Burrows-Wheeler transform, and the shards' transforms are merged by interleave refinement (``bwt``), which
-   gives the intervals of equal strings and with them each string's first document. A name with one stretch needs
-   no merge. A name with more than ``HOT_STRETCHES`` different ones isn't dealt to one task: its stretches
-   are cut into single strings, which Spark groups by their bytes.
+   gives the intervals of equal strings and with them each string's first document. A name with one stretch has one
+   such interval for each string and needs no merge. A name with more than ``HOT_ROWS`` rows isn't dealt to one
+   task: its different stretches are cut into single strings, which Spark groups by their bytes.
 4. What a document has to give up goes back to it by (doc_id, hash of the text); copies get theirs in the same join.
 
 Nulls and odd input: a null text is empty. A row with a null doc_id has no place in the order: it loses nothing
@@ -27,23 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.llm import bitset, bwt
-from foretally.llm.common import filled, map_arrow, map_pieces, pieces, text_mark
+from foretally.llm.common import bytes_of, map_arrow, map_pieces, pieces, text_mark
 from foretally.workspace import BROADCAST_BYTES, attach, settle
 
 LENGTH = 50
-GRAM = 24
-#: Different stretches of one name that one task takes at most.
-HOT_STRETCHES = 4000
+GRAM = 20
+#: Stretches of one name, copies included, up to which the name is dealt to one task.
+HOT_ROWS = 4000
 #: Strings that start in a stretch, at most: a longer one is cut into several that overlap.
 STRETCH_STARTS = 64
 #: Bytes of stretches that a task merges, about.
-TASK_BYTES = 4 << 20
-_SHARD_BYTES = 1 << 20
-_HASH_PIECE = 2 << 20
+TASK_BYTES = 8 << 20
+_MERGE_BYTES = 1 << 20
+_HASH_PIECE = 1 << 18
 _RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("least", pa.int64())])
 _RUNS = "runs array<struct<at: int, n: int, least: long>>"
 
@@ -93,16 +95,6 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     return names[first], text[first], start[first], np.diff(np.append(first, len(names)))
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, and where each text starts."""
-    binary = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())
-    wide = np.int32 if pa.types.is_binary(binary.type) else np.int64
-    offsets = np.frombuffer(binary.buffers()[1], wide)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
-    buffer = binary.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def _slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Stretches of ``data`` as binary values."""
     ends = np.cumsum(sizes)
@@ -131,15 +123,17 @@ def first_documents(shards: list[tuple[pa.Array, np.ndarray]], length: int) -> n
 
     A shard is its stretches' bytes and their documents. Every stretch has ``length`` bytes or more.
     """
+    flat = [bytes_of(segments) for segments, _ in shards]
+    held = np.bincount(np.concatenate([data for data, _ in flat]), minlength=256) > 0
+    codes, bits = np.where(held, np.cumsum(held), 0), int(held.sum()).bit_length()
     transforms, left, documents = [], [], []
-    for segments, least in shards:
-        data, offsets = _bytes_of(segments)
-        made = bwt.transform(data, offsets)
+    for (data, offsets), (_, least) in zip(flat, shards):
+        made = bwt.transform(codes[data], offsets, bits)
         transforms.append(made)
         sizes = np.diff(offsets)
         left.append((np.repeat(offsets[1:], sizes) - np.arange(len(data)))[made.order])
         documents.append(np.repeat(least, sizes)[made.order])
-    blocks = bwt.merged_blocks(transforms, length)
+    blocks = bwt.merged_blocks(transforms, length, bits)
     whole = np.concatenate(left) >= length
     smallest = np.full(int(blocks.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, blocks[whole], np.concatenate(documents)[whole])
@@ -155,20 +149,26 @@ def first_documents(shards: list[tuple[pa.Array, np.ndarray]], length: int) -> n
 
 
 def _merge(length: int):
-    """A task's stretches with their runs: its batches are the shards of one merge."""
+    """A task's stretches with their runs: its batches are the shards of its merges.
+
+    Names share no strings, so a task merges a part of its names at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [piece for batch in batches for piece in pieces(batch, "segment", _SHARD_BYTES)]
-        if not shards:
-            return
-        least = [s.column("least").to_numpy(zero_copy_only=False) for s in shards]
-        found = first_documents([(s.column("segment"), own) for s, own in zip(shards, least)], length)
-        at = 0
-        for shard in shards:
-            starts = np.diff(_bytes_of(shard.column("segment"))[1]) - length + 1
-            runs = _runs(found[at : at + starts.sum()], starts)
-            at += int(starts.sum())
-            yield pa.RecordBatch.from_arrays([shard.column("name"), shard.column("seg"), runs], ["name", "seg", "runs"])
+        given = [batch for batch in batches if batch.num_rows]
+        merges = -(-sum(batch.column("segment").nbytes for batch in given) // _MERGE_BYTES)
+        turns = [(batch.column("name").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(7)) % np.uint64(max(1, merges)) for batch in given]
+        for turn in range(merges):
+            shards = [shard for batch, own in zip(given, turns) if (shard := batch.filter(pa.array(own == turn))).num_rows]
+            if not shards:
+                continue
+            found = first_documents([(s.column("segment"), s.column("least").to_numpy(zero_copy_only=False)) for s in shards], length)
+            at = 0
+            for shard in shards:
+                starts = np.diff(bytes_of(shard.column("segment"))[1]) - length + 1
+                runs = _runs(found[at : at + starts.sum()], starts)
+                at += int(starts.sum())
+                yield pa.RecordBatch.from_arrays([shard.column("name"), shard.column("seg"), runs], ["name", "seg", "runs"])
 
     return run
 
@@ -190,7 +190,7 @@ def shared_names(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Names that two rows or more hold; written."""
 
     def names(piece: pa.RecordBatch) -> pa.RecordBatch:
-        name, text, _, _ = stretches(*_bytes_of(piece.column("text")), length, gram)
+        name, text, _, _ = stretches(*bytes_of(piece.column("text")), length, gram)
         order = np.lexsort((name, text))
         name, text = name[order], text[order]
         new = np.ones(len(name), bool)
@@ -201,65 +201,75 @@ def shared_names(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return settle(held.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
 
 
-def candidate_stretches(docs: DataFrame, length: int, gram: int, most_bits: int) -> DataFrame:
-    """(doc_id, mark, start, name, segment): the stretches whose name the filter of shared names may hold; written."""
-    shared = shared_names(docs, length, gram)
-    words = bitset.gathered(shared, "name", bitset.bits_for(shared.count(), most_bits))
-    held = docs.sparkSession.sparkContext.broadcast(words)
+def _filter_of(names: DataFrame, most_bits: int):
+    """A broadcast filter of written names, sized by their number."""
+    return names.sparkSession.sparkContext.broadcast(bitset.gathered(names, "name", bitset.bits_for(names.count(), most_bits)))
 
-    def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = _bytes_of(piece.column("text"))
-        name, text, start, starts = stretches(data, offsets, length, gram)
-        keep = np.flatnonzero(bitset.may_hold(held.value, name))
-        name, text, start, starts = name[keep], text[keep], start[keep], starts[keep]
-        rows = pa.array(text)
-        segments = _slices(data, offsets[:-1][text] + start, starts + length - 1)
-        return pa.RecordBatch.from_arrays(
-            [piece.column("doc_id").take(rows), piece.column("mark").take(rows), pa.array(start), pa.array(name.view(np.int64)), segments],
-            ["doc_id", "mark", "start", "name", "segment"],
-        )
 
-    schema = "doc_id long, mark long, start long, name long, segment binary"
-    return settle(map_pieces(docs.select("doc_id", "mark", "text"), cut, schema, "text", _HASH_PIECE), "stretches")
+def _held_stretches(docs: DataFrame, names: DataFrame, length: int, gram: int, most_bits: int, with_bytes: bool) -> DataFrame:
+    """The stretches whose name the filter of ``names`` may hold, as (doc_id, mark, start, n, name, seg) or (doc_id, name, seg, segment)."""
+    held = _filter_of(names, most_bits)
 
-
-def _seg(segment: Column) -> Column:
-    return F.xxhash64(segment).alias("seg")
-
-
-def stretch_runs(found: DataFrame, length: int, hot: int = HOT_STRETCHES, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """(name, seg, runs): each different stretch's starts with the first document that holds their strings."""
-    spark = found.sparkSession
-    distinct = settle(found.groupBy("name", "segment").agg(F.min("doc_id").alias("least")).select("*", _seg(F.col("segment"))), "distinct")
-    several = settle(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("segment")).alias("bytes")).where("n > 1"), "several")
-    starts = F.length("segment") - (length - 1)
-    alone = distinct.join(several.select("name"), "name", "left_anti").select(
-        "name", "seg", F.array(F.struct(F.lit(0).alias("at"), starts.alias("n"), F.col("least"))).alias("runs")
-    )
-    total = several.where(F.col("n") <= hot).agg(F.sum("bytes")).first()[0] or 0
+    def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = bytes_of(piece.column("text"))
+        name, text, start, n = stretches(data, offsets, length, gram)
+        keep = np.flatnonzero(bitset.may_hold(held.value, name))
+        name, text, start, n = name[keep], text[keep], start[keep], n[keep]
+        begin = offsets[:-1][text] + start
+        buffer, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        ends = zip(begin.tolist(), (begin + n + length - 1).tolist())
+        seg = pa.array(np.fromiter((digest(buffer[a:b]) for a, b in ends), np.uint64, count=len(begin)).view(np.int64))
+        rows, name = pa.array(text), pa.array(name.view(np.int64))
+        doc_id = piece.column("doc_id").take(rows)
+        if with_bytes:
+            return pa.RecordBatch.from_arrays([doc_id, name, seg, _slices(data, begin, n + length - 1)], ["doc_id", "name", "seg", "segment"])
+        mark = piece.column("mark").take(rows)
+        return pa.RecordBatch.from_arrays([doc_id, mark, pa.array(start), pa.array(n), name, seg], ["doc_id", "mark", "start", "n", "name", "seg"])
+
+    schema = "doc_id long, name long, seg long, segment binary" if with_bytes else "doc_id long, mark long, start long, n long, name long, seg long"
+    return map_pieces(docs.select("doc_id", "mark", "text"), cut, schema, "text", _HASH_PIECE)
+
+
+def _merged_runs(docs: DataFrame, several: DataFrame, length: int, gram: int, hot: int, most_bits: int, task_bytes: int) -> DataFrame:
+    """(name, seg, runs) of the stretches of names that have more than one; ``several`` has (name, n) with all their rows counted."""
+    spark = docs.sparkSession
+    found = _held_stretches(docs, several, length, gram, most_bits, True)
+    # a filter lets some other names through: they go with the join below
+    folded = found.groupBy("name", "segment").agg(F.min("doc_id").alias("least"), F.min("seg").alias("seg"))
+    distinct = settle(folded, "distinct")
+    crowded = settle(several.where(F.col("n") > hot).select("name"), "crowded")
+    n_crowded = crowded.count()
+    total = distinct.agg(F.sum(F.length("segment"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
-    dealt = distinct.join(several.where(F.col("n") <= hot).select("name"), "name", "left_semi").repartition(parts, "name")
-    merged = map_arrow(dealt, _merge(length), f"name long, seg long, {_RUNS}")
-    if several.where(F.col("n") > hot).isEmpty():
-        return alone.union(merged)
-    spread = distinct.join(several.where(F.col("n") > hot).select("name"), "name", "left_semi")
-    single = spread.select("name", "seg", "least", F.posexplode(F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(F.col("segment"), i, F.lit(length)))).alias("at", "string"))
+    few = attach(distinct, crowded, ["name"], n_crowded, "left_anti") if n_crowded else distinct
+    merged = map_arrow(few.repartition(parts, "name"), _merge(length), f"name long, seg long, {_RUNS}")
+    if not n_crowded:
+        return merged
+    starts = F.sequence(F.lit(1), F.length("segment") - (length - 1))
+    strings = F.transform(starts, lambda i: F.substring(F.col("segment"), i, F.lit(length)))
+    single = attach(distinct, crowded, ["name"], n_crowded, "left_semi").select("name", "seg", "least", F.posexplode(strings).alias("at", "string"))
     single = settle(single, "strings")
     earliest = single.groupBy("string").agg(F.min("least").alias("least"))
-    cut = single.drop("least").join(earliest, "string").groupBy("name", "seg").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "least")).alias("runs"))
-    return alone.union(merged).union(cut)
+    cut = single.drop("least").join(earliest, "string")
+    return merged.union(cut.groupBy("name", "seg").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "least")).alias("runs")))
 
 
-def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_STRETCHES, most_bits: int = bitset.MOST_BITS, task_bytes: int = TASK_BYTES) -> DataFrame:
+def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_ROWS, most_bits: int = bitset.MOST_BITS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(doc_id, mark, whole, ranges) of rows that lose bytes: the whole text, or the starts of strings that an earlier document holds."""
     whole = copies(docs, length)
     own = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     own = attach(own, whole.select("doc_id", "mark"), ["doc_id", "mark"], whole.count(), "left_anti")
-    found = candidate_stretches(own, length, gram, most_bits)
-    runs = settle(stretch_runs(found, length, hot, task_bytes), "runs")
-    hits = found.select("doc_id", "mark", "start", "name", _seg(F.col("segment"))).join(runs, ["name", "seg"])
+    found = settle(_held_stretches(own, shared_names(own, length, gram), length, gram, most_bits, False), "stretches")
+    by_name = found.groupBy("name").agg(
+        F.min("seg").alias("seg"), F.max("seg").alias("last_seg"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("n").alias("starts"), F.count(F.lit(1)).alias("n")
+    )
+    by_name = settle(by_name.where("least < last"), "by-name")
+    only = by_name.where("seg = last_seg").select("name", "seg", F.array(F.struct(F.lit(0).alias("at"), F.col("starts").cast("int").alias("n"), "least")).alias("runs"))
+    several = by_name.where("seg <> last_seg").select("name", "n")
+    runs = settle(only.union(_merged_runs(own, several, length, gram, hot, most_bits, task_bytes)), "runs")
     later = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
-    hits = hits.select("doc_id", "mark", F.transform(later, lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["n"].alias("n"))).alias("ranges"))
+    ranges = F.transform(later, lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["n"].alias("n"))).alias("ranges")
+    hits = found.select("doc_id", "mark", "start", "name", "seg").join(runs, ["name", "seg"]).select("doc_id", "mark", ranges)
     gathered = hits.where(F.size("ranges") > 0).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
     empty = F.lit(None).cast("array<struct<at: bigint, n: int>>").alias("ranges")
     return settle(gathered.select("doc_id", "mark", F.lit(False).alias("whole"), "ranges").union(whole.select("doc_id", "mark", F.lit(True), empty)), "passages")
@@ -267,7 +277,7 @@ def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def _covered(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of the piece's texts, where the texts start, and which bytes go."""
-    data, offsets = _bytes_of(piece.column("text"))
+    data, offsets = bytes_of(piece.column("text"))
     ranges = piece.column("ranges")
     per_row = ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = ranges.flatten()

@@ -49,15 +49,15 @@ def test_merged_transforms_give_the_blocks_of_sorted_suffixes():
         depth, prefixes, made = draw.choice([5, 10, 20]), [], []
         for strings in shards:
             data, offsets = flat(strings)
-            made.append(bwt.transform(data, offsets))
+            made.append(bwt.transform(data.astype(np.int64) + 1, offsets, 9))
             owner = np.repeat(np.arange(len(strings)), np.diff(offsets))
             suffixes = [(strings[owner[p]][p - offsets[owner[p]] :], owner[p]) for p in made[-1].order]
             assert suffixes == sorted(suffixes)  # equal suffixes by string
             prefixes += [s[:depth] for s, _ in suffixes]
         numbers = {p: i for i, p in enumerate(sorted(set(prefixes)))}
-        assert bwt.merged_blocks(made, depth).tolist() == [numbers[p] for p in prefixes]
+        assert bwt.merged_blocks(made, depth, 9).tolist() == [numbers[p] for p in prefixes]
     with pytest.raises(ValueError):
-        bwt.merged_blocks(made, 7)
+        bwt.merged_blocks(made, 7, 9)
 
 
 def test_filter_holds_all_at_any_size(spark):
