@@ -38,8 +38,8 @@ from foretally.workspace import BROADCAST_BYTES, attach, settle
 
 LENGTH = 50
 GRAM = 20
-#: Stretches of one name, copies included, up to which the name is dealt to one task.
-HOT_ROWS = 4000
+#: Stretches of one name, copies included, up to which the name is dealt to one task: with ``STRETCH_STARTS``, 7 MB at most.
+HOT_ROWS = 1 << 16
 #: Strings that start in a stretch, at most: a longer one is cut into several that overlap.
 STRETCH_STARTS = 64
 #: Bytes of stretches that a task merges, about.
@@ -47,6 +47,7 @@ TASK_BYTES = 8 << 20
 _MERGE_BYTES = 1 << 20
 _HASH_PIECE = 1 << 18
 _RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("least", pa.int64())])
+_SPANS = "spans array<struct<start: long, stop: long>>"
 _RUNS = "runs array<struct<at: int, n: int, least: long>>"
 
 
@@ -255,7 +256,7 @@ def _merged_runs(docs: DataFrame, several: DataFrame, length: int, gram: int, ho
 
 
 def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_ROWS, most_bits: int = bitset.MOST_BITS, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """(doc_id, mark, whole, ranges) of rows that lose bytes: the whole text, or the starts of strings that an earlier document holds."""
+    """(doc_id, mark, whole, spans) of rows that lose bytes: the whole text, or spans of it; written."""
     whole = copies(docs, length)
     own = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     own = attach(own, whole.select("doc_id", "mark"), ["doc_id", "mark"], whole.count(), "left_anti")
@@ -271,22 +272,44 @@ def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     ranges = F.transform(later, lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["n"].alias("n"))).alias("ranges")
     hits = found.select("doc_id", "mark", "start", "name", "seg").join(runs, ["name", "seg"]).select("doc_id", "mark", ranges)
     gathered = hits.where(F.size("ranges") > 0).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
-    empty = F.lit(None).cast("array<struct<at: bigint, n: int>>").alias("ranges")
-    return settle(gathered.select("doc_id", "mark", F.lit(False).alias("whole"), "ranges").union(whole.select("doc_id", "mark", F.lit(True), empty)), "passages")
+    spans = map_arrow(gathered, _joined(length), f"doc_id long, mark long, {_SPANS}")
+    nothing = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("spans")
+    return settle(spans.select("doc_id", "mark", F.lit(False).alias("whole"), "spans").union(whole.select("doc_id", "mark", F.lit(True), nothing)), "passages")
 
 
-def _covered(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(length: int):
+    """The starts of a row's strings as spans of bytes that neither meet nor overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = batch.column("ranges")
+            row = np.repeat(np.arange(batch.num_rows), ranges.value_lengths().to_numpy(zero_copy_only=False))
+            start = ranges.flatten().field("at").to_numpy(zero_copy_only=False)
+            stop = start + ranges.flatten().field("n").to_numpy(zero_copy_only=False) + (length - 1)
+            order = np.lexsort((start, row))
+            row, start, stop = row[order], start[order], stop[order]
+            far = row * (stop.max(initial=0) + 1)  # rows apart, so that one running maximum serves all
+            reach = np.maximum.accumulate(far + stop)
+            first = np.ones(len(row), bool)
+            first[1:] = far[1:] + start[1:] > np.maximum(reach[:-1], far[1:] - 1)
+            at = np.flatnonzero(first)
+            ends = (reach - far)[np.append(at[1:], len(row)) - 1] if len(row) else start
+            spans = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(ends)], ["start", "stop"])
+            cuts = pa.array(np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.ListArray.from_arrays(cuts, spans)], ["doc_id", "mark", "spans"])
+
+    return run
+
+
+def _covered(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of the piece's texts, where the texts start, and which bytes go."""
     data, offsets = bytes_of(piece.column("text"))
-    ranges = piece.column("ranges")
-    per_row = ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = ranges.flatten()
-    base = np.repeat(offsets[:-1], per_row)
-    at = base + flat.field("at").to_numpy(zero_copy_only=False)
-    stop = at + flat.field("n").to_numpy(zero_copy_only=False) + length - 1
+    spans = piece.column("spans")
+    base = np.repeat(offsets[:-1], spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start, stop = (base + spans.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("start", "stop"))
     whole = np.flatnonzero(piece.column("whole").fill_null(False).to_numpy(zero_copy_only=False))
     change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, np.concatenate([at, offsets[whole]]), 1)
+    np.add.at(change, np.concatenate([start, offsets[whole]]), 1)
     np.add.at(change, np.concatenate([stop, offsets[whole + 1]]), -1)
     return data, offsets, np.cumsum(change[:-1]) > 0
 
@@ -295,12 +318,12 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(doc_id, n_bytes, n_removed, n_spans, kept) with the remaining bytes of every row."""
     rows = _keyed(docs, id_column, text_column)
     lost = passages(rows, length, gram, **limits)
-    n_rows, n_ranges = lost.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("ranges"), F.lit(0)))).first()
-    small = 64 * n_rows + 32 * (n_ranges or 0) <= BROADCAST_BYTES
+    n_rows, n_spans = lost.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("spans"), F.lit(0)))).first()
+    small = 64 * n_rows + 32 * (n_spans or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(lost) if small else lost, ["doc_id", "mark"], "left")
 
     def remove(piece: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets, gone = _covered(piece, length)
+        data, offsets, gone = _covered(piece)
         up_to = np.concatenate([[0], np.cumsum(gone)])
         removed = up_to[offsets[1:]] - up_to[offsets[:-1]]
         edge = gone.copy()
@@ -315,5 +338,5 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    chosen = joined.select("doc_id", "text", "whole", "ranges")
+    chosen = joined.select("doc_id", "text", "whole", "spans")
     return map_pieces(chosen, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", "text")
