@@ -48,9 +48,15 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def _quality(loaded: LoadedLog) -> dict:
+def _quality(loaded: LoadedLog, strict: bool = True) -> dict:
+    """Row counts of a load; without ``strict`` also the rows that were set aside."""
     overall = loaded.quality.filter(F.col("file_path").isNull()).head()
-    return {k: overall[k] for k in ("rows_read", "rows_loaded", "rows_without_result")}
+    counts = {k: overall[k] for k in ("rows_read", "rows_loaded", "rows_without_result")}
+    if not strict:
+        counts["rows_quarantined"] = overall["rows_quarantined"]
+        if loaded.goal_quarantine is not None:
+            counts["goal_rows_quarantined"] = loaded.goal_quarantine.count()
+    return counts
 
 
 def _metric_tree(tally: DataFrame, lines: Sequence[float], keys: Sequence[str], with_under: bool = False) -> dict[tuple, dict]:
@@ -85,9 +91,9 @@ def total_report(
 ) -> dict:
     """Full-contest totals: expanding mean with Negative Binomial probabilities.
 
-    With ``strict`` a forecast without a valid distribution raises; else it is left out and counted.
+    With ``strict`` a malformed row or a forecast without a valid distribution raises; else it is left out and counted.
     """
-    loaded = load_contests(spark, paths, multi_line=multi_line)
+    loaded = load_contests(spark, paths, strict, multi_line)
     quality.require_competitions(loaded.contests)
     forecasts = total_forecasts(loaded.contests, build_ledger(loaded.contests), start)
     tally = settle(scoring.tally_counts(forecasts, TOTAL_LINES, ["model"]), "tally")
@@ -96,7 +102,7 @@ def total_report(
         "competition": COMPETITION_CODE,
         "target": "full_match_total",
         "evaluation_start": start.isoformat(),
-        "data_quality": _quality(loaded),
+        "data_quality": _quality(loaded, strict),
         "evaluation": _metric_tree(tally, TOTAL_LINES, ["model"], with_under=True)[("negative_binomial",)],
     }
 
@@ -111,7 +117,7 @@ def side_report(
     multi_line: bool = False,
 ) -> dict:
     """Side totals: venue average against team + opponent, with a paired fixture bootstrap."""
-    loaded = load_contests(spark, paths, multi_line=multi_line)
+    loaded = load_contests(spark, paths, strict, multi_line)
     quality.require_competitions(loaded.contests)
     panel = side_panel(loaded.contests, build_ledger(loaded.contests), start, (prior,))
     keys = ["model", "venue"]
@@ -126,7 +132,7 @@ def side_report(
         "target": "side_totals",
         "evaluation_start": start.isoformat(),
         "prior_matches": prior,
-        "data_quality": _quality(loaded),
+        "data_quality": _quality(loaded, strict),
         "models": {
             m: {"overall": overall[(m,)], "by_venue": {v: venues[(m, v)] for v in ("home", "away")}} for m in SIDE_MODELS
         },
@@ -166,7 +172,7 @@ def decay_report(
     multi_line: bool = False,
 ) -> dict:
     """Three models on one cohort, with block intervals of the time-weighted model."""
-    loaded = load_contests(spark, paths, multi_line=multi_line)
+    loaded = load_contests(spark, paths, strict, multi_line)
     quality.require_rows(loaded.contests, "provide nonempty history")
     quality.require_competitions(loaded.contests)
     quality.require_unique_fixtures(loaded.contests)
@@ -182,7 +188,7 @@ def decay_report(
             "half_life_days": HALF_LIFE_DAYS,
             "lines": list(SIDE_LINES),
         },
-        "data_quality": _quality(loaded),
+        "data_quality": _quality(loaded, strict),
         "models": {m: metrics[(m,)] for m in DECAY_MODELS},
         "brier_intervals": {row.pop("pair"): row for row in intervals},
     }
@@ -264,7 +270,7 @@ def goal_report(
     The file manifest grows with the number of files, so it is written, and the report names where.
     """
     paths = [str(p) for p in paths]
-    contests, loaded, excluded = load_goals(spark, paths, multi_line=multi_line)
+    contests, loaded, excluded = load_goals(spark, paths, multi_line=multi_line, strict=strict)
     quality.require_rows(contests, "provide nonempty history")
     quality.require_competitions(contests)
     ledger = build_ledger(contests)
@@ -308,9 +314,9 @@ def goal_report(
             "targets": list(TARGETS),
         },
         "data_quality": {
-            **_quality(loaded),
+            **_quality(loaded, strict),
             "excluded_source_rows": excluded.count(),
-            "manifest": settle(file_manifest(spark, paths, multi_line), "manifest").inputFiles()[0].rsplit("/", 1)[0],
+            "manifest": settle(file_manifest(spark, paths, multi_line, loaded.rows), "manifest").inputFiles()[0].rsplit("/", 1)[0],
         },
         "metrics": metrics,
         "paired_28_day_block_intervals": intervals,

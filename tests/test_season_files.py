@@ -104,6 +104,74 @@ def test_malformed_row_names_file_and_row(spark, season, column, cell, reason):
     assert loaded.contests.count() == 19 and loaded.quarantine.count() == 1
 
 
+def test_rows_have_a_number_and_an_id_that_splits_do_not_change(spark, season):
+    logs = [seeded_log(33 + k, 120) for k in range(2)]
+    paths = [season(as_csv(season_rows(log)), f"E1_{1516 + k}.csv") for k, log in enumerate(logs)]
+    runs = []
+    for size in ("134217728", "700", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows = season_csv.load_contests(spark, paths).rows.select("file_name", "row", "match_id", "home_team", "match_date")
+            runs.append(sorted(map(tuple, rows.collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert runs[0] == runs[1] == runs[2]
+    for k, log in enumerate(logs):
+        own = [r for r in runs[0] if r[0] == f"E1_{1516 + k}.csv"]
+        assert [r[1] for r in own] == list(range(2, 122))
+        assert [(r[4], r[3]) for r in own] == [(c[0], c[1]) for c in log]
+    assert len({r[2] for r in runs[0]}) == 240
+
+
+def test_headers_take_one_bounded_read_a_file(spark, season, monkeypatch):
+    wide = season("Div,Date," + ",".join(f"c{i}" for i in range(20_000)) + "\nE1,x\n", "wide.csv")
+    plain = season("\ufeffDiv,Date\r\nE1,01/01/2016\r\n" + "x" * 300_000, "plain.csv")
+    lone = season("only", "lone.csv")
+    jobs = []
+    monkeypatch.setattr("pyspark.sql.DataFrame.collect", lambda self: jobs.append(self))
+    found = {path.rsplit("/", 1)[-1]: names for path, names in season_csv.headers_of(spark, [wide, plain, lone]).items()}
+    assert not jobs and len(found["wide.csv"]) == 20_002
+    assert found["plain.csv"] == ("Div", "Date") and found["lone.csv"] == ("only",)
+
+
+def test_an_error_names_rows_and_their_number(spark, season):
+    rows = season_rows(seeded_log(34, 60))
+    for row in rows[10:40]:
+        row["HC"] = "many"
+    with pytest.raises(ValueError) as caught:
+        season_csv.load_contests(spark, [season(as_csv(rows))])
+    lines = str(caught.value).splitlines()
+    assert lines[0].startswith("E1_1516.csv row 12: ") and lines[-1] == "and 10 more rows" and len(lines) == 21
+
+
+def test_bad_goal_rows_can_be_set_aside(spark, season):
+    log = seeded_log(44, 20)
+    rows = season_rows(log)
+    rows[3]["FTHG"], rows[4]["Div"], rows[5]["HC"] = "-1", "E0", "?"
+    goals, loaded, excluded = season_csv.load_goals(spark, [season(as_csv(rows)), season(as_csv(rows[:2]), "E1_copy.csv")], strict=False)
+    assert goals.count() == 17 and loaded.quarantine.count() == 1 and excluded.count() == 1
+    found = sorted((r.row, r.goal_faults) for r in loaded.goal_quarantine.collect())
+    assert found == [(5, ["invalid goal result"]), (6, ["malformed or foreign fixture"])]
+    assert {r.season for r in goals.collect()} == {"1516"}  # of a repeated fixture the first file's row
+
+
+def test_files_of_any_size_are_hashed(spark, season, tmp_path):
+    small = season("Div,Date\nE1,x\n", "small one.csv")
+    large = tmp_path / "large.csv"
+    with open(large, "wb") as out:
+        out.truncate(2_500_000_000)  # a hole: no disk is used
+    expected = hashlib.sha256()
+    for _ in range(2500):
+        expected.update(bytes(1_000_000))
+    found = {r.file_name: (r.bytes, r.sha256) for r in season_csv.file_hashes(spark, [small, str(large)]).collect()}
+    assert found["large.csv"] == (2_500_000_000, expected.hexdigest())
+    assert found["small one.csv"] == next(
+        (r.bytes, r.sha256) for r in season_csv.file_hashes(spark, [small], whole_bytes=0).collect()
+    )
+
+
 def test_short_and_long_rows(spark, season):
     lines = as_csv(season_rows(seeded_log(32, 6))).splitlines()
     lines[2] = ",".join(lines[2].split(",")[:4])  # cells that aren't there are blank
@@ -294,6 +362,29 @@ def test_goal_report(spark, season):
     json.dumps(result, default=str)
 
 
+def test_goal_report_scans_the_files_once(spark, season, monkeypatch):
+    log = seeded_log(73, 160, sides=4)
+    path = season(as_csv(season_rows(log)))
+    scans, hashes = [], []
+    scan, whole = season_csv.scan, season_csv.file_hashes
+    monkeypatch.setattr(season_csv, "scan", lambda *a, **k: scans.append(a) or scan(*a, **k))
+    monkeypatch.setattr(season_csv, "file_hashes", lambda *a, **k: hashes.append(a) or whole(*a, **k))
+    result = reports.goal_report(spark, [path], log[0][0], log[150][0], samples=5)
+    assert len(scans) == len(hashes) == 1
+    assert spark.read.parquet(result["data_quality"]["manifest"]).head().rows == 160
+
+
+def test_reports_can_set_bad_rows_aside(spark, season):
+    rows = season_rows(REPORT_LOG)
+    rows[2]["HC"], rows[7]["Date"] = "many", "soon"
+    path = season(as_csv(rows))
+    with pytest.raises(ValueError, match="row 4"):
+        reports.total_report(spark, [path], REPORT_START)
+    result = reports.total_report(spark, [path], REPORT_START, strict=False)
+    assert result["data_quality"] == {"rows_read": 80, "rows_loaded": 78, "rows_without_result": 0, "rows_quarantined": 2}
+    assert result["evaluation"]["n"] == EVALUATED
+
+
 def test_line_breaks_inside_quoted_cells(spark, season):
     rows = [{**r, "Note": "two\nlines", "HomeTeam": r["HomeTeam"] + ", x"} for r in season_rows(REPORT_LOG)]
     path = season(as_csv(rows, ("Note", *FIELDS)))
