@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +74,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?|[\"'=/]")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 N_FEATURES = 14
@@ -94,34 +96,76 @@ class Block:
     in_header: bool
 
 
+def attributes_of(text: str) -> Iterator[tuple[str, str]]:
+    """(lower-case name, value) of a tag's attributes; what stands inside a value is no name."""
+    for match in _ATTRIBUTE.finditer(text):
+        if match[1]:
+            yield match[1].lower(), match[2] or match[3] or match[4] or ""
+
+
+def _named(value: str) -> int:
+    """What the names in a class or id say. One that is a content word as a whole and another one with a boilerplate word say nothing."""
+    content = boiler = whole = False
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        boiler |= bool(words & BOILER_WORDS)
+        content |= bool(words & CONTENT_WORDS)
+        whole |= bool(words) and words <= CONTENT_WORDS
+    return 0 if boiler and whole else -1 if boiler else 1 if content else 0
+
+
 def mark_of(tag: str, attributes: str, above: int = 0) -> int:
     """What an element's tag, role, class and id say below a mark: 1 content, -1 boilerplate, 0 nothing."""
     own = 1 if tag in CONTENT_TAGS else -1 if tag in BOILER_TAGS else 0
     if tag == "header" and above > 0:  # an article's own heading
         own = 0
     if len(attributes) > 4:
-        for match in _NAMES.finditer(attributes):
-            name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        for name, value in attributes_of(attributes):
             if name == "role":
                 own = _ROLES.get(value.lower(), own)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return -1
-            else:
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & BOILER_WORDS and not own > 0:
+            elif name in ("class", "id"):
+                said = _named(value)
+                if said < 0 and not own > 0:
                     own = -1
-                elif words & CONTENT_WORDS and own == 0:
+                elif said > 0 and own == 0:
                     own = 1
     return own
 
 
+class _Links:
+    """How many links are open: one with an end tag before the next link lasts through blocks, another ends with its block."""
+
+    def __init__(self, page: str):
+        self.page, self.open, self.loose = page, 0, 0
+        self.tags, self.next = _LINK.finditer(page), None
+        self.seen = -1
+
+    def begin(self, at: int) -> None:
+        while self.seen < at:  # to the first link tag after this one
+            self.next = next(self.tags, None)
+            self.seen = self.next.start() if self.next else len(self.page)
+        if self.next and self.next[1]:
+            self.open += 1
+        else:
+            self.loose += 1
+
+    def end(self) -> None:
+        if self.open:
+            self.open -= 1
+        else:
+            self.loose = max(0, self.loose - 1)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
     # open elements: tag, mark, below boilerplate, semantic, number, in a header
     stack: list[tuple[str, int, bool, int, int, bool]] = [("", 0, False, 0, 0, False)]
     depths: dict[str, list[int]] = {}  # of the open elements of each tag
-    number = linked = links = 0
+    number = linked = 0
+    links = _Links(page)
     parts: list[str] = []
 
     def flush() -> None:
@@ -149,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
         begin = token.start()
         if begin > at:
             parts.append(page[at:begin])
-            if links:
+            if links.open or links.loose:
                 linked += begin - at
         at = token.end()
         tag = token[3]
@@ -160,7 +204,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 flush()
             if tag == "a":
-                links = max(0, links - 1)
+                links.end()
             if depths.get(tag):
                 close(depths[tag][-1])
             continue
@@ -170,11 +214,11 @@ def blocks_of(page: str) -> list[Block]:
                 close(len(stack) - 1)
             while stack[-1][0] in IMPLIED_ENDS.get(tag, ()):
                 close(len(stack) - 1)
-            links = 0
+            links.loose = 0
         if tag == "br" or tag == "hr":
             parts.append(" ")
         elif tag == "a":
-            links += 1
+            links.begin(at)
         if tag in VOID_TAGS or token[4].endswith("/>"):
             continue
         _, mark, below, semantic, _, header = stack[-1]

@@ -64,6 +64,12 @@ def test_pages():
         (f'<article title="a>b"><p>{LONG}</article>', LONG),
         (f"<article><svg/><p>{LONG}</p></article>", LONG),
         ("<nav>a</nav>", ""),
+        (f'<article style="overflow:hidden"><p>{LONG}</p></article>', LONG),
+        (f'<article><p title="the hidden valley">{LONG}</p><p data-x=hidden alt=\'class="ad"\'>{LONG}</p></article>', f"{LONG} {LONG}"),
+        (f'<article><p>{LONG}</p><p hidden>{LONG}</p><div aria-hidden=true>{LONG}</div></article>', LONG),
+        (f'<article><section class="story related-work"><p>{LONG}</p></section></article>', LONG),
+        (f'<article><p>{LONG}</p></article><div><a href=x><div><p>A card that links to another page of the site</p></div></a></div>', LONG),
+        (f'<article><a href=x><p>{LONG}</p><p>{LONG}</p></article>', f"{LONG} {LONG}"),
         ("</p></div>" * 50 + f"<main><p>{LONG}</p>", LONG),
     ],
 )
@@ -71,6 +77,18 @@ def test_odd_pages(page, text):
     assert main(page) == text
 
 
+def test_link_text_counts_through_blocks():
+    card = "<a href=x><div><h3>Title of a card</h3><p>Text of the card.</p></div></a><p>Free text.</p>"
+    assert [(b.text, b.linked == len(b.text)) for b in html.blocks_of(card)] == [("Title of a card", True), ("Text of the card.", True), ("Free text.", False)]
+    unclosed = "<p><a href=x>one</p><p>two</p><a name=y><p>three</p>"
+    assert [b.linked for b in html.blocks_of(unclosed)] == [3, 0, 0]
+
+
+def test_attributes_by_name():
+    found = dict(html.attributes_of(' CLASS="a b" title=\'the "hidden" x\' data-hidden id = main hidden'))
+    assert found == {"class": "a b", "title": 'the "hidden" x', "data-hidden": "", "id": "main", "hidden": ""}
+
+
 def test_main_texts_of_a_table(spark):
     page = f"<nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>{LONG}</p></article><footer>&copy; us</footer>"
     huge = "<article>" + f"<p>{LONG}</p>" * 8000 + "</article>"
