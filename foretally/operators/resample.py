@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.contracts import BLOCK_SAMPLES, BOOTSTRAP_SEED, IID_SAMPLES
-from foretally.workspace import settle, ship_package, spread
+from foretally.workspace import attach, settle, ship_package, spread
 
 #: Units that are drawn from in one place, about.
 BUCKET_UNITS = 1 << 16
@@ -69,28 +69,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 16)
 
 
-def bucket_draws(sizes: np.ndarray, bucket: int, samples: range, seed: int) -> np.ndarray:
-    """How many of a sample's draws fall into a bucket, for each sample: a binomial for each node above the bucket.
+def bucket_draws(total: int, path: Sequence[tuple[int, int, int, bool]], samples: range, seed: int) -> np.ndarray:
+    """How many of a sample's ``total`` draws fall into a bucket, for each sample: a binomial for each node above it.
 
-    ``sizes`` has the units of all buckets, a power of two of them. Draws as many as there are units are split
-    in proportion, half by half. A node's binomial depends on (seed, sample, node) alone, so every task that walks
-    through it finds the same number, and the buckets' draws add up.
+    ``path`` has, from the root down, each node's number, the units on its left and in all, and whether the bucket lies
+    to the right. A node's binomial depends on (seed, sample, node) alone, so every task that walks through
+    it finds the same number, and the buckets' draws add up.
     """
-    before = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.empty(len(samples), np.int64)
     for i, sample in enumerate(samples):
-        low, high, draws, node = 0, len(sizes), int(before[-1]), 1
-        while high - low > 1:
-            middle = (low + high) // 2
-            left, whole = before[middle] - before[low], before[high] - before[low]
-            taken = 0
-            if draws and left:
+        draws = total
+        for node, left, whole, right in path:
+            taken = draws if left == whole else 0
+            if draws and 0 < left < whole:
                 stream = np.random.Generator(np.random.Philox(key=[seed & _MASK | sample << 32, node]))
-                taken = draws if left == whole else int(stream.binomial(draws, left / whole))
-            if bucket < middle:
-                high, draws, node = middle, taken, 2 * node
-            else:
-                low, draws, node = middle, draws - taken, 2 * node + 1
+                taken = int(stream.binomial(draws, left / whole))
+            draws = draws - taken if right else taken
         counts[i] = draws
     return counts
 
@@ -109,10 +103,38 @@ def drawn_sums(values: np.ndarray, bucket: int, draws: np.ndarray, samples: rang
     return sums
 
 
+def _bucketed(units: DataFrame, key: Sequence[str], metrics: Sequence[str], groups: list[str], bucket_units: int) -> tuple[DataFrame, DataFrame]:
+    """Units with their bucket, and for each bucket its group's units, its depth and the path to it; both written."""
+    tagged = units.select(*groups, unit_tag(key).alias("tag"), *[F.col(m).cast("double") for m in metrics])
+    totals = settle(tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("total")), "bootstrap-groups")
+    buckets = F.ceil(F.col("total") / bucket_units) - 1
+    totals = totals.withColumn("depth", F.when(buckets > 0, F.length(F.bin(buckets))).otherwise(F.lit(0)))
+    word = F.conv(F.substring("tag", 1, 8), 16, 10).cast("bigint").alias("word")
+    placed = attach(tagged.select("*", word), totals, groups, totals.count()).withColumn("bucket", F.expr("shiftright(word, 32 - depth)"))
+    placed = settle(placed.drop("word"), "bootstrap-buckets")
+    counts = settle(placed.groupBy(*groups, "bucket", "total", "depth").agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
+    above = counts.select("*", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
+    above = above.withColumn("node", F.expr("shiftleft(1L, level) + shiftright(bucket, depth - level)"))
+    nodes = settle(above.groupBy(*groups, "node").agg(F.sum("n").alias("units")), "bucket-nodes")
+    whole = nodes.withColumnRenamed("units", "whole")
+    left = nodes.where("node % 2 = 0").select(*groups, (F.col("node") / 2).cast("bigint").alias("node"), F.col("units").alias("left"))
+    steps = above.where("level < depth").join(whole, [*groups, "node"]).join(left, [*groups, "node"], "left")
+    right = F.expr("shiftright(bucket, depth - level - 1) % 2 = 1")
+    step = F.struct("level", "node", F.coalesce("left", F.lit(0)).alias("left"), "whole", right.alias("right"))
+    paths = steps.groupBy(*groups, "bucket").agg(F.sort_array(F.collect_list(step)).alias("path"))  # a step a level
+    return placed.drop("total", "depth"), settle(counts.join(paths, [*groups, "bucket"], "left"), "bucket-paths")
+
+
 def iid_draws(
-    units: DataFrame, n: int, key: Sequence[str], metrics: Sequence[str], samples: int, seed: int, bucket_units: int = BUCKET_UNITS
+    units: DataFrame,
+    key: Sequence[str],
+    metrics: Sequence[str],
+    samples: int,
+    seed: int,
+    bucket_units: int = BUCKET_UNITS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sample means of n draws with replacement, by hierarchical splitting.
+    """Means of as many draws with replacement as a group has units, by sample, through hierarchical splitting.
 
     Units fall into buckets by the digest of their key, about ``bucket_units`` in each. A binomial tree over the
     buckets' sizes gives each bucket its number of draws in each sample; they are drawn in the bucket, so no index
@@ -121,29 +143,31 @@ def iid_draws(
     """
     spark = units.sparkSession
     ship_package(spark)
-    depth = max(0, (-(-n // bucket_units) - 1).bit_length())
-    tagged = units.select(unit_tag(key).alias("tag"), *[F.col(m).cast("double") for m in metrics])
-    word = F.conv(F.substring("tag", 1, 8), 16, 10).cast("bigint")
-    tagged = settle(tagged.withColumn("bucket", F.shiftright(word, 32 - depth).cast("int")), "bootstrap-buckets")
-    sizes = np.zeros(1 << depth, np.int64)
-    for row in tagged.groupBy("bucket").count().toLocalIterator():  # one row a bucket
-        sizes[row["bucket"]] = row["count"]
-    parts = max(1, min(samples, -(-spark.sparkContext.defaultParallelism >> depth)))
+    groups = list(by) or ["_all"]
+    units = units if by else units.withColumn("_all", F.lit(0))
+    placed, buckets = _bucketed(units, key, metrics, groups, bucket_units)
+    parts = max(1, min(samples, -(-spark.sparkContext.defaultParallelism // max(1, buckets.count()))))
     per_part = -(-samples // parts)
-    dealt = tagged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // per_part) - 1))))
-    names = list(metrics)
+    part = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // per_part) - 1))).alias("part")
+    names, kinds = list(metrics), ", ".join(f"`{g}` {units.schema[g].dataType.simpleString()}" for g in groups)
 
-    def draw(group: tuple, rows: pa.Table) -> pa.Table:
-        bucket, part = group[0].as_py(), group[1].as_py()
+    def draw(group: tuple, rows: pa.Table, plan: pa.Table) -> pa.Table:
+        *own, bucket, part = group
+        bucket, total = bucket.as_py(), plan.column("total")[0].as_py()
+        path = [(s["node"], s["left"], s["whole"], s["right"]) for s in plan.column("path")[0].as_py() or ()]
         rows = rows.sort_by([("tag", "ascending"), *[(name, "ascending") for name in names]])
         values = np.column_stack([rows.column(name).to_numpy() for name in names])
-        own = range(part * per_part, min(samples, (part + 1) * per_part))
-        sums = drawn_sums(values, bucket, bucket_draws(sizes, bucket, own, seed), own, seed)
-        return pa.table({"sample": np.arange(own.start, own.stop), **{name: sums[:, i] for i, name in enumerate(names)}})
+        dealt = range(part.as_py() * per_part, min(samples, (part.as_py() + 1) * per_part))
+        sums = drawn_sums(values, bucket, bucket_draws(total, path, dealt, seed), dealt, seed)
+        head = [pa.array([value.as_py()] * len(dealt), value.type) for value in own]
+        columns = [*head, pa.array(np.arange(dealt.start, dealt.stop)), pa.array([total] * len(dealt), pa.int64())]
+        return pa.table([*columns, *[pa.array(sums[:, i]) for i in range(len(names))]], [*groups, "sample", "total", *names])
 
-    schema = "sample long, " + ", ".join(f"`{name}` double" for name in names)
-    drawn = dealt.groupBy("bucket", "part").applyInArrow(draw, schema)
-    return drawn.groupBy("sample").agg(*[(F.sum(m) / n).alias(m) for m in metrics])
+    grouping = [*groups, "bucket", "part"]
+    dealt = placed.select("*", part).groupBy(*grouping).cogroup(buckets.select("*", part).groupBy(*grouping))
+    drawn = dealt.applyInArrow(draw, f"{kinds}, sample long, total long, " + ", ".join(f"`{name}` double" for name in names))
+    means = drawn.groupBy(*groups, "sample").agg(*[(F.sum(m) / F.max("total")).alias(m) for m in metrics])
+    return means if by else means.drop("_all")
 
 
 def poisson_thresholds() -> list[int]:
@@ -156,15 +180,17 @@ def poisson_thresholds() -> list[int]:
     return out
 
 
-def poisson_draws(units: DataFrame, key: Sequence[str], metrics: Sequence[str], samples: int, seed: int) -> DataFrame:
+def poisson_draws(
+    units: DataFrame, key: Sequence[str], metrics: Sequence[str], samples: int, seed: int, by: Sequence[str] = ()
+) -> DataFrame:
     """Sample means with a unit-rate Poisson number of copies per unit.
 
     Equivalent to n draws with replacement up to the random total, which the ratio divides
     out. No unit is looked up by index, so nothing is broadcast or joined at any n.
     """
     word = lambda start: F.conv(F.substring("tag", start, 8), 16, 10).cast("bigint")
-    tagged = units.select(unit_tag(key).alias("tag"), *metrics).select(
-        word(1).alias("word_1"), word(9).alias("word_2"), *metrics
+    tagged = units.select(*by, unit_tag(key).alias("tag"), *metrics).select(
+        *by, word(1).alias("word_1"), word(9).alias("word_2"), *metrics
     )
     rows = spread(tagged, "word_1").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     keyed = with_mix(with_sample_key(rows, seed), "inner", "word_1 ^ key")
@@ -172,7 +198,7 @@ def poisson_draws(units: DataFrame, key: Sequence[str], metrics: Sequence[str],
     steps = " + ".join(f"IF(u >= {threshold}L, 1, 0)" for threshold in poisson_thresholds())
     weighted = u.withColumn("copies", F.expr(steps))
     total = F.sum("copies")
-    return weighted.groupBy("sample").agg(
+    return weighted.groupBy(*by, "sample").agg(
         *[F.try_divide(F.sum(F.col("copies") * F.col(m)), total).alias(m) for m in metrics]
     )
 
@@ -185,8 +211,9 @@ def iid_bootstrap(
     seed: int = BOOTSTRAP_SEED,
     method: str = "multinomial",
     bucket_units: int = BUCKET_UNITS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Interval of the mean difference per metric from paired resampling of fixtures.
+    """Interval of the mean difference per metric from paired resampling of fixtures, for each group of ``by``.
 
     'multinomial' draws n fixtures with replacement, at every n. 'poisson' is another estimator, used
     only when asked for: each fixture comes in a unit-rate Poisson number of copies.
@@ -195,16 +222,15 @@ def iid_bootstrap(
     check_samples(samples)
     if method not in ("multinomial", "poisson"):
         raise ValueError("method must be 'multinomial' or 'poisson'")
-    settled = settle(fixtures.select(*key, *metrics).dropna(subset=list(metrics)), "bootstrap-units")
-    n = settled.count()
-    if n == 0:
+    settled = settle(fixtures.select(*by, *[c for c in key if c not in by], *metrics).dropna(subset=list(metrics)), "bootstrap-units")
+    if settled.count() == 0:
         raise ValueError("no predictions are available for bootstrapping")
     if method == "multinomial":
-        means = iid_draws(settled, n, key, metrics, samples, seed, bucket_units)
+        means = iid_draws(settled, key, metrics, samples, seed, bucket_units, by)
     else:
-        means = poisson_draws(settled, key, metrics, samples, seed)
+        means = poisson_draws(settled, key, metrics, samples, seed, by)
     entries = [F.struct(F.lit(m.removesuffix("_delta")).alias("metric"), F.col(m).alias("delta")) for m in metrics]
-    return summarise(means.select("sample", F.inline_outer(F.array(*entries))), ["metric"], samples)
+    return summarise(means.select(*by, "sample", F.inline_outer(F.array(*entries))), [*by, "metric"], samples)
 
 
 def summarise(deltas: DataFrame, keys: Sequence[str], samples: int) -> DataFrame:

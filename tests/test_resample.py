@@ -78,17 +78,54 @@ def test_bucketed_draws_do_not_depend_on_partitioning(spark):
         resample.iid_bootstrap(df, ["unit"], method="auto")
 
 
+def paths_of(sizes):
+    """Each bucket's path through the tree over the sizes, as the plan gives it."""
+    depth, paths = (len(sizes) - 1).bit_length(), []
+    for bucket in range(len(sizes)):
+        low, high, node, path = 0, len(sizes), 1, []
+        for _ in range(depth):
+            middle = (low + high) // 2
+            right = bucket >= middle
+            path.append((node, int(sizes[low:middle].sum()), int(sizes[low:high].sum()), right))
+            low, high, node = (middle, high, 2 * node + 1) if right else (low, middle, 2 * node)
+        paths.append(path)
+    return paths
+
+
 def test_buckets_share_a_samples_draws_in_proportion():
     sizes = np.array([700, 0, 1, 299, 1000, 500, 250, 250])
-    samples = range(400)
-    counts = np.array([resample.bucket_draws(sizes, b, samples, 7) for b in range(8)])
+    samples, paths = range(400), paths_of(sizes)
+    counts = np.array([resample.bucket_draws(3000, path, samples, 7) for path in paths])
     assert (counts.sum(axis=0) == sizes.sum()).all() and (counts[1] == 0).all()
     share = sizes / sizes.sum()
     assert counts.mean(axis=1) == pytest.approx(sizes, rel=0.1, abs=0.2)
     for b in (0, 4, 6):  # a multinomial's marginals are binomial
         assert counts[b].var() == pytest.approx(3000 * share[b] * (1 - share[b]), rel=0.25)
     assert np.corrcoef(counts[0], counts[4])[0, 1] == pytest.approx(-np.sqrt(share[0] * share[4] / (1 - share[0]) / (1 - share[4])), abs=0.15)
-    assert (resample.bucket_draws(sizes, 5, range(100, 130), 7) == counts[5, 100:130]).all()
+    assert (resample.bucket_draws(3000, paths[5], range(100, 130), 7) == counts[5, 100:130]).all()
+
+
+def test_planned_paths_are_the_trees(spark):
+    df = units(spark, 700).withColumn("g", F.when(F.col("mae_delta") > 0.9, F.lit("small")).otherwise(F.lit("large")))
+    placed, buckets = resample._bucketed(df, ["unit"], ["mae_delta"], ["g"], 70)
+    for group in ("small", "large"):
+        rows = {r.bucket: r for r in buckets.where(F.col("g") == group).collect()}
+        depth = next(iter(rows.values())).depth
+        sizes = np.array([rows[b].n if b in rows else 0 for b in range(1 << depth)])
+        assert sizes.sum() == df.where(F.col("g") == group).count() and (1 << depth) >= sizes.sum() / 70
+        for bucket, row in rows.items():
+            assert [(s.node, s.left, s.whole, s.right) for s in row.path or []] == paths_of(sizes)[bucket]
+
+
+@pytest.mark.parametrize("method", ["multinomial", "poisson"])
+def test_groups_are_resampled_by_themselves(spark, method):
+    df = units(spark, 200).withColumn("g", F.when(F.col("unit") < "u15", F.lit("a")).otherwise(F.lit("b")))
+    both = resample.iid_bootstrap(df, ["unit"], samples=25, method=method, by=["g"])
+    for group in ("a", "b"):
+        alone = by_metric(resample.iid_bootstrap(df.where(F.col("g") == group), ["unit"], samples=25, method=method))
+        own = by_metric(both.where(F.col("g") == group).drop("g"))
+        for metric in ("mae", "brier"):
+            assert tuple(own[metric])[1:] == pytest.approx(tuple(alone[metric])[1:], abs=1e-12)
 
 
 def test_bucketed_interval_has_the_right_centre_and_width(spark):
@@ -101,10 +138,11 @@ def test_bucketed_interval_has_the_right_centre_and_width(spark):
 
 def test_no_draw_is_shuffled_or_joined(spark):
     df = units(spark, 500)
-    n, samples = 500, 40
-    means = resample.iid_draws(df, n, ["unit"], ["mae_delta"], samples, 7, bucket_units=100)
+    samples = 40
+    means = resample.iid_draws(df, ["unit"], ["mae_delta"], samples, 7, bucket_units=100)
     plan = means._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    # the units, their buckets' paths, and a row for each sample and task
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
     drawn = means.collect()
     assert len(drawn) == samples
 
