@@ -20,7 +20,7 @@ from foretally.contracts import BLOCK_SAMPLES, BOOTSTRAP_SEED, IID_SAMPLES
 from foretally.workspace import attach, settle, ship_package, spread
 
 #: Units that are drawn from in one place, about.
-BUCKET_UNITS = 1 << 16
+BUCKET_UNITS = 1 << 18
 _SPACE = 2**32
 
 
@@ -63,10 +63,10 @@ def unit_tag(key: Sequence[str]) -> Column:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """``with_mix`` on numpy integers below 2**32."""
+    """``with_mix`` on 32-bit integers, whose products wrap around by themselves."""
     for _ in range(2):
-        x = ((x ^ (x >> 16)) * _MIX) & _MASK
-    return x ^ (x >> 16)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(_MIX)
+    return x ^ (x >> np.uint32(16))
 
 
 def bucket_draws(total: int, path: Sequence[tuple[int, int, int, bool]], samples: range, seed: int) -> np.ndarray:
@@ -92,25 +92,32 @@ def bucket_draws(total: int, path: Sequence[tuple[int, int, int, bool]], samples
 def drawn_sums(values: np.ndarray, bucket: int, draws: np.ndarray, samples: range, seed: int) -> np.ndarray:
     """For each sample the sums of the rows of ``values`` that its draws in this bucket hit."""
     sums = np.zeros((len(samples), values.shape[1]))
-    keys = _mixed((seed * _SPREAD + np.arange(samples.start, samples.stop)) & _MASK)
+    keys = _mixed((seed * _SPREAD + np.arange(samples.start, samples.stop) & _MASK).astype(np.uint32))
     if bucket:
-        keys = _mixed((keys + bucket * _SPREAD) & _MASK)
-    spread_draws = (np.arange(draws.max(initial=0)) * _SPREAD) & _MASK
+        keys = _mixed(keys + np.uint32(bucket * _SPREAD & _MASK))
+    spread_draws = np.arange(draws.max(initial=0), dtype=np.uint32) * np.uint32(_SPREAD)
+    size = np.uint32(len(values))
     for i, (key, n) in enumerate(zip(keys, draws)):
         if n:
-            hits = np.bincount(_mixed(spread_draws[:n] ^ key) % len(values), minlength=len(values))
+            hits = np.bincount((_mixed(spread_draws[:n] ^ key) % size).astype(np.int64), minlength=len(values))
             sums[i] = hits @ values
     return sums
 
 
+_PATH = "array<struct<level: int, node: bigint, left: bigint, whole: bigint, right: boolean>>"
+
+
 def _bucketed(units: DataFrame, key: Sequence[str], metrics: Sequence[str], groups: list[str], bucket_units: int) -> tuple[DataFrame, DataFrame]:
     """Units with their bucket, and for each bucket its group's units, its depth and the path to it; both written."""
     tagged = units.select(*groups, unit_tag(key).alias("tag"), *[F.col(m).cast("double") for m in metrics])
     totals = settle(tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("total")), "bootstrap-groups")
     buckets = F.ceil(F.col("total") / bucket_units) - 1
     totals = totals.withColumn("depth", F.when(buckets > 0, F.length(F.bin(buckets))).otherwise(F.lit(0)))
+    n_groups, deepest = totals.agg(F.count(F.lit(1)), F.max("depth")).first()
+    if not deepest:  # each group is one bucket
+        return tagged.withColumn("bucket", F.lit(0)), totals.select("*", F.lit(0).alias("bucket"), F.lit(None).cast(_PATH).alias("path"))
     word = F.conv(F.substring("tag", 1, 8), 16, 10).cast("bigint").alias("word")
-    placed = attach(tagged.select("*", word), totals, groups, totals.count()).withColumn("bucket", F.expr("shiftright(word, 32 - depth)"))
+    placed = attach(tagged.select("*", word), totals, groups, n_groups).withColumn("bucket", F.expr("shiftright(word, 32 - depth)"))
     placed = settle(placed.drop("word"), "bootstrap-buckets")
     counts = settle(placed.groupBy(*groups, "bucket", "total", "depth").agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
     above = counts.select("*", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
