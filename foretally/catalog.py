@@ -36,7 +36,7 @@ from foretally.functions.rates import smoothed
 from foretally.operators import pairing, quality, resample, rho as rho_ops, scoring
 from foretally.operators.ledger import Ledger, build_ledger, league_state, team_state
 from foretally.operators.reshape import observations
-from foretally.plans import goals, reports, sides, totals
+from foretally.plans import documents, goals, reports, sides, totals
 from foretally.sources.contest_log import FIXTURE_HOLDOUT, FIXTURE_START, contests_from, log_from_orders, raw_rows
 from foretally.sources.season_csv import file_manifest, load_contests, load_goals, season_label
 from foretally.workspace import run_folder, settle
@@ -281,6 +281,44 @@ def report_json(d: Derived) -> DataFrame:
     return reports.as_json(total_metrics(d), ["competition"])
 
 
+@register
+def report_documents(d: Derived) -> DataFrame:
+    """The documents of four analyses, written twice to one folder and read again: each model's rows and score."""
+    folder = os.path.join(run_folder(d.spark), f"documents-{uuid.uuid4().hex}")
+    side = documents.side_documents(d.contests, FIXTURE_START, samples=20, ledger=d.ledger)
+    made = {
+        "total": documents.total_documents(d.contests, FIXTURE_START, d.ledger),
+        "side": side,
+        "decay": documents.decay_documents(d.fixtures, FIXTURE_START, 20, d.fixture_ledger),
+        "goals": documents.goal_documents(d.goal_panel, FIXTURE_HOLDOUT, 20),
+        "total again": documents.total_documents(d.contests, FIXTURE_START, d.ledger),
+    }
+    for name, report in made.items():
+        documents.write_documents(report, folder, name.split()[0])
+    score = "struct<n: bigint, mean_brier: double>"
+    event = "struct<n: bigint, brier: double>"
+    schema = (
+        f"evaluation {score}, models map<string, struct<n: bigint, mean_brier: double, overall: {score}>>, "
+        f"metrics map<string, struct<models: map<string, struct<targets: map<string, {event}>>>>>"
+    )
+    read = d.spark.read.text(folder).select("analysis", "competition", F.from_json("value", schema).alias("report"))
+    goal = F.transform(
+        F.map_entries(F.col("report.metrics")["all"]["models"]),
+        lambda e: F.struct(e["key"].alias("model"), e["value"]["targets"]["over_2_5"]["n"].alias("n"), e["value"]["targets"]["over_2_5"]["brier"].alias("score")),
+    )
+    model = F.transform(
+        F.map_entries("report.models"),
+        lambda e: F.struct(
+            e["key"].alias("model"),
+            F.coalesce(e["value"]["overall"]["n"], e["value"]["n"]).alias("n"),
+            F.coalesce(e["value"]["overall"]["mean_brier"], e["value"]["mean_brier"]).alias("score"),
+        ),
+    )
+    whole = F.array(F.struct(F.lit("negative_binomial").alias("model"), F.col("report.evaluation.n").alias("n"), F.col("report.evaluation.mean_brier").alias("score")))
+    found = F.when(F.col("analysis") == "total", whole).when(F.col("analysis") == "goals", goal).otherwise(model)
+    return tidy(read.select("analysis", "competition", F.inline(found)))
+
+
 @register
 def observations_(d: Derived) -> DataFrame:
     return observations(d.contests).select("match_id", "venue", "team", "opponent", "count_for", "count_allowed")

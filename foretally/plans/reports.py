@@ -246,10 +246,12 @@ def windowed(df: DataFrame, holdout: dt.date) -> DataFrame:
     return df.withColumn("window", F.explode(evaluation_windows("match_date", holdout)))
 
 
-def goal_intervals(panel: DataFrame, holdout: dt.date = HOLDOUT_START, samples: int = BLOCK_SAMPLES) -> DataFrame:
+def goal_intervals(
+    panel: DataFrame, holdout: dt.date = HOLDOUT_START, samples: int = BLOCK_SAMPLES, by: Sequence[str] = ()
+) -> DataFrame:
     """Block intervals of every model pair and target, over all dates and the latest window."""
-    keys = ["window", "pair", "target"]
-    blocks = pairing.block_totals(pairing.goal_pair_deltas(panel, GOAL_MODELS, GOAL_PAIRS), ["pair", "target", "match_date"])
+    keys = [*by, "window", "pair", "target"]
+    blocks = pairing.block_totals(pairing.goal_pair_deltas(panel, GOAL_MODELS, GOAL_PAIRS), [*by, "pair", "target", "match_date"])
     # block sums per date first: the window split then repeats calendar rows, not fixtures
     spread_rows = windowed(blocks, holdout).filter(F.col("window") != "development")
     folded = spread_rows.groupBy(*keys, "block_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

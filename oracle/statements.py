@@ -564,6 +564,18 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT model, {r('avg(rho)', 'mean_rho')}, {r('min(rho)', 'min_rho')}, {r('max(rho)', 'max_rho')}
         FROM goal_fc WHERE rho IS NOT NULL AND target = 'over_2_5' GROUP BY model""",
     )
+
+
+    def score(analysis: str, model: str, lines: tuple, source: str) -> str:
+        mean = r(f"avg({_brier(lines)}) FILTER ({VALID})", "score")
+        return f"SELECT '{analysis}' AS analysis, competition, {model} AS model, count(*) FILTER ({VALID}) AS n, {mean} FROM {source} GROUP BY ALL"
+
+    out["report_documents"] = query(
+        ("total_fc", "side_fc", "decay_fc", "goal_fc", "goal_wide"),
+        f"""{score('total', "'negative_binomial'", TOTAL_LINES, 'total_fc')} UNION ALL {score('side', 'model', SIDE_LINES, 'side_fc')} UNION ALL {score('decay', 'model', SIDE_LINES, 'decay_fc')}
+        UNION ALL SELECT 'goals', w.competition, g.model, count(g.p), {r('avg(pow(g.p - g.y, 2))', 'score')}
+        FROM goal_fc g JOIN goal_wide w USING (match_id) WHERE g.target = 'over_2_5' GROUP BY ALL""",
+    )
     out["goal_block_bootstrap"] = block_sql(
         "goal_fc",
         f"""SELECT "window", pair, target, {_BLOCK} AS block_id, count(*) AS n, sum(d) AS s FROM (
