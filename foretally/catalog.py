@@ -39,7 +39,7 @@ from foretally.operators.reshape import observations
 from foretally.plans import documents, goals, reports, sides, totals
 from foretally.sources.contest_log import FIXTURE_HOLDOUT, FIXTURE_START, contests_from, log_from_orders, raw_rows
 from foretally.sources.season_csv import file_manifest, load_contests, load_goals, season_label
-from foretally.workspace import run_folder, settle
+from foretally.workspace import at_release, run_folder, settle
 
 #: Contests of a long run, and the lines of its total.
 LONG_RUN = 50
@@ -107,12 +107,21 @@ _derived: dict[tuple, Derived] = {}
 
 
 def derived(spark: SparkSession, folder: str) -> Derived:
-    key = (spark.sparkContext.applicationId, id(spark), folder)
-    if key not in _derived:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _derived or _derived[key].spark is not spark:
         _derived[key] = Derived(spark, folder)
     return _derived[key]
 
 
+def _forget(application: str) -> None:
+    """Base tables of a released application are gone."""
+    for key in [key for key in _derived if key[0] == application]:
+        del _derived[key]
+
+
+at_release(_forget)
+
+
 # --- helpers ------------------------------------------------------------------
 
 

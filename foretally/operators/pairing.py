@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foretally.contracts import SIDE_LINES, TARGETS
 from foretally.functions.calendar import block_id
 from foretally.functions.counts import add_over_probabilities
-from foretally.operators.scoring import mean_brier
+from foretally.operators.scoring import cohort_sums, mean_brier
 
 
 def cohort_mismatch(forecasts: DataFrame, models: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -29,8 +29,16 @@ def cohort_mismatch(forecasts: DataFrame, models: Sequence[str], keys: Sequence[
 
 
 def require_same_cohort(forecasts: DataFrame, models: Sequence[str], keys: Sequence[str]) -> None:
-    if not cohort_mismatch(forecasts, models, keys).isEmpty():
-        raise ValueError("models must contain identical observations")
+    """Raise unless the models hold the same observations with the same outcomes.
+
+    Each model's set is summed to a fingerprint, a row a model and task; only if these differ are observations
+    compared by key, to name how many disagree.
+    """
+    own = forecasts.filter(F.col("model").isin(*models))
+    sums = own.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *cohort_sums(keys)).collect()  # a row a model
+    if len(sums) != len(set(models)) or len({tuple(row)[1:] for row in sums}) > 1:
+        n = cohort_mismatch(forecasts, models, keys).count()
+        raise ValueError(f"models must contain identical observations; {n} are not in all of them once")
 
 
 def align(forecasts: DataFrame, baseline: str, challenger: str, keys: Sequence[str]) -> DataFrame:

@@ -161,6 +161,24 @@ def attach_goals(contests: DataFrame, goals: DataFrame) -> DataFrame:
     return contests.join(goals.select(*FIXTURE_KEY, "home_goals", "away_goals", "season"), list(FIXTURE_KEY), "inner")
 
 
+def joined_goals(goals: DataFrame, contests: DataFrame) -> DataFrame:
+    """Every goal row with its completed contest, if it has one: one join for matched and excluded rows."""
+    own = contests.select(*FIXTURE_KEY, F.col("match_id").alias("contest_id"), "home_count", "away_count")
+    return goals.join(own, list(FIXTURE_KEY), "left")
+
+
+def matched(joined: DataFrame) -> DataFrame:
+    """Contests with goals out of ``joined_goals``."""
+    return joined.where(F.col("contest_id").isNotNull()).select(
+        F.col("contest_id").alias("match_id"), *FIXTURE_KEY, "home_count", "away_count", "home_goals", "away_goals", "season"
+    )
+
+
+def unmatched(joined: DataFrame) -> DataFrame:
+    """Goal rows without a completed contest out of ``joined_goals``."""
+    return joined.where(F.col("contest_id").isNull()).drop("contest_id", "home_count", "away_count")
+
+
 def excluded_goal_rows(goals: DataFrame, contests: DataFrame) -> DataFrame:
     """Goal rows that have no completed contest."""
     return goals.join(contests.select(*FIXTURE_KEY), list(FIXTURE_KEY), "left_anti")

@@ -29,9 +29,26 @@ def mean_brier(p_over: Column, actual: Column, lines: Sequence[float]) -> Column
     return total / F.lit(float(len(lines)))
 
 
-def tally_counts(forecasts: DataFrame, lines: Sequence[float], keys: Sequence[str]) -> DataFrame:
+def cohort_sums(cohort: Sequence[str]) -> list[Column]:
+    """Sums of two independent hashes of each observation's key and outcome: a fingerprint of a set that no order changes."""
+    seen = [F.col(c) for c in (*cohort, "actual")]
+    return [F.sum(F.xxhash64(F.lit(salt), *seen).cast("decimal(38,0)")).alias(f"s_cohort_{salt}") for salt in (1, 2)]
+
+
+def require_one_cohort(tally: DataFrame, by: str = "model") -> None:
+    """Raise unless all models of a tally with ``cohort_sums`` were scored on the same observations."""
+    sums = tally.groupBy(by).agg(F.sum(F.col("n") + F.col("n_unscored")), F.sum("s_cohort_1"), F.sum("s_cohort_2")).drop(by)
+    if sums.distinct().count() > 1:  # a row a model
+        raise ValueError("models must contain identical observations")
+
+
+def tally_counts(
+    forecasts: DataFrame, lines: Sequence[float], keys: Sequence[str], cohort: Sequence[str] = ()
+) -> DataFrame:
     """Score sums per group. Needs expected, actual, dispersion and p_over (one entry per line).
 
+    ``cohort`` names the key of an observation; the tally then holds ``cohort_sums`` as well.
+
     ``n`` counts the scored forecasts. One without a distribution (a mean that is missing or not positive, a
     missing outcome) has no log loss; it enters no sum and is counted in ``n_unscored``.
     """
@@ -54,7 +71,7 @@ def tally_counts(forecasts: DataFrame, lines: Sequence[float], keys: Sequence[st
             F.sum(F.when(F.col("nll").isNotNull(), p)).alias(f"s_p_{i}"),
             F.sum(y).alias(f"s_y_{i}"),
         ]
-    return add_log_loss(forecasts).groupBy(*keys).agg(*sums)
+    return add_log_loss(forecasts).groupBy(*keys).agg(*sums, *(cohort_sums(cohort) if cohort else []))
 
 
 def _sum_columns(tally: DataFrame) -> list[str]:

@@ -48,6 +48,9 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+_OBSERVATION = ("match_id", "venue")
+
+
 def _quality(loaded: LoadedLog, strict: bool = True) -> dict:
     """Row counts of a load; without ``strict`` also the rows that were set aside."""
     overall = loaded.quality.filter(F.col("file_path").isNull()).head()
@@ -121,8 +124,9 @@ def side_report(
     quality.require_competitions(loaded.contests)
     panel = side_panel(loaded.contests, build_ledger(loaded.contests), start, (prior,))
     keys = ["model", "venue"]
-    by_venue = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, keys), "tally")
+    by_venue = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, keys, _OBSERVATION), "tally")
     _usable(by_venue, strict)
+    scoring.require_one_cohort(by_venue)
     overall = _metric_tree(scoring.refold(by_venue, ["model"]), SIDE_LINES, ["model"])
     venues = _metric_tree(by_venue, SIDE_LINES, keys)
     deltas = pairing.side_deltas(pairing.panel_pair(panel, SIDE_MODELS, *SIDE_MODELS))
@@ -177,8 +181,9 @@ def decay_report(
     quality.require_competitions(loaded.contests)
     quality.require_unique_fixtures(loaded.contests)
     panel = decay_panel(loaded.contests, build_ledger(loaded.contests), start)
-    tally = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, ["model"]), "tally")
+    tally = settle(scoring.tally_counts(long_forecasts(panel), SIDE_LINES, ["model"], _OBSERVATION), "tally")
     _usable(tally, strict)
+    scoring.require_one_cohort(tally)
     metrics = _metric_tree(tally, SIDE_LINES, ["model"])
     intervals = _rows(decay_intervals(panel, samples))
     return {

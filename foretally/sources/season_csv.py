@@ -246,8 +246,8 @@ def load_goals(
     else:
         goals = quality.unique_fixtures(goals)
         loaded = LoadedLog(quality.unique_fixtures(loaded.contests), loaded.quarantine, loaded.quality, rows, bad_goals)
-    contests = quality.attach_goals(loaded.contests, goals)
-    return contests, loaded, quality.excluded_goal_rows(goals, loaded.contests)
+    joined = settle(quality.joined_goals(goals, loaded.contests), "joined-goals")
+    return quality.matched(joined), loaded, quality.unmatched(joined)
 
 
 def _streamed_sha256(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

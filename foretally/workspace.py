@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -75,9 +76,19 @@ def run_folder(spark: SparkSession) -> str:
     return os.path.join(shared_folder(spark), "foretally", spark.sparkContext.applicationId)
 
 
+_at_release: list[Callable[[str], None]] = []
+
+
+def at_release(forget: Callable[[str], None]) -> None:
+    """Call ``forget`` with the application's id when its tables are deleted: for those who keep readers of them."""
+    _at_release.append(forget)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the application's intermediate tables; frames that read them can't be used any more."""
     _delete(spark, run_folder(spark))
+    for forget in _at_release:
+        forget(spark.sparkContext.applicationId)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

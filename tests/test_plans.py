@@ -129,3 +129,10 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_work_after_a_release(spark):
+    query = catalog.queries()["row_quality"]
+    before = sorted(map(tuple, query(spark, FOLDER).collect()), key=str)
+    workspace.release(spark)
+    assert sorted(map(tuple, query(spark, FOLDER).collect()), key=str) == before

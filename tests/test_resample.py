@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretally.contracts import SIDE_LINES, SIDE_MODELS
-from foretally.operators import pairing, resample
+from foretally.operators import pairing, resample, scoring
 from foretally.plans import sides
 from foretally.operators.ledger import build_ledger
 from tests.conftest import seeded_log
@@ -211,8 +211,21 @@ def test_cohorts_must_match(contests):
     pairing.require_same_cohort(long, SIDE_MODELS, ["match_id", "venue"])
     gap = long.filter("NOT (model = 'team_opponent' AND match_id = 27 AND venue = 'home')")
     assert [tuple(r) for r in pairing.cohort_mismatch(gap, SIDE_MODELS, ["match_id", "venue"]).collect()] == [(27, "home", 1)]
-    with pytest.raises(ValueError, match="identical observations"):
+    with pytest.raises(ValueError, match="identical observations; 1 "):
         pairing.require_same_cohort(gap, SIDE_MODELS, ["match_id", "venue"])
+    # same numbers of observations, other outcomes
+    other = long.withColumn("actual", F.when(F.expr("model = 'team_opponent' AND match_id IN (27, 28)"), 55 - F.col("match_id")).otherwise(F.col("actual")))
+    with pytest.raises(ValueError, match="identical observations"):
+        pairing.require_same_cohort(other, SIDE_MODELS, ["match_id", "venue"])
+    for df, bad in ((long, False), (gap, True), (other, True)):
+        tally = scoring.tally_counts(df, (3.5, 4.5, 5.5, 6.5), ["model", "venue"], ("match_id", "venue"))
+        plan = tally._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(model") == 1
+        if bad:
+            with pytest.raises(ValueError, match="identical observations"):
+                scoring.require_one_cohort(tally)
+        else:
+            scoring.require_one_cohort(tally)
 
 
 def test_event_metrics_and_bins(spark):
