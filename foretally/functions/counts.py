@@ -7,8 +7,8 @@ compiled into the stage and free of arrays and lambdas. Lines above ``NESTED_LIN
 fraction on the side of the tail where it converges; its steps grow with the root of the line, the size of
 the expression doesn't grow at all.
 
-The log loss is a closed form: the errors of Stirling's formula at the count, the shape and their sum, and
-two deviances that are computed without subtracting large numbers. It holds for any count at the same cost.
+The log loss of a count above ``_SHORT`` is a closed form: the errors of Stirling's formula at the count, the shape and
+their sum, and two deviances that are computed without subtracting large numbers. It costs the same at any count.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ _SERIES_FROM = 10
 #: Relative distances below this one take a power series.
 _NEAR = 0.03
 _NEAR_TERMS = 11
+#: Counts up to here, with a dispersion below the other bound, take a product instead of the closed form.
+_SHORT = 10
+_SHORT_DISPERSION = 1e6
 
 
 def check_line(line: float) -> float:
@@ -176,32 +179,35 @@ def _deviance(e: Column, ratio: Column) -> Column:
     return F.when(F.abs(e) < _NEAR, e * e * near).otherwise(ratio * F.log(ratio) - e)
 
 
-def _nb_parts(k: Column, mu: Column, a: Column) -> dict[str, Column]:
-    """What the log loss needs of a positive count, mean and dispersion, for a projection of its own."""
-    return {"shape": 1 / a, "grown": (1 + a * k), "spread": (1 + a * mu), "far": (k - mu) / mu}
+def _closed_loss(c: Column) -> Column:
+    """-ln P(X = k) for k > 0, by Stirling's errors and deviances; ``c`` holds k, mu and a.
 
-
-def _nb_loss(k: Column, mu: Column, parts: dict[str, Column]) -> Column:
-    """-ln P(X = k) for k > 0 and a positive dispersion."""
-    shape, grown, spread, far = (parts[name] for name in ("shape", "grown", "spread", "far"))
-    n = shape + k
-    own = n / spread * _deviance((mu - k) / n, spread / grown)
-    other = n * (mu / (shape * spread)) * _deviance(far / grown, k / mu * (spread / grown))
-    errors = _stirling_error(shape) + _stirling_error(k) - _stirling_error(n)
-    return errors + own + other + 0.5 * F.log(2 * math.pi * k * grown)
-
-
-def _poisson_loss(k: Column, mu: Column, far: Column) -> Column:
-    return _stirling_error(k) + mu * _deviance(far, k / mu) + 0.5 * F.log(2 * math.pi * k)
+    What is needed more than once is the variable of a lambda, so the expression stays short.
+    """
+    k, mu, a = c["k"], c["mu"], c["a"]
+    shape, grown, spread = F.when(a > 0, 1 / a), 1 + a * k, 1 + a * mu
+    errors = F.transform(F.array(k, shape, shape + k), _stirling_error)
+    pair = lambda e, ratio: F.struct(e.alias("e"), ratio.alias("ratio"))
+    pairs = F.array(pair((k - mu) / (mu * grown), k / mu * (spread / grown)), pair((mu - k) / (shape + k), spread / grown))
+    deviances = F.transform(pairs, lambda p: _deviance(p["e"], p["ratio"]))
+    binomial = errors[1] - errors[2] + (shape + k) / spread * deviances[1]
+    poisson = errors[0] + mu * grown / spread * deviances[0] + 0.5 * F.log(2 * math.pi * k * grown)
+    return poisson + F.coalesce(binomial, F.lit(0.0))
+
+
+def _short_loss(k: Column, mu: Column, a: Column) -> Column:
+    """-ln P(X = k) for 0 <= k <= ``_SHORT``: the ratios to P(0) multiplied one by one, with a logarithm at the end."""
+    product = F.lit(1.0)
+    for j in range(1, _SHORT):
+        product = product * F.when(k > j, (1 + a * j) * (1 / (j + 1))).otherwise(F.lit(1.0))
+    return -(F.log(product) + k * F.log(mu / (1 + a * mu)) + _log_p0(mu, a))
 
 
 def _log_loss(k: Column, mu: Column, a: Column) -> Column:
-    parts = _nb_parts(k, mu, a)
-    return (
-        F.when(k == 0, -_log_p0(mu, a))
-        .when(a > 0, _nb_loss(k, mu, parts))
-        .otherwise(_poisson_loss(k, mu, parts["far"]))
-    )
+    # the closed form is long: inside a lambda it stays out of the stage's compiled code, and runs for large counts alone
+    cell = F.array(F.struct(k.alias("k"), mu.alias("mu"), a.alias("a")))
+    closed = F.transform(cell, _closed_loss)[0]
+    return F.when((k <= _SHORT) & (a < _SHORT_DISPERSION), _short_loss(k, mu, a)).when(k == 0, -_log_p0(mu, a)).otherwise(closed)
 
 
 def negative_log_loss(count: Column, mu: Column, alpha: Column | None = None) -> Column:
@@ -213,16 +219,12 @@ def negative_log_loss(count: Column, mu: Column, alpha: Column | None = None) ->
 def add_log_loss(
     df: DataFrame, name: str = "nll", count: str = "actual", expected: str = "expected", dispersion: str = "dispersion"
 ) -> DataFrame:
-    """Add ``negative_log_loss`` in projections of their own, so that no part is computed twice and each stays small."""
+    """Add ``negative_log_loss``; what it uses again and again is computed once, in a projection of its own."""
     mu, alpha = F.col(expected), F.col(dispersion)
     scored = usable(mu, alpha) & (F.col(count) >= 0)
-    k, m, a = F.col("_k"), F.col("_m"), F.col("_alpha")
-    staged = df.withColumns({"_k": F.when(scored, F.col(count).cast("double")), "_m": F.when(scored, mu), "_alpha": F.when(scored, _effective(alpha))})
-    parts = _nb_parts(k, m, a)
-    staged = staged.withColumns({f"_{part}": F.when(a > 0, value) if part == "shape" else value for part, value in parts.items()})
-    held = {part: F.col(f"_{part}") for part in parts}
-    loss = F.when(k == 0, -_log_p0(m, a)).when(a > 0, _nb_loss(k, m, held)).otherwise(_poisson_loss(k, m, held["far"]))
-    return staged.withColumn(name, loss).drop("_k", "_m", "_alpha", *[f"_{part}" for part in parts])
+    staged = df.withColumns({"_k": F.when(scored, F.col(count).cast("double")), "_alpha": F.when(scored, _effective(alpha))})
+    k, a = F.col("_k"), F.col("_alpha")
+    return staged.withColumn(name, F.when(k.isNotNull(), _log_loss(k, mu, a))).drop("_k", "_alpha")
 
 
 def moment_dispersion(n: Column, total: Column, squares: Column) -> Column:
