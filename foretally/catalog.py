@@ -33,7 +33,7 @@ from foretally.functions.counts import (
 )
 from foretally.functions.parsing import parse_count, parse_match_date
 from foretally.functions.rates import smoothed
-from foretally.operators import pairing, quality, resample, rho as rho_ops, scoring
+from foretally.operators import pairing, quality, resample, rho as rho_ops, scoring, snapshots
 from foretally.operators.ledger import Ledger, build_ledger, league_state, team_state
 from foretally.operators.reshape import observations
 from foretally.plans import documents, goals, reports, sides, totals
@@ -45,6 +45,9 @@ from foretally.workspace import at_release, run_folder, settle
 LONG_RUN = 50
 LONG_RUN_LINES = (450.5, 500.5, 550.5)
 
+#: Days at which the resumed queries close the history and go on from its snapshot.
+ERA_ENDS = (dt.date(1995, 12, 31), dt.date(1999, 6, 30))
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -86,6 +89,24 @@ class Derived:
     def rho(self) -> DataFrame:
         return settle(goals.rho_table(self.goal_rates, FIXTURE_START), "rho")
 
+    def _eras(self, contests: DataFrame, name: str) -> list[tuple[DataFrame, Ledger]]:
+        """Each era's contests with a ledger that goes on from the snapshot before it."""
+        path, found, before = os.path.join(run_folder(self.spark), f"history-{name}-{uuid.uuid4().hex}"), [], None
+        for end in ERA_ENDS:
+            era = _between(contests, before, end)
+            found.append((era, snapshots.advance(era, path, end, before)))
+            before = end
+        last = _between(contests, before, None)
+        return [*found, (last, snapshots.resume(last, snapshots.load(self.spark, path, before), before))]
+
+    @cached_property
+    def eras(self) -> list[tuple[DataFrame, Ledger]]:
+        return self._eras(self.contests, "contests")
+
+    @cached_property
+    def fixture_eras(self) -> list[tuple[DataFrame, Ledger]]:
+        return self._eras(self.fixtures, "fixtures")
+
     @property
     def side_panel(self) -> DataFrame:
         return sides.side_panel(self.contests, self.ledger, FIXTURE_START)
@@ -122,6 +143,17 @@ def _forget(application: str) -> None:
 at_release(_forget)
 
 
+def _between(rows: DataFrame, after: dt.date | None, through: dt.date | None) -> DataFrame:
+    """Rows later than one day, up to another; the filters reach the scan."""
+    rows = rows if after is None else rows.where(F.col("match_date") > F.lit(after))
+    return rows if through is None else rows.where(F.col("match_date") <= F.lit(through))
+
+
+def _over(eras: list[tuple[DataFrame, Ledger]], plan: Callable[[DataFrame, Ledger], DataFrame]) -> DataFrame:
+    """The rows of a plan over all eras."""
+    return functools.reduce(DataFrame.unionByName, [plan(contests, ledger) for contests, ledger in eras])
+
+
 # --- helpers ------------------------------------------------------------------
 
 
@@ -367,6 +399,57 @@ def decayed_league_history(d: Derived) -> DataFrame:
     return tidy(league_state(d.fixture_ledger.daily, [], ["n", "home_sum", "away_sum"]), 5)
 
 
+@register
+def resumed_league_history(d: Derived) -> DataFrame:
+    columns = ["n", "home_sum", "away_sum", "home_sq", "away_sq", "total_sum", "total_sq"]
+    return _over(d.eras, lambda _, ledger: league_state(ledger.daily, columns))
+
+
+@register
+def resumed_team_history(d: Derived) -> DataFrame:
+    columns = ["n", "count_for", "count_allowed"]
+    at = lambda ledger, venue: team_state(ledger.daily, venue, columns).withColumn("venue", F.lit(venue))
+    return _over(d.eras, lambda _, ledger: at(ledger, "home").unionByName(at(ledger, "away")))
+
+
+@register
+def resumed_decayed_history(d: Derived) -> DataFrame:
+    columns = ["n", "count_for", "count_allowed"]
+    at = lambda ledger, venue: team_state(ledger.daily, venue, [], columns).withColumn("venue", F.lit(venue))
+    return tidy(_over(d.fixture_eras, lambda _, ledger: at(ledger, "home").unionByName(at(ledger, "away"))))
+
+
+@register
+def resumed_decayed_league_history(d: Derived) -> DataFrame:
+    return tidy(_over(d.fixture_eras, lambda _, ledger: league_state(ledger.daily, [], ["n", "home_sum", "away_sum"])), 5)
+
+
+@register
+def resumed_event_rates(d: Derived) -> DataFrame:
+    rates = _over(d.fixture_eras, goals.goal_rates).filter(F.col("match_date") >= F.lit(FIXTURE_START))
+    return tidy(rates.select("match_id", "over_rate", "btts_rate"))
+
+
+@register
+def resumed_rho_bounds(d: Derived) -> DataFrame:
+    parts, carry, ends = [], None, (None, *ERA_ENDS, None)
+    for after, end in zip(ends[:-1], ends[1:]):
+        rows = rho_ops.rate_rows(_between(d.goal_rates, after, end))
+        parts.append(rho_ops.rho_bounds(rows, carry))
+        if end is not None:
+            carry = settle(snapshots.coefficient_carry(rho_ops.coefficient_days(rows), end, carry), "coefficient-carry")
+    bounds = functools.reduce(DataFrame.unionByName, parts)
+    return tidy(bounds.select("competition", "model", "match_date", "n_history", "low", "high"))
+
+
+@register
+def resumed_team_walkforward(d: Derived) -> DataFrame:
+    rows = sides.long_forecasts(_over(d.eras, lambda contests, ledger: sides.side_panel(contests, ledger, FIXTURE_START)))
+    return tidy(
+        by_line(rows.select("match_id", "venue", "team", "model", "actual", "expected", "dispersion", "p_over"), SIDE_LINES)
+    )
+
+
 @register
 def dispersion(d: Derived) -> DataFrame:
     past = league_state(d.ledger.daily, ["n", "home_sum", "away_sum", "home_sq", "away_sq", "total_sum", "total_sq"])

@@ -24,12 +24,17 @@ from foretally.workspace import settle
 ANCHOR_DAY = 10957  # 2000-01-01
 _SAFE_HALVINGS = 900
 _LONG_SPAN_DAYS = 75_000
+CARRIED = "carried"
+_AGED = "aged_"
 
 
 @dataclass(frozen=True)
 class Ledger:
     """The settled daily table with its exact row counts, which bound every state table.
 
+    A ledger that resumes from a snapshot (see ``snapshots.py``) also has ``carried`` rows: the totals of all earlier
+    dates, at the snapshot's date. They feed every window and are no state of their own.
+
     ``rows`` bounds team state, ``dates`` (competition and date pairs) bounds league state.
     """
 
@@ -59,13 +64,22 @@ def daily_totals(contests: DataFrame) -> DataFrame:
 
 
 def build_ledger(contests: DataFrame) -> Ledger:
-    daily = settle(daily_totals(contests), "ledger")
+    return measured(settle(daily_totals(contests), "ledger"))
+
+
+def measured(daily: DataFrame) -> Ledger:
+    """The ledger of a written daily table."""
     sizes = daily.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("competition", "match_date").alias("dates")
     ).head()
     return Ledger(daily, sizes.rows, sizes.dates)
 
 
+def aged(column: str, half_life: float) -> str:
+    """Name of a sum whose carried rows hold the decayed total of earlier dates."""
+    return f"{_AGED}{str(float(half_life)).replace('.', '_')}_{column}"
+
+
 def league_daily(daily: DataFrame) -> DataFrame:
     """Daily ledger folded to one row per (competition, date)."""
 
@@ -88,6 +102,13 @@ def league_daily(daily: DataFrame) -> DataFrame:
             at("home", "over_n", "over_n"),
             at("home", "btts_n", "btts_n"),
         ]
+    if CARRIED in daily.columns:
+        sums.append(F.bool_or(CARRIED).alias(CARRIED))
+        league = {"n": ("home", "n"), "home_sum": ("home", "count_for"), "away_sum": ("away", "count_for")}
+        if "goals_for" in daily.columns:
+            league |= {"home_goals_sum": ("home", "goals_for"), "away_goals_sum": ("away", "goals_for")}
+        for prefix in [c.removesuffix("count_for") for c in daily.columns if c.startswith(_AGED) and c.endswith("count_for")]:
+            sums += [at(venue, prefix + c, prefix + name) for name, (venue, c) in league.items()]
     return daily.groupBy("competition", "match_date").agg(*sums)
 
 
@@ -133,9 +154,23 @@ def decayed_past(value: str, keys: Sequence[str], half_life: float = HALF_LIFE_D
     return F.expr(f"({own} + {carried}) / {scale}")
 
 
-def _state(columns: Sequence[str], decayed: Sequence[str], keys: Sequence[str], half_life: float) -> list[Column]:
+def _state(daily: DataFrame, columns: Sequence[str], decayed: Sequence[str], keys: Sequence[str], half_life: float) -> list[Column]:
+    def decaying(c: str) -> str:
+        if CARRIED not in daily.columns:
+            return c
+        if aged(c, half_life) not in daily.columns:
+            raise ValueError(f"the snapshot has no {c} with a half-life of {half_life} days")
+        return aged(c, half_life)
+
     picked = [strict_past(c, keys).alias(f"past_{c}") for c in columns]
-    return picked + [decayed_past(c, keys, half_life).alias(f"decayed_{c}") for c in decayed]
+    return picked + [decayed_past(decaying(c), keys, half_life).alias(f"decayed_{c}") for c in decayed]
+
+
+def _own_dates(daily: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns (windows among them) of the rows that aren't carried; carried rows go after the windows have seen them."""
+    if CARRIED not in daily.columns:
+        return daily.select(*columns)
+    return daily.select(*columns, CARRIED).where(~F.col(CARRIED)).drop(CARRIED)
 
 
 def team_state(
@@ -149,16 +184,16 @@ def team_state(
 
     Equal-weight sums keep their names behind ``past_``; decayed sums are behind ``decayed_``.
     """
-    picked = _state(columns, decayed, ["competition", "team"], half_life)
-    return daily.filter(F.col("venue") == venue).select("competition", "match_date", "team", *picked)
+    own = daily.filter(F.col("venue") == venue)
+    return _own_dates(own, "competition", "match_date", "team", *_state(own, columns, decayed, ["competition", "team"], half_life))
 
 
 def league_state(
     daily: DataFrame, columns: Sequence[str], decayed: Sequence[str] = (), half_life: float = HALF_LIFE_DAYS
 ) -> DataFrame:
     """Strict-past league sums, one row per (competition, date)."""
-    picked = _state(columns, decayed, ["competition"], half_life)
-    return league_daily(daily).select("competition", "match_date", *picked)
+    league = league_daily(daily)
+    return _own_dates(league, "competition", "match_date", *_state(league, columns, decayed, ["competition"], half_life))
 
 
 def prefixed(df: DataFrame, prefix: str, keep: dict[str, str]) -> DataFrame:

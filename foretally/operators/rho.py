@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foretally.contracts import MIN_RHO_HISTORY, RHO_LIMIT, RHO_MARGIN
 from foretally.functions.counts import low_score_coefficients
-from foretally.operators.ledger import ANCHOR_DAY, strict_past, strict_past_extreme
+from foretally.operators.ledger import ANCHOR_DAY, CARRIED, strict_past, strict_past_extreme
 from foretally.workspace import attach, settle, spread
 
 GRID_CELLS = 16
@@ -43,19 +43,27 @@ def rate_rows(rates: DataFrame) -> DataFrame:
     )
 
 
-def rho_bounds(rows: DataFrame) -> DataFrame:
-    """History size, extreme coefficients and feasible interval per (competition, model, date).
-
-    The interval covers every earlier coefficient and every cell of the date's own fixtures
-    (through the date's largest home and away rates), never the date's results.
-    """
-    daily = rows.groupBy(*_KEYS, "match_date").agg(
+def coefficient_days(rows: DataFrame) -> DataFrame:
+    """Per (competition, model, date): number and extremes of the coefficients, and the largest rates."""
+    return rows.groupBy(*_KEYS, "match_date").agg(
         F.max("home_rate").alias("top_home"),
         F.max("away_rate").alias("top_away"),
         F.count("c").alias("n_low"),
         F.min("c").alias("day_min"),
         F.max("c").alias("day_max"),
     )
+
+
+def rho_bounds(rows: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """History size, extreme coefficients and feasible interval per (competition, model, date).
+
+    The interval covers every earlier coefficient and every cell of the date's own fixtures
+    (through the date's largest home and away rates), never the date's results. ``carry`` has the count and
+    the extremes of all dates before those of ``rows`` (``snapshots.coefficient_carry``).
+    """
+    daily = coefficient_days(rows).withColumn(CARRIED, F.lit(False))
+    if carry is not None:
+        daily = daily.unionByName(carry.withColumn(CARRIED, F.lit(True)), allowMissingColumns=True)
     past = daily.select(
         *_KEYS,
         "match_date",
@@ -64,7 +72,9 @@ def rho_bounds(rows: DataFrame) -> DataFrame:
         strict_past_extreme("day_max", _KEYS, largest=True).alias("c_max"),
         "top_home",
         "top_away",
+        CARRIED,
     )
+    past = past.where(~F.col(CARRIED)).drop(CARRIED)
     # greatest/least skip NULL, so a date without history is bounded by its own cells
     largest = F.greatest("c_max", "top_home", "top_away")
     smallest = F.least(F.col("c_min"), -F.col("top_home") * F.col("top_away"), F.lit(-1.0))

@@ -583,4 +583,8 @@ def oracle_sql() -> dict[str, str]:
         ) GROUP BY ALL""",
         '"window", pair, target',
     )
+    # a history resumed from snapshots has the rows of one that never stopped
+    for name in ("league_history", "team_history", "decayed_history", "decayed_league_history", "rho_bounds", "team_walkforward"):
+        out[f"resumed_{name}"] = out[name]
+    out["resumed_event_rates"] = out["event_rate_forecast"]
     return out
