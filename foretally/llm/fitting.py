@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hashes of their id.
 FIT_ROWS = 8000
+#: Longest text, in bytes of UTF-8, that a labelled sample takes: a sample has at most FIT_ROWS * FIT_BYTES bytes.
+FIT_BYTES = 16 << 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,15 +34,20 @@ def bounded_sample(df: DataFrame, rows: int, key: str, *more: str, keep: Column
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold.
+    """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold, one row an id.
 
-    An id labelled twice counts as 1 if any of its labels is; null labels don't count.
+    An id labelled twice counts as 1 if any of its labels is; null labels don't count. Of an id's texts of at most
+    ``FIT_BYTES`` bytes, the one with the smallest hash is taken, so an id that owns a third of all rows weighs
+    like any other.
     """
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), rows, "doc_id")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of numbers
+    short = texts.where(F.octet_length("text") <= FIT_BYTES)
+    found = short.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of numbers
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("one")  # folded before the shuffle
+    return found.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
