@@ -38,6 +38,9 @@ BOUND_Z = 2.5
 MIN_SUPPORT = 8
 PREFIXES = (7, 6, 5, 4, 3)
 SIGNIFICANT = 0.01
+#: Clean documents of the sample that the law's scale needs, and the scales that it may take.
+LAW_SUPPORT = 20
+LAW_SCALES = (0.01, 50.0)
 REJECT = 0.7
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_~`"
 
@@ -112,6 +115,40 @@ def evidence(score: float, n_words: int, model: ToxicModel) -> float:
     return model.scale * score - model.log_k - math.log(max(n_words, 1))
 
 
+def fit_law(n_words: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """(log K, scale) of the extreme-value law of documents' best segments, by maximum likelihood.
+
+    The law: a document of n words has no segment above x with probability exp(-K n exp(-scale x)). Documents whose
+    best score isn't above the smallest positive one (most have no segment at all) count by that alone. For a given
+    scale the best K has a closed form, and the slope of the likelihood in the scale falls, so halving finds
+    its zero. Fewer than ``LAW_SUPPORT`` documents above that score leave the scale of pure log-odds, 1.
+    """
+    n_words, best = n_words[n_words > 0].astype(float), best[n_words > 0].astype(float)
+    positive = best[best > 0]
+    if not len(positive):
+        return math.log(0.5 / max(n_words.sum(), 1.0)), 1.0
+    least = positive.min()
+    above, x = best > least, np.maximum(best, least) - least
+    m = int(above.sum())
+    total = x[above].sum()
+    if m < LAW_SUPPORT or total <= 0:
+        return math.log(len(positive) / n_words.sum()) + least, 1.0
+
+    def weighted(scale: float) -> np.ndarray:
+        return n_words * np.exp(-scale * x)
+
+    def slope(scale: float) -> float:
+        w = weighted(scale)
+        return m / scale - total + m * float((w * x).sum() / w.sum())
+
+    low, high = LAW_SCALES
+    for _ in range(60):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    scale = math.sqrt(low * high)
+    return math.log(m / weighted(scale).sum()) + scale * least, scale
+
+
 def document_segments(texts: pa.Array, model: ToxicModel) -> Iterator[tuple[int, int, list[tuple[int, int, float, float]]]]:
     """For each text with a positive word: its row, its word count, and its segments with their evidence."""
     words, offsets = words_of(texts)
@@ -130,7 +167,7 @@ def document_segments(texts: pa.Array, model: ToxicModel) -> Iterator[tuple[int,
 def _features(segments: list[tuple[int, int, float, float]], n_words: int) -> tuple[float, float, float]:
     good = [e for *_, e in segments if e > -math.log(SIGNIFICANT)]
     best = max((e for *_, e in segments), default=0.0)
-    return min(max(best, 0.0), 30.0), math.log1p(len(good)), math.log1p(sum(good))
+    return min(max(best, 0.0), 300.0), math.log1p(len(good)), math.log1p(sum(good))
 
 
 def _piece_features(texts: pa.Array, model: ToxicModel) -> tuple[np.ndarray, list[list]]:
@@ -230,9 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int | None = None, **columns)
         return pa.RecordBatch.from_arrays([pa.array(n), pa.array(best), pa.array(count), label], ["n", "best", "count", "label"])
 
     rows_ = map_pieces(sample.select("text", "label"), probe, "n double, best double, count double, label double", "text")
-    clean = rows_.where("label = 0").agg(F.sum("n"), F.sum("count"), F.min(F.when(F.col("best") > 0, F.col("best")))).first()
-    # segments in clean text are as rare as their score says: count = K * words * exp(-scale * score)
-    model.log_k = math.log(((clean[1] or 0) + 0.5) / max(clean[0] or 1, 1)) + model.scale * (clean[2] or 0.0)
+    # three numbers a document of the bounded sample
+    clean = rows_.where("label = 0").select("n", "best", "count").toPandas().sort_values(["n", "best", "count"])
+    model.log_k, model.scale = fit_law(clean["n"].to_numpy(), clean["best"].to_numpy())
 
     def features(piece: pa.RecordBatch) -> pa.RecordBatch:
         x, _ = _piece_features(piece.column("text"), model)

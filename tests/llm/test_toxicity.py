@@ -1,10 +1,12 @@
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foretally.llm import toxicity
+from foretally.llm import quality, toxicity
 from foretally.llm.fitting import held_out
 
 
@@ -92,3 +94,56 @@ def test_word_without_support_falls_back_to_its_beginning():
     model = toxicity.term_scores(table + [(f"w{i}", 3, 60) for i in range(50)])
     scores = toxicity.token_scores(pa.array(["nastyzz", "nastyok", "common", "other"]), model)
     assert scores[0] > 0 and scores[1] <= 0 and scores[2] <= 0 and scores[3] == -toxicity.DRIFT
+
+
+def clean_bests(n, seed):
+    """Word counts and best segments of clean texts whose words score at random."""
+    draw = random.Random(seed)
+    counts, bests = [], []
+    for _ in range(n):
+        words = draw.randint(30, 400)
+        scores = {i: draw.expovariate(1.4) for i in range(words) if draw.random() < 0.03}
+        found = toxicity.maximal_segments(list(scores), list(scores.values()), 0.2)
+        counts.append(words)
+        bests.append(max((s for *_, s in found), default=0.0))
+    return np.array(counts, float), np.array(bests)
+
+
+def test_e_values_of_held_out_clean_texts_match_their_counts():
+    n, best = clean_bests(4000, 1)
+    model = toxicity.ToxicModel()
+    model.log_k, model.scale = toxicity.fit_law(n, best)
+    n, best = clean_bests(4000, 2)
+    e_values = np.array([math.exp(-toxicity.evidence(s, k, model)) if s > 0 else math.inf for s, k in zip(best, n)])
+    for limit in (0.3, 0.1, 0.03, 0.01):
+        expected, observed = len(n) * (1 - math.exp(-limit)), int((e_values <= limit).sum())
+        assert expected / 2 <= observed <= expected * 2, (limit, expected, observed)
+
+
+def test_law_of_exact_extremes_is_found_and_odd_samples_have_one():
+    draw = np.random.default_rng(3)
+    n = draw.integers(50, 500, 20000).astype(float)
+    best = np.maximum((np.log(n * 0.02) - np.log(draw.exponential(size=len(n)))) / 0.6, 0)
+    log_k, scale = toxicity.fit_law(n, best)
+    assert abs(scale - 0.6) < 0.02 and abs(log_k - math.log(0.02)) < 0.05
+    for n, best in (([], []), ([0, 0], [0, 0]), ([10, 20], [0, 0]), ([10, 20], [1.5, 1.5]), ([10] * 50, [2.0] * 50)):
+        assert all(map(math.isfinite, toxicity.fit_law(np.array(n, float), np.array(best, float))))
+
+
+def test_an_id_with_a_third_of_all_documents_is_one_row_of_the_sample(spark):
+    docs, labels = sample_tables(spark, 600)
+    kept = next(i for i in range(600) if not held_out_by_hand(i))
+    many = spark.range(300).selectExpr(f"{kept}L AS doc_id", "concat('word1 word2 text ', id) AS text", "'en' AS lang", "1 AS score")
+    long = spark.createDataFrame([(1, "lout " * 5000, "en", 1)], docs.schema)
+    sample = toxicity.labelled_sample(docs.unionByName(many).unionByName(long), labels, "toxic").collect()
+    ids = [r.doc_id for r in sample]
+    assert len(ids) == len(set(ids)) == sum(not held_out_by_hand(i) for i in range(600))
+    assert max(len(r.text) for r in sample) <= 16 << 10
+    hot = docs.unionByName(many)
+    assert toxicity.judged(hot, labels).count() == quality.judged(hot, labels.withColumnRenamed("toxic", "quality")).count() == hot.count()
+
+
+def held_out_by_hand(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 3 == 1
