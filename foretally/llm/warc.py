@@ -19,6 +19,7 @@ empty table gives an empty manifest.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foretally.llm.common import map_arrow
 from foretally.llm.fitting import bounded_sample
-from foretally.workspace import settle, shared_folder
+from foretally.workspace import attach, run_folder, settle
 
 REVISIT_BYTES = 1000
 SAMPLE_RECORDS = 400
@@ -124,11 +125,16 @@ def payload_rows(pages: DataFrame, id_column: str, url_column: str, html_column:
 
 
 def with_decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
-    """``rows`` with refers_to; the payloads move once, on their digest."""
-    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest")
+    """``rows`` with refers_to.
+
+    Only digests are grouped. Those that repeat are written and counted: while they are few enough to broadcast no
+    payload moves, beyond that payloads move once, on their digest.
+    """
+    groups = rows.where(F.col("bytes") >= least_bytes).select("digest", "page_id").groupBy("digest")
     copies = groups.agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
+    repeated = settle(copies, "repeated-payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
-    return rows.join(copies, "digest", "left").withColumn("refers_to", refers).drop("keep")
+    return attach(rows, repeated, ["digest"], repeated.count(), "left").withColumn("refers_to", refers).drop("keep")
 
 
 def sample_records(rows: DataFrame) -> list[bytes]:
@@ -251,14 +257,19 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return map_arrow(spread, read, schema)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's uri with the scheme that Spark itself would take: that of the default file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/*", "file:///", uri)
+
+
 def round_trip(pages: DataFrame, spark: SparkSession, **columns) -> DataFrame:
-    """Write ``pages`` to new archives in the shared folder and read them back.
+    """Write ``pages`` to new archives in the application's folder and read them back; ``release`` deletes them.
 
     Length and digest of a response come from the payload that was read; those of a revisit from its header.
     """
-    folder = f"{shared_folder(spark)}/foretally/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = qualified(spark, f"{run_folder(spark)}/warc-{uuid.uuid4().hex}")
     records = read_archives(write_archives(pages, folder, **columns))
     own = F.col("record_type") == "response"
     return records.select(

@@ -49,3 +49,43 @@ def test_few_records_and_none(spark):
     df = spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")
     assert [r.payload_bytes for r in warc.round_trip(df, spark).collect()] == [1]
     assert warc.round_trip(df.limit(0), spark).collect() == []
+
+
+def test_archives_lie_in_the_folder_that_release_deletes(spark, monkeypatch):
+    import os
+
+    from foretally.workspace import run_folder
+
+    made = []
+    real = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda pages, folder, **columns: made.append(folder) or real(pages, folder, **columns))
+    df = spark.createDataFrame([(i, "u", f"text {i}") for i in range(5)], "page_id long, url string, html string")
+    assert warc.round_trip(df, spark).count() == 5
+    path = made[0].removeprefix("file://")
+    assert path.startswith(run_folder(spark).removeprefix("file:")) and os.listdir(path)
+
+
+def test_folders_are_named_in_full(spark):
+    assert {warc.qualified(spark, f) for f in ("/a/b", "file:/a/b", "file:///a/b")} == {"file:///a/b"}
+
+
+def test_payloads_move_only_beyond_the_broadcast_limit(spark, monkeypatch):
+    from foretally import workspace
+
+    long = "x" * 2000
+    df = spark.createDataFrame([(i, "u", long if i % 3 else f"{i}" * 1500) for i in range(30)], "page_id long, url string, html string")
+    rows = warc.payload_rows(df, "page_id", "url", "html")
+
+    def decided():
+        found = warc.with_decisions(rows, 1000)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return "BroadcastHashJoin" in plan, sorted((r.page_id, r.refers_to) for r in found.where("refers_to is not null").collect())
+
+    small = decided()
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        large = decided()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert small[0] and not large[0] and small[1] == large[1] == [(i, 29) for i in range(30) if i % 3 and i != 29]
