@@ -5,7 +5,9 @@ into tokens. Segments of bounded length that have the rough shape of an email ad
 address, a card or a phone number are candidates, each with features of the whole span and of its
 surroundings; tokens outside stay single. Dynamic programming over segments chooses boundaries and
 types jointly. The weights maximise the conditional likelihood of segmentations in a bounded sample of
-texts, whose spans come from the exact base patterns; no feature says what a base pattern says.
+texts. Their true spans are those of the exact base patterns, in the texts as they are and in copies where the spans
+are written in other ways (spelled or bracketed signs, national and 00 numbers, other separators), with true boundaries,
+or replaced by digits that are no personal data. No feature says what a base pattern says.
 
 The base patterns are exact: their spans hold by definition, so the chosen segmentation must contain
 them, and the model adds the spans around them that the patterns don't reach.
@@ -21,6 +23,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_TEXTS = 3000
 FIT_BYTES = 16 << 10
 #: Tokens of a segment at most, by kind.
-MOST_TOKENS = {"email": 16, "ip": 9, "card": 11, "phone": 15}
+MOST_TOKENS = {"email": 24, "ip": 13, "card": 11, "phone": 15}
+#: Tokens after which a training window may be cut, between spans and at white space.
+PART_TOKENS = 300
 REACH = 48
 
 # The base patterns, and what counts as a sign of personal data.
@@ -49,6 +54,8 @@ ANY_SIGN = r"[0-9@]|[\[({] ?[aA][tT] ?[\])}]"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
+_AT = r"[\[({] ?at ?[\])}]"
+_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+ ?(?:@|{_AT}) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot )[A-Za-z0-9-]+)+", re.I)
 _CUES = {
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{1,3}(?:\w+\W{1,2})?$", re.I),
     "ip": re.compile(r"(?:\bip|address|host|server)\W{1,3}(?:\w+\W{1,2})?$", re.I),
@@ -94,7 +101,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the parts of a text near a sign, joined where they meet, cut at white space where possible."""
+    """(start, end) of the parts of a text near a sign, joined where they meet."""
     start = end = -1
     for sign in SIGN.finditer(text):
         low, high = max(0, sign.start() - REACH), min(len(text), sign.end() + REACH)
@@ -116,8 +123,7 @@ def _tokens(text: str, start: int, end: int) -> list[int]:
 def _shape(text: str, kind: int) -> bool:
     """Whether a string may be of a kind at all."""
     if kind == 0:
-        low = text.lower()
-        return low.count("@") + len(re.findall(r"[\[({] ?at ?[\])}]", low)) == 1 and ("." in low or "dot" in low) and text[0] in _LOCAL
+        return _ADDRESS.fullmatch(text) is not None
     n = sum("0" <= c <= "9" for c in text)
     if kind == 1:
         return re.fullmatch(r"[0-9]{1,3}(?:\[?[.]\]?[0-9]{1,3}){3}", text) is not None
@@ -152,12 +158,13 @@ def span_features(text: str, start: int, end: int, kind: int) -> list[str]:
     names += [f"groups {groups if len(groups) < 12 else 'many'}", f"digits {n}"]
     if kind == 1:
         names.append("large part" if any(int(g) > 255 for g in re.findall(r"[0-9]+", span)) else "small parts")
+        names.append("bracketed dots" if "[" in span else "plain dots")
     elif kind == 2:
         names.append("checked" if passes_luhn(_digits(span)) else "unchecked")
     else:
         names += ["plus" if span[0] == "+" else "no plus", "brackets" if "(" in span else "no brackets"]
         marks = re.sub(r"[0-9]", "", span)
-        names.append("bare" if not marks else "marked")
+        names += ["bare" if not marks else "marked", "two zeros" if span.startswith("00") else "no zeros", f"marks {''.join(sorted(set(marks)))}"]
     return [f"{kind} {n}" for n in names]
 
 
@@ -274,20 +281,86 @@ def _gold(base: list[Span]) -> list[Span]:
     return kept
 
 
+def rewritten(text: str, gold: list[Span], turn: int) -> tuple[str, list[Span]]:
+    """The text with its spans written in other ways, and where they are then; every fifth becomes digits of no person."""
+    out, spans, at, length = [], [], 0, 0
+    for number, (kind, start, end) in enumerate(sorted(gold, key=lambda g: g[1])):
+        own = crc32(text[start:end].encode("utf-8", "replace")) // 8 + turn + number
+        is_plain = own % 5 == 4
+        new = _plain_digits(_digits(text[start:end]), own // 5) if is_plain else _other_form(text[start:end], kind, own // 5)
+        out += [text[at:start], new]
+        length += start - at
+        if not is_plain:
+            spans.append((kind, length, length + len(new)))
+        length, at = length + len(new), end
+    return "".join([*out, text[at:]]), spans
+
+
+def _other_form(span: str, kind: int, choice: int) -> str:
+    """Another way to write a span."""
+    if kind == 0:
+        name, host = span.split("@", 1)
+        sign = (" [at] ", " (at) ", "[at]", "(at)", " {at} ", " @ ")[choice % 6]
+        return name + sign + host.replace(".", (".", " [dot] ", "(dot)", " dot ", ".")[choice % 5])
+    digits = _digits(span)
+    if kind == 1:
+        return span.replace(".", "[.]")
+    if kind == 2:
+        return (".", " ", "-")[choice % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    area, office, line = digits[-10:-7], digits[-7:-4], digits[-4:]
+    international = f"00{digits[:2]} {digits[2:4]} {digits[4:8]} {digits[8:]}".rstrip()
+    if len(digits) < 10:
+        return international
+    return (f"({area}) {office}-{line}", f"{area}-{office}-{line}", international, f"{area}.{office}.{line}", f"({area}) {office} {line}")[choice % 5]
+
+
+def _plain_digits(digits: str, choice: int) -> str:
+    """A date, a time, a version, a range of years, an amount or a number of things."""
+    d = (digits + "20171130")[:8]
+    return (
+        f"20{d[:2]}-0{int(d[2]) % 9 + 1}-1{d[3]}",
+        f"1{d[0]}:3{d[1]}:2{d[2]}",
+        f"{d[0]}.{d[1]}.{d[2:4]}",
+        f"19{d[:2]}-20{d[2:4]}",
+        f"{d[:3]},{d[3:6]}.{d[6:8]}",
+        d,
+        f"20{d[:2]}/{d[2:6]}",
+        f"{d[:3]} of {d[3:6]}",
+    )[choice % 8]
+
+
+def _parts(text: str, borders: list[int], gold: list[Span]) -> Iterator[list[int]]:
+    """The borders of a window in parts of some ``PART_TOKENS`` tokens; no part cuts a span or a word."""
+    held, first = _Covered(gold), 0
+    for at in range(len(borders) - 1):
+        if at - first >= PART_TOKENS and text[borders[at] - 1].isspace() and not held.meets(borders[at] - 1, borders[at] + 1):
+            yield borders[first : at + 1]
+            first = at
+    yield borders[first:]
+
+
 def train(texts: list[str], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Segmenter:
-    """Weights that maximise the likelihood of the base segmentations among all, by gradient steps over windows."""
-    examples = []
+    """Weights that maximise the likelihood of the true segmentations among all, by gradient steps over windows.
+
+    Every text with spans is seen as it is and in two rewritten copies.
+    """
+    examples, known = [], []
     for text in texts:
         gold = _gold(base_spans(text))
+        known.append((text, gold))
+        known += [rewritten(text, gold, turn) for turn in (0, 1)] if gold else []
+    for text, gold in known:
         for start, end in windows(text):
             inside = [g for g in gold if start < g[2] and g[1] < end]
             start, end = min([start, *(g[1] for g in inside)]), max([end, *(g[2] for g in inside)])
             borders = sorted({*_tokens(text, start, end), *(p for g in inside for p in g[1:])})
-            place = {p: i for i, p in enumerate(borders)}
-            right = {(place[s], place[e], k) for k, s, e in inside}
-            segments = [(i, j, k, span_features(text, borders[i], borders[j], k)) for i, j, k in {*candidates(text, borders), *right}]
-            if segments and len(segments) < 2000:
-                examples.append((len(borders) - 1, segments, [right.__contains__(s[:3]) for s in segments]))
+            for part in _parts(text, borders, inside):
+                place = {p: i for i, p in enumerate(part)}
+                right = {(place[s], place[e], k) for k, s, e in inside if s in place and e in place}
+                found = sorted({*candidates(text, part), *right})
+                if found:
+                    segments = [(i, j, k, span_features(text, part[i], part[j], k)) for i, j, k in found]
+                    examples.append((len(part) - 1, segments, [f in right for f in found]))
     weights = dict(PRIOR)
     squares: dict[str, float] = {}
     for _ in range(rounds):

@@ -113,3 +113,40 @@ def test_queries_rows_and_redaction(spark):
     assert not any(brute_base(r.text or "") for r in after)
     assert pii.redacted("ab cd ef", [(0, 3, 5), (1, 4, 8)]) == "ab [EMAIL]"
     assert pii.detect(docs.limit(0), segmenter).collect() == [] and pii.fit(docs.limit(0)).weights == pii.PRIOR
+
+
+def person(i):
+    """A text with one span of each kind."""
+    a, b = 100 + i * 37 % 800, 1000 + i * 7919 % 9000
+    return (
+        f"Item {i} of {i * 3 + 2}, seen on 2021-0{i % 9 + 1}-1{i % 10} at 1{i % 10}:30. Please write to name{i}.last@corp{i % 7}.example.org today, "
+        f"or call +1 {a} 555 {b} before noon. The server 10.{i % 200}.{a % 250}.{i % 99} paid with card 4111 1111 1111 1111 for 1,{a}.00 in {1990 + i % 30}-{2000 + i % 20}."
+    )
+
+
+def test_rewritten_spans_are_found_at_their_boundaries():
+    segmenter = pii.train([person(i) for i in range(150)])
+    right = found = true = 0
+    for i in range(500, 620):
+        for turn in (2, 3):
+            text, spans = pii.rewritten(person(i), pii.base_spans(person(i)), turn)
+            ours = set(pii.find_spans(text, segmenter)[1])
+            right, found, true = right + len(ours & set(spans)), found + len(ours), true + len(spans)
+    assert right / true > 0.9 and right / found > 0.9, (right, found, true)
+    for text, span in (
+        ("Please call (415) 555-2671 now", (3, 12, 26)),
+        ("Please write to jane (at) corp.example.org now", (0, 16, 42)),
+        ("The server 10[.]0[.]0[.]1 is down", (1, 11, 25)),
+    ):
+        assert pii.find_spans(text, segmenter)[1] == [span]
+    assert pii.find_spans("Seen on 2024-03-15 at 12:30, page 120 of 455, 1999-2004", segmenter)[1] == []
+
+
+def test_long_windows_are_cut_between_spans_and_none_is_lost():
+    text = "call 555 1234 and a@b.org " * 400
+    gold = pii.base_spans(text)
+    borders = pii._tokens(text, 0, len(text))
+    parts = list(pii._parts(text, borders, gold))
+    assert len(parts) > 5 and [p for part in parts for p in part[:-1]] + [parts[-1][-1]] == borders
+    assert all(any(s in part and e in part for part in parts) for _, s, e in gold)
+    assert pii.train([text], rounds=2).weights
