@@ -362,10 +362,20 @@ def oracle_sql() -> dict[str, str]:
         """SELECT DISTINCT competition, match_date, n AS past_n, hs::BIGINT AS past_home_sum, aws::BIGINT AS past_away_sum, hq::BIGINT AS past_home_sq,
         aq::BIGINT AS past_away_sq, (hs + aws)::BIGINT AS past_total_sum, tq::BIGINT AS past_total_sq FROM wide""",
     )
+    # plain sums of a self-join: DuckDB's window over raw rows has lost a count where it ran on one thread (six copies of sf0.1)
     out["team_history"] = query(
-        "wide",
-        """SELECT DISTINCT competition, match_date, home_team AS team, hn AS past_n, hf::BIGINT AS past_count_for, ha::BIGINT AS past_count_allowed, 'home' AS venue FROM wide
-        UNION ALL SELECT DISTINCT competition, match_date, away_team, an, af::BIGINT, aa::BIGINT, 'away' FROM wide""",
+        "contests",
+        """SELECT t.competition, t.match_date, t.team, coalesce(sum(h.n), 0)::BIGINT AS past_n, coalesce(sum(h.f), 0)::BIGINT AS past_count_for,
+        coalesce(sum(h.a), 0)::BIGINT AS past_count_allowed, t.venue
+        FROM days t LEFT JOIN days h ON h.venue = t.venue AND h.competition IS NOT DISTINCT FROM t.competition AND h.team = t.team AND h.match_date < t.match_date
+        GROUP BY ALL""",
+        {
+            "days": " UNION ALL ".join(
+                f"""SELECT competition, match_date, {v}_team AS team, '{v}' AS venue, count(*) AS n, sum({v}_count) AS f, sum({o}_count) AS a
+            FROM contests GROUP BY ALL"""
+                for v, o in (("home", "away"), ("away", "home"))
+            )
+        },
     )
     out["decayed_history"] = query(
         "dteam",
