@@ -15,10 +15,15 @@ COMPILED = 8000  # bytes of code of a method that is still compiled
 
 STEPS = {
     "side deltas": lambda d: pairing.fixture_deltas(pairing.side_deltas(pairing.panel_pair(d.side_panel, SIDE_MODELS, *SIDE_MODELS))),
-    "side tally": lambda d: scoring.tally_counts(sides.long_forecasts(d.side_panel), SIDE_LINES, ["competition", "model", "venue"]),
+    "side tally": lambda d: scoring.tally_counts(
+        sides.long_forecasts(sides.side_panel(pairing.counted_contests(d.contests, FIXTURE_START), d.ledger, FIXTURE_START)),
+        SIDE_LINES, ["competition", "model", "venue"], copies="copies",
+    ),
     "decay panel": lambda d: d.decay_panel,
     "decay blocks": lambda d: pairing.block_totals(reports.decay_deltas(d.decay_panel), ["competition", "pair"]),
-    "total tally": lambda d: scoring.tally_counts(totals.total_forecasts(d.contests, d.ledger, FIXTURE_START), TOTAL_LINES, ["competition"]),
+    "total tally": lambda d: scoring.tally_counts(
+        totals.counted_total_forecasts(d.contests, d.ledger, FIXTURE_START), TOTAL_LINES, ["competition"], copies="copies"
+    ),
 }
 
 
