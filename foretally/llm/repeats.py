@@ -10,7 +10,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 3. The stretches of a name are dealt to one task. Each batch there is a shard: it sorts its suffixes into a
    Burrows-Wheeler transform, and the shards' transforms are merged by interleave refinement (``bwt``), which
    gives the intervals of equal strings and with them each string's first document. A name with one stretch has one
-   such interval for each string and needs no merge. A name with more than ``HOT_ROWS`` rows isn't dealt to one
+   such interval for each string and needs no merge, nor does a stretch none of whose strings has a hash that its
+   task meets again. A name with more than ``HOT_ROWS`` rows isn't dealt to one
    task: its different stretches are cut into single strings, which Spark groups by their bytes.
 4. What a document has to give up goes back to it by (doc_id, hash of the text); copies get theirs in the same join.
 
@@ -22,8 +23,6 @@ result; other columns are ignored. Texts are cut in bytes, so what is kept needn
 
 from __future__ import annotations
 
-import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,32 +44,37 @@ STRETCH_STARTS = 64
 #: Bytes of stretches that a task merges, about.
 TASK_BYTES = 8 << 20
 _MERGE_BYTES = 1 << 20
-_HASH_PIECE = 1 << 18
+_HASH_PIECE = 1 << 16
 _RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("least", pa.int64())])
 _SPANS = "spans array<struct<start: long, stop: long>>"
 _RUNS = "runs array<struct<at: int, n: int, least: long>>"
 
 
-@functools.cache
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64)
+def _words(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes (1, 2, 4 or 8) that start at each byte as one number."""
+    words, covered = data, 1
+    for kind in (np.uint16, np.uint32, np.uint64)[: width.bit_length() - 1]:
+        wide = words.astype(kind)
+        words, covered = wide[:-covered] | wide[covered:] << kind(8 * covered), 2 * covered
+    return words
 
 
 def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes that start at each byte, built by joining halves."""
-    hashes, covered = _byte_values()[data], 1
-
-    def joined(step: int) -> np.ndarray:
-        right = hashes[step:]
-        return hashes[: len(right)] * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29)))
-
-    while covered * 2 <= length:
-        hashes, covered = joined(covered), covered * 2
-    if covered < length:
-        hashes = joined(length - covered)
-    hashes ^= hashes >> np.uint64(31)
+    """A 64-bit hash of the ``length`` bytes that start at each byte, from words of up to eight bytes that cover them."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    width = min(8, 1 << (length.bit_length() - 1))
+    words = _words(data, width)
+    hashes = np.zeros(len(data) - length + 1, np.uint64)
+    mixed = np.empty_like(hashes)
+    for at in [*range(0, length - width, width), length - width]:
+        hashes += words[at : at + len(hashes)]
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        np.right_shift(hashes, np.uint64(32), out=mixed)
+        hashes ^= mixed
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(27)
+    np.right_shift(hashes, np.uint64(29), out=mixed)
+    hashes ^= mixed
     return hashes
 
 
@@ -83,17 +87,24 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         least, wide = np.minimum(least[:-wide], least[wide:]), wide * 2
     if wide < width:
         least = np.minimum(least[: len(least) - (width - wide)], least[width - wide :])
-    per_text = np.maximum(np.diff(offsets) - length + 1, 0)
-    text = np.repeat(np.arange(len(per_text)), per_text)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    names = least[start + offsets[:-1][text]]
-    begin = np.ones(len(names), bool)
-    begin[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
-    # long runs are cut at every STRETCH_STARTS starts from their first
+    # a run also begins where a text does, and where a text has no more starts
+    begin = np.ones(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=begin[1:-1])
+    long = np.flatnonzero(np.diff(offsets) >= length)
+    begin[offsets[:-1][long]] = True
+    begin[offsets[1:][long] - (length - 1)] = True
     first = np.flatnonzero(begin)
-    within = np.arange(len(names)) - np.repeat(first, np.diff(np.append(first, len(names))))
-    first = np.flatnonzero(within % STRETCH_STARTS == 0)
-    return names[first], text[first], start[first], np.diff(np.append(first, len(names)))
+    first, n = first[:-1], np.diff(first)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(first, offsets)))
+    inside = np.flatnonzero(first + length <= offsets[1:][text])
+    first, n, text = first[inside], n[inside], text[inside]
+    # long runs are cut at every STRETCH_STARTS starts from their first
+    cuts = -(-n // STRETCH_STARTS)
+    if len(cuts) and cuts.max() > 1:
+        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        first, n, text = (np.repeat(x, cuts) for x in (first, n, text))
+        first, n = first + part * STRETCH_STARTS, np.minimum(n - part * STRETCH_STARTS, STRETCH_STARTS)
+    return least[first], text, first - offsets[:-1][text], n
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -127,9 +138,10 @@ def first_documents(shards: list[tuple[pa.Array, np.ndarray]], length: int) -> n
     flat = [bytes_of(segments) for segments, _ in shards]
     held = np.bincount(np.concatenate([data for data, _ in flat]), minlength=256) > 0
     codes, bits = np.where(held, np.cumsum(held), 0), int(held.sum()).bit_length()
+    numbers = bwt.numbered([(codes[data], offsets) for data, offsets in flat], bits) if length % (2 * bwt.STRIDE) == 0 else [None] * len(flat)
     transforms, left, documents = [], [], []
-    for (data, offsets), (_, least) in zip(flat, shards):
-        made = bwt.transform(codes[data], offsets, bits)
+    for (data, offsets), (_, least), own in zip(flat, shards, numbers):
+        made = bwt.transform(codes[data], offsets, bits, own, length)
         transforms.append(made)
         sizes = np.diff(offsets)
         left.append((np.repeat(offsets[1:], sizes) - np.arange(len(data)))[made.order])
@@ -149,10 +161,34 @@ def first_documents(shards: list[tuple[pa.Array, np.ndarray]], length: int) -> n
     return np.concatenate(parts)
 
 
+def shared(shards: list[pa.Array], length: int) -> list[np.ndarray]:
+    """For each stretch of the shards, whether the hash of a string of it is met a second time.
+
+    Equal strings have equal hashes, so a stretch that isn't marked holds no string that another start has.
+    """
+    flat = [bytes_of(segments) for segments in shards]
+    starts = [np.diff(offsets) - (length - 1) for _, offsets in flat]
+    hashes = []
+    for (data, offsets), n in zip(flat, starts):
+        place = np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
+        hashes.append(gram_hashes(data, length)[place])
+    hashes = np.concatenate(hashes)
+    place = np.uint64((1 << len(hashes).bit_length()) - 1)
+    keyed = np.sort(hashes & ~place | np.arange(len(hashes), dtype=np.uint64))
+    again = np.flatnonzero((keyed[1:] ^ keyed[:-1]) <= place)
+    starts = np.concatenate(starts)
+    met = np.zeros(len(hashes) + 1, np.int64)
+    met[1 + (keyed[np.concatenate([again, again + 1])] & place).astype(np.int64)] = 1
+    up_to, ends = np.cumsum(met), np.cumsum(starts)
+    marked = up_to[ends] > up_to[ends - starts]
+    return np.split(marked, np.cumsum([len(segments) for segments in shards])[:-1])
+
+
 def _merge(length: int):
-    """A task's stretches with their runs: its batches are the shards of its merges.
+    """The runs of a task's stretches that a later document may need: its batches are the shards of its merges.
 
-    Names share no strings, so a task merges a part of its names at a time.
+    Names share no strings, so a task merges a part of its names at a time. A stretch without a string whose hash is
+    met again needs no merge: its strings' first document is its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +199,22 @@ def _merge(length: int):
             shards = [shard for batch, own in zip(given, turns) if (shard := batch.filter(pa.array(own == turn))).num_rows]
             if not shards:
                 continue
-            found = first_documents([(s.column("segment"), s.column("least").to_numpy(zero_copy_only=False)) for s in shards], length)
+            merging = [pa.array(own) for own in shared([s.column("segment") for s in shards], length)]
+            parts = [part for shard, own in zip(shards, merging) if (part := shard.filter(own)).num_rows]
+            merged = first_documents([(p.column("segment"), p.column("least").to_numpy(zero_copy_only=False)) for p in parts], length) if parts else np.zeros(0, np.int64)
             at = 0
-            for shard in shards:
+            for shard, own in zip(shards, merging):
                 starts = np.diff(bytes_of(shard.column("segment"))[1]) - length + 1
-                runs = _runs(found[at : at + starts.sum()], starts)
-                at += int(starts.sum())
-                yield pa.RecordBatch.from_arrays([shard.column("name"), shard.column("seg"), runs], ["name", "seg", "runs"])
+                least = np.repeat(shard.column("least").to_numpy(zero_copy_only=False), starts)
+                inside = np.repeat(own.to_numpy(zero_copy_only=False), starts)
+                found, n = least.copy(), int(inside.sum())
+                found[inside] = merged[at : at + n]
+                at += n
+                # a stretch of one document whose strings come first there takes nothing from any row
+                use = shard.column("again").to_numpy(zero_copy_only=False) | (np.minimum.reduceat(found - least, np.cumsum(starts) - starts) < 0)
+                kept = shard.filter(pa.array(use))
+                runs = _runs(found[np.repeat(use, starts)], starts[use])
+                yield pa.RecordBatch.from_arrays([kept.column("name"), kept.column("seg"), runs], ["name", "seg", "runs"])
 
     return run
 
@@ -192,7 +237,10 @@ def shared_names(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def names(piece: pa.RecordBatch) -> pa.RecordBatch:
         name, text, _, _ = stretches(*bytes_of(piece.column("text")), length, gram)
-        order = np.lexsort((name, text))
+        # equal pairs are neighbours after one sort of their hashes with the place in the low bits; the pairs decide
+        place = np.uint64((1 << len(name).bit_length()) - 1)
+        hashes = name ^ text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = (np.sort(hashes & ~place | np.arange(len(name), dtype=np.uint64)) & place).astype(np.int64)
         name, text = name[order], text[order]
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
@@ -236,7 +284,7 @@ def _merged_runs(docs: DataFrame, several: DataFrame, length: int, gram: int, ho
     spark = docs.sparkSession
     found = _held_stretches(docs, several, length, gram, most_bits, True)
     # a filter lets some other names through: they go with the join below
-    folded = found.groupBy("name", "segment").agg(F.min("doc_id").alias("least"), F.min("seg").alias("seg"))
+    folded = found.groupBy("name", "segment").agg(F.min("doc_id").alias("least"), F.min("seg").alias("seg"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
     distinct = settle(folded, "distinct")
     crowded = settle(several.where(F.col("n") > hot).select("name"), "crowded")
     n_crowded = crowded.count()

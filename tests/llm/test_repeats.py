@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -60,6 +61,68 @@ def test_merged_transforms_give_the_blocks_of_sorted_suffixes():
         bwt.merged_blocks(made, 7, 9)
 
 
+def test_merge_by_wide_steps_gives_the_same_blocks():
+    draw = random.Random(6)
+    for _ in range(150):
+        alphabet = [0, 97, 98, 255][: draw.randint(1, 4)]
+        shards = [[bytes(draw.choice(alphabet) for _ in range(draw.randint(0, 45))) for _ in range(draw.randint(0, 6))] for _ in range(draw.randint(1, 4))]
+        depth, prefixes, made = draw.choice([10, 20, 40]), [], []
+        sets = [(data.astype(np.int64) + 1, offsets) for data, offsets in map(flat, shards)]
+        for strings, (symbols, offsets), numbers in zip(shards, sets, bwt.numbered(sets, 9)):
+            made.append(bwt.transform(symbols, offsets, 9, numbers, depth))
+            owner = np.repeat(np.arange(len(strings)), np.diff(offsets))
+            prefixes += [strings[owner[p]][p - offsets[owner[p]] :][:depth] for p in made[-1].order]
+        numbers = {p: i for i, p in enumerate(sorted(set(prefixes)))}
+        assert bwt.merged_blocks(made, depth, 9).tolist() == [numbers[p] for p in prefixes]
+        if made[0].stride == 10:
+            with pytest.raises(ValueError):
+                bwt.merged_blocks(made, 15, 9)
+
+
+def test_stretches_are_the_runs_of_starts_with_one_name():
+    draw = random.Random(8)
+    for length, gram in ((50, 20), (30, 8), (12, 5), (10, 1)) * 8:
+        texts = [bytes(draw.choice(b"ab") for _ in range(draw.choice([0, 5, length - 1, length, 80]))) + b"x" * draw.choice([0, 0, 200]) for _ in range(draw.randint(1, 8))]
+        name, text, start, n = repeats.stretches(*flat(texts), length, gram)
+        named, seen = {}, []
+        for t, first, count, own in zip(text.tolist(), start.tolist(), n.tolist(), name.tolist()):
+            assert 1 <= count <= repeats.STRETCH_STARTS
+            for i in range(first, first + count):
+                seen.append((t, i))
+                string = np.frombuffer(texts[t][i : i + length], np.uint8)
+                assert own == repeats.gram_hashes(string, gram).min() == named.setdefault(string.tobytes(), own)
+        assert seen == [(t, i) for t, data in enumerate(texts) for i in range(len(data) - length + 1)]
+
+
+def stretch_rows(segments):
+    """Stretches of one name as a task gets them; document and hash are the row's number, each in one document."""
+    number = pa.array(range(len(segments)), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([7] * len(segments), pa.int64()), number, pa.array(segments, pa.binary()), number, pa.array([False] * len(segments))],
+        ["name", "seg", "segment", "least", "again"],
+    )
+
+
+def test_only_stretches_with_a_string_met_again_are_merged(monkeypatch):
+    phrase = b"a passage that two of these stretches hold as a whole"
+    segments = [hashlib.sha512(bytes([i])).digest() for i in range(40)]
+    segments[11], segments[30] = segments[11] + phrase, phrase + segments[30]
+    merged, first_documents = [], repeats.first_documents
+    monkeypatch.setattr(repeats, "first_documents", lambda shards, length: merged.extend(s for part, _ in shards for s in part.to_pylist()) or first_documents(shards, length))
+
+    def result():
+        merged.clear()
+        rows = stretch_rows(segments)
+        return [r for batch in repeats._merge(50)(iter([rows.slice(0, 20), rows.slice(20)])) for r in batch.to_pylist()]
+
+    starts = len(phrase) - 49
+    expected = [{"name": 7, "seg": 30, "runs": [{"at": 0, "n": starts, "least": 11}, {"at": starts, "n": 64, "least": 30}]}]
+    assert result() == expected and merged == [segments[11], segments[30]]
+    # a hash that all strings share sends all of them to the merge, with the same result
+    monkeypatch.setattr(repeats, "gram_hashes", lambda data, length: np.zeros(len(data) - length + 1, np.uint64))
+    assert result() == expected and merged == segments
+
+
 def test_filter_holds_all_at_any_size(spark):
     values = [random.Random(2).getrandbits(63) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "h long")
