@@ -65,9 +65,9 @@ def numbered(shards: list[tuple[np.ndarray, np.ndarray]], bits: int) -> list[np.
     symbols, sizes = np.concatenate([symbols for symbols, _ in shards]), np.cumsum([len(symbols) for symbols, _ in shards])
     left = np.concatenate([_left(offsets) for _, offsets in shards])
     if not len(symbols):
-        return [np.zeros(0, np.uint64) for _ in shards]
+        return [np.zeros(0, np.uint32) for _ in shards]
     ranks, _ = _ranks(_grams(symbols, left, STRIDE, bits), STRIDE * bits)
-    return np.split(_doubled(ranks, left, STRIDE)[0], sizes[:-1])
+    return np.split(_doubled(ranks, left, STRIDE)[0].astype(np.uint32), sizes[:-1])
 
 
 def suffix_order(symbols: np.ndarray, offsets: np.ndarray, bits: int, numbers: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
@@ -80,7 +80,7 @@ def suffix_order(symbols: np.ndarray, offsets: np.ndarray, bits: int, numbers: n
         covered = _PACKED if (_PACKED * bits + (n + 1).bit_length() <= 64) else 4
         ranks, order = _ranks(_grams(symbols, left, covered, bits), covered * bits)
     else:
-        covered, ranks, order = 2 * STRIDE, numbers, None
+        covered, ranks, order = 2 * STRIDE, numbers.astype(np.uint64), None
     longest = min(int(left.max()), depth or n)
     while covered < longest and (order is None or ranks.max() < n):
         (ranks, order), covered = _doubled(ranks, left, covered), 2 * covered
@@ -133,6 +133,7 @@ def merged_blocks(shards: list[Transform], depth: int, bits: int) -> np.ndarray:
     cut = np.cumsum([0] + [len(part) for shard in shards for part in (shard.before, shard.short)])
     named = [coded[a:b] for a, b in zip(cut, cut[1:])]
     before, short = np.concatenate(named[0::2]), np.concatenate(named[1::2])
+    del grams, coded, named
     sources = np.repeat(np.arange(len(shards)), [len(s.before) for s in shards]).astype(kind)
     short_sources = np.repeat(np.arange(len(shards)), [len(s.short) for s in shards]).astype(kind)
     number = np.arange(len(sources), dtype=np.uint64)

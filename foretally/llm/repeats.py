@@ -137,15 +137,16 @@ def first_documents(shards: list[tuple[pa.Array, np.ndarray]], length: int) -> n
     """
     flat = [bytes_of(segments) for segments, _ in shards]
     held = np.bincount(np.concatenate([data for data, _ in flat]), minlength=256) > 0
-    codes, bits = np.where(held, np.cumsum(held), 0), int(held.sum()).bit_length()
+    codes, bits = np.where(held, np.cumsum(held), 0).astype(np.uint16), int(held.sum()).bit_length()
     numbers = bwt.numbered([(codes[data], offsets) for data, offsets in flat], bits) if length % (2 * bwt.STRIDE) == 0 else [None] * len(flat)
     transforms, left, documents = [], [], []
     for (data, offsets), (_, least), own in zip(flat, shards, numbers):
         made = bwt.transform(codes[data], offsets, bits, own, length)
         transforms.append(made)
         sizes = np.diff(offsets)
-        left.append((np.repeat(offsets[1:], sizes) - np.arange(len(data)))[made.order])
+        left.append((np.repeat(offsets[1:], sizes) - np.arange(len(data)))[made.order].astype(np.int32))
         documents.append(np.repeat(least, sizes)[made.order])
+    del numbers, own
     blocks = bwt.merged_blocks(transforms, length, bits)
     whole = np.concatenate(left) >= length
     smallest = np.full(int(blocks.max()) + 1, np.iinfo(np.int64).max)
